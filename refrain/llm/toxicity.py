@@ -17,10 +17,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,14 +99,19 @@ def noisy(token: str) -> bool:
     return not token.isalpha() and any(map(str.isalpha, token)) or bool(REPEATED.search(token)) or "$" in token or "@" in token
 
 
-def features(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n)]
+def hash_of(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
+def features(word: str) -> list[int]:
+    """Hashes of the word and of its beginnings."""
+    return [hash_of(word), *(hash_of(f"{word[:n]}*") for n in PREFIXES if len(word) >= n)]
 
 
 class Reader:
     """Turns texts into sets of features, with the work of each distinct token done once."""
 
-    def __init__(self, lm: np.ndarray, known: dict[str, int] | None = None):
+    def __init__(self, lm: np.ndarray, known: dict[int, int] | None = None):
         self.lm, self.known, self.cache = lm, known, {}
 
     def keep(self, words: list[str]) -> tuple:
@@ -140,35 +145,19 @@ class Reader:
         return out
 
 
-def association(c1: int, n1: int, c0: int, n0: int) -> float:
-    """Chi-squared of a feature that c1 of n1 toxic and c0 of n0 other rows have."""
-    n, c = n1 + n0, c1 + c0
-    return n * (c1 * (n0 - c0) - c0 * (n1 - c1)) ** 2 / max(1, n1 * n0 * c * (n - c))
-
-
-def fit(rows: list[tuple[set, int]], keep: int = 3000, rounds: int = 300) -> tuple[dict[str, int], np.ndarray, float]:
-    """(feature numbers, weights, bias) of a ridge logistic model on the most telling features."""
-    toxic = sum(y for _, y in rows)
-    if not rows or toxic in (0, len(rows)):
-        return {}, np.zeros(0), math.inf if rows and toxic else -math.inf
-    pos, neg = Counter(), Counter()
-    for found, y in rows:
-        (pos if y else neg).update(found)
-    n1, n0 = toxic, len(rows) - toxic
-    chi = {f: association(c, n1, neg[f], n0) for f, c in pos.items() if c >= 3 and c * n0 > neg[f] * n1}
-    chosen = sorted((f for f in chi if chi[f] >= CHI), key=lambda f: (-chi[f], f))[:keep]
-    number = {f: i for i, f in enumerate(chosen)}
-    at = [[number[f] for f in found if f in number] for found, _ in rows]
-    row, col = np.repeat(np.arange(len(rows)), [len(x) for x in at]), np.array([i for x in at for i in x], int)
-    y = np.array([y for _, y in rows], float)
-    w, b, m, v = np.zeros(len(chosen)), math.log(n1 / n0), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+def fit(row: np.ndarray, col: np.ndarray, y: np.ndarray, n: int, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """(weights, bias) of a ridge logistic model; row and col are the places of ones among len(y) rows and n features."""
+    toxic = y.sum()
+    if toxic in (0, len(y)):
+        return np.zeros(n), 700.0 if toxic else -700.0
+    w, b, m, v = np.zeros(n), math.log(toxic / (len(y) - toxic)), np.zeros(n + 1), np.zeros(n + 1)
     for k in range(1, rounds + 1):  # Adam
-        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, w[col], len(rows)), -30, 30)))
-        g = np.append(np.bincount(col, (p - y)[row], len(chosen)) / len(rows) + RIDGE * w, (p - y).mean())
+        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, w[col], len(y)), -30, 30)))
+        g = np.append(np.bincount(col, (p - y)[row], n) / len(y) + RIDGE * w, (p - y).mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return number, w, float(b)
+    return w, float(b)
 
 
 def held_out() -> Column:
@@ -176,14 +165,26 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_labelled: int = 10_000) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of ``docs`` (columns doc_id, text; others never touch a score).
+class Model:
+    """A fitted classifier: the language model, the features' numbers, their weights and the bias."""
 
-    Null and empty texts have no features and get the model's base rate. Labels that are null
-    are skipped; of several labels of an id the largest counts; rows with equal texts are
-    learnt once. Without labels of both kinds every score is the one label's value (0 with none).
-    Repeated rows keep a row each, an empty table gives none.
-    """
+    def __init__(self, lm: np.ndarray, number: dict[int, int], w: np.ndarray, b: float, threshold: float):
+        self.lm, self.number, self.w, self.b, self.threshold = lm, number, w, b, threshold
+
+    def scorer(self):
+        """A function of a batch's texts that gives their scores."""
+        reader = Reader(self.lm, self.number)
+
+        def scores(texts: pa.Array) -> np.ndarray:
+            found = [list(reader.read(t.as_py() or "")) for t in texts]
+            logit = np.array([self.b + self.w[x].sum() if x else self.b for x in found], float)
+            return 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
+
+        return scores
+
+
+def train(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_labelled: int = 10_000, keep: int = 3000) -> Model:
+    """The model of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     lm = language_model(docs)
     judged = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy(F.col("doc_id").alias("labelled_id")).agg(F.max("toxic").alias("toxic"))
     chosen = judged.orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(max_labelled)  # so many rows of 12 bytes, whatever the corpus
@@ -192,26 +193,56 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_labell
     def read(batches):
         reader = Reader(lm)
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
-                t = text.as_py() or ""
-                yield pa.RecordBatch.from_arrays([pa.array([hash_of(t)]), pa.array([int(toxic.as_py() > 0)], pa.int32()), pa.array(["\n".join(sorted(reader.read(t)))])], names=["h", "y", "found"])
+            found = [sorted(reader.read(t.as_py() or "")) for t in batch.column(0)]
+            h = [hash_of(t.as_py() or "") for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["h", "y", "found"])
+
+    rows = texts.select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")).mapInArrow(read, "h long, y int, found array<long>")
+    rows = materialise(rows.dropDuplicates(["h", "y"]), "labelled")
+    n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    n0, c1, c0 = n - n1, F.col("c1").cast("double"), F.col("c").cast("double") - F.col("c1")
+    chi = n * F.pow(c1 * (n0 - c0) - c0 * (n1 - c1), F.lit(2)) / (F.lit(float(max(1, n1 * n0))) * (c0 + c1) * F.greatest(F.lit(1.0), n - c0 - c1))
+    telling = rows.select("y", F.explode("found").alias("f")).groupBy("f").agg(F.sum("y").alias("c1"), F.count("*").alias("c")).where((F.col("c1") >= 3) & (c1 * n0 > c0 * n1) & (chi >= CHI))
+    number = {f: i for i, (f, _) in enumerate(telling.select("f", chi.alias("chi")).orderBy(F.desc("chi"), "f").limit(keep).collect())}
+    wanted = np.array(sorted(number), np.int64)
+
+    def mark(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.intersect1d(np.array(x.as_py(), np.int64), wanted) for x in batch.column(2)], pa.list_(pa.int64()))], names=["h", "y", "found"])
+
+    marked = sorted(map(tuple, rows.mapInArrow(mark, "h long, y int, found array<long>").collect()))  # max_labelled rows at most, of features that were chosen
+    row, col = np.repeat(np.arange(len(marked)), [len(x[2]) for x in marked]), np.array([number[f] for x in marked for f in x[2]], int)
+    w, b = fit(row, col, np.array([x[1] for x in marked], float), len(number))
+    return Model(lm, number, w, b, threshold)
 
-    rows = texts.select("text", "toxic").mapInArrow(read, "h long, y int, found string").toArrow()
-    distinct = {(h, y): found for h, y, found in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True)}
-    number, w, b = fit([(set(found.split("\n")) - {""}, y) for (_, y), found in sorted(distinct.items())])
+
+def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row of ``docs`` (columns doc_id, text; others never touch a score).
+
+    Null and empty texts have no features and get the model's base rate. Labels that are null
+    are skipped; of several labels of an id the largest counts; rows with equal texts are
+    learnt once. Without labels of both kinds every score is the one label's value (0 with none).
+    Repeated rows keep a row each, an empty table gives none.
+    """
+    model = train(docs, labels, **options)
 
     def run(batches):
-        reader = Reader(lm, number)
+        scores = model.scorer()
         for batch in batches:
-            found = [list(reader.read(t.as_py() or "")) for t in batch.column(1)]
-            logit = np.array([b + w[x].sum() if x else b for x in found], float)
-            s = 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            s = scores(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= model.threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def hash_of(text: str) -> int:
-    import xxhash
+def keep_clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` whose score is below the threshold, with all their columns."""
+    model = train(docs, labels, **options)
+    at = docs.columns.index("text")
 
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+    def run(batches):
+        scores = model.scorer()
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(at)) < model.threshold))
+
+    return docs.mapInArrow(run, docs.schema)
