@@ -37,6 +37,15 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes a table that materialise() wrote, once nothing reads it any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for file in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if "/refrain/" in folder.toString():
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Component label (smallest member's index) of each of n nodes under the given links; vectorised hooking and pointer jumping."""
     label = np.arange(n)

@@ -14,6 +14,7 @@ and a salt, so that a length which a third of all pieces share is ranked by many
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -26,6 +27,8 @@ from refrain.llm.common import materialise
 
 #: Distinct words whose ids a Python worker remembers, and the longest of them in bytes.
 CACHE, LONGEST = 600_000, 64
+#: How byte-level BPE writes bytes that aren't printable.
+SPELT = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 #: Pieces of one length and salt, about.
 SALTED = 100_000
 
@@ -47,10 +50,22 @@ class Words:
 
             path = public_tokenizers.path(path)
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        probe = [w for w in ("straße", "dünn", "çà", "the", "ñandú") if [t.id for t in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(SPELT))] != self.tokenizer.encode(w, add_special_tokens=False).ids]
+        self.plain = not probe  # whether this tokenizer spells words as byte-level BPE does
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found, strict=True)}
+        """ids of words that were not met before."""
+        out, rest, model = {}, [], self.tokenizer.model
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            if self.plain and text.isalpha() and max(text) < "\u0250" and unicodedata.is_normalized("NFC", text):
+                # letters alone are one pre-token, which only is lower-cased and spelt in bytes
+                out[w] = np.array([t.id for t in model.tokenize(text.lower().encode().decode("latin-1").translate(SPELT))], "<u4").tobytes()
+            else:
+                rest.append(w)
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
+        out.update({w: np.array(e.ids, "<u4").tobytes() for w, e in zip(rest, found, strict=True)})
+        return out
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
