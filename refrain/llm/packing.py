@@ -58,7 +58,7 @@ class Words:
         out, rest, model = {}, [], self.tokenizer.model
         for w in words:
             text = w.decode("utf-8", "replace")
-            if self.plain and text.isalpha() and max(text) < "\u0250" and unicodedata.is_normalized("NFC", text):
+            if self.plain and text.isalpha() and max(text) < "\u0250" and "İ" not in text and unicodedata.is_normalized("NFC", text):
                 # letters alone are one pre-token, which only is lower-cased and spelt in bytes
                 out[w] = np.array([t.id for t in model.tokenize(text.lower().encode().decode("latin-1").translate(SPELT))], "<u4").tobytes()
             else:
