@@ -8,8 +8,10 @@ max_edits + 1 even segments. Whatever the edits, one segment of the shorter line
 whole in the longer, at a place that the lengths bound; so each class is indexed by its
 segments, keyed by length, number and content, and probes the indexes of its own and
 the next shorter lengths with the few substrings that can match (multi-match-aware
-windows). Pairs that share a key are verified by Spark's levenshtein with a
-threshold, which fills a band of 2 * max_edits + 1 diagonals and stops beyond it.
+windows). Classes that share a key are verified by Spark's levenshtein with a
+threshold, which fills a band of 2 * max_edits + 1 diagonals and stops beyond it. One
+earlier partner is enough, so all joins are semi joins: a key that many classes share
+makes no pairs.
 """
 
 from __future__ import annotations
@@ -72,20 +74,25 @@ def near(docs: DataFrame, known: DataFrame, max_edits: int) -> DataFrame:
     """(h, h2) of the classes that are within max_edits edits of a class that stands earlier."""
     n = max_edits + 1
     index = known.select("h", F.explode(F.slice("keys", 1, n)).alias("k"))
-    probe = known.select(F.col("h").alias("g"), F.explode(F.filter(F.slice("keys", n + 1, 10_000), lambda k: k.isNotNull())).alias("k"))
-    pairs = materialise(probe.join(index, "k").where("g != h").select(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
+    probe = known.select("h", F.explode(F.filter(F.slice("keys", n + 1, 10_000), lambda k: k.isNotNull())).alias("k"))
+
+    def meets(x: DataFrame, y: DataFrame, on) -> DataFrame:
+        x, y = x.alias("x"), y.alias("y")
+        return x.join(y, (F.col("x.k") == F.col("y.k")) & on, "left_semi")
+
+    # keys that meet another class: semi joins, so that a key which many classes share makes no pairs
+    other = F.col("x.h") != F.col("y.h")
+    index, probe = materialise(meets(index, probe, other), "index"), materialise(meets(probe, index, other), "probe")
+    wanted = index.select("h").union(probe.select("h")).distinct()
     where = materialise(known.join(wanted, "h", "left_semi").select("h", "h2", "doc_id", "th", "pos"), "where")
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     told = texts.join(where, texts["doc_id"].eqNullSafe(where["doc_id"]) & (texts["th"] == where["th"])).select(
         "h", "h2", F.struct(where["doc_id"], where["th"], "pos").alias("at"), F.element_at(F.split("text", "\n", -1), F.col("pos") + 1).alias("line")
     )
     told = materialise(told, "told")
-    left = told.select(F.col("h").alias("a"), F.col("h2").alias("a2"), F.col("at").alias("at_a"), F.col("line").alias("line_a"))
-    right = told.select(F.col("h").alias("b"), F.col("h2").alias("b2"), F.col("at").alias("at_b"), F.col("line").alias("line_b"))
-    found = pairs.join(left, "a").join(right, "b").where(F.levenshtein("line_a", "line_b", max_edits) >= 0)
-    later = F.when(F.col("at_a") > F.col("at_b"), F.struct(F.col("a").alias("h"), F.col("a2").alias("h2"))).otherwise(F.struct(F.col("b").alias("h"), F.col("b2").alias("h2")))
-    return found.select(later.alias("x")).select("x.*").distinct()
+    index, probe = materialise(index.join(told, "h"), "index"), materialise(probe.join(told, "h"), "probe")
+    earlier = (F.col("y.at") < F.col("x.at")) & (F.levenshtein("x.line", "y.line", max_edits) >= 0)
+    return meets(index, probe, earlier).select("h", "h2").union(meets(probe, index, earlier).select("h", "h2")).distinct()
 
 
 def dedup(docs: DataFrame, min_chars: int = 20, max_edits: int = 2) -> DataFrame:

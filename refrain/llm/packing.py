@@ -14,6 +14,8 @@ and a salt, so that a length which a third of all pieces share is ranked by many
 from __future__ import annotations
 
 import os
+import sys
+import types
 import unicodedata
 import zlib
 from collections import Counter
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from refrain.llm.common import materialise
 
 #: Distinct words whose ids a Python worker remembers, and the longest of them in bytes.
-CACHE, LONGEST = 600_000, 64
+CACHE, LONGEST = 1_200_000, 64
 #: How byte-level BPE writes bytes that aren't printable.
 SPELT = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 #: Pieces of one length and salt, about.
@@ -90,12 +92,20 @@ class Words:
         return b"".join([cache[w] for w in words])
 
 
+def worker_words(path: str) -> Words:
+    """The Words of this Python worker: what it has learnt serves all its tasks."""
+    state = sys.modules.setdefault("_refrain_worker", types.ModuleType("_refrain_worker")).__dict__
+    if path not in state:
+        state[path] = Words(path)
+    return state[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 2048, end: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and then ``end``, cut after every ``capacity`` ids."""
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches):
-        words = Words(tokenizer)
+        words = worker_words(tokenizer)
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             rows: list[list] = [[] for _ in columns]

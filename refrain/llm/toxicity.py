@@ -121,12 +121,13 @@ class Reader:
         return tuple(found) if self.known is None else tuple(self.known[f] for f in found if f in self.known)
 
     def token(self, raw: str) -> tuple:
-        word = unicodedata.normalize("NFKC", raw)
+        word = raw if raw.isascii() else unicodedata.normalize("NFKC", raw)
         inner = word.strip(EDGE_MARKS)
         words = [inner]
-        for form in dict.fromkeys((inner, word)):
-            if noisy(form):
-                words += decode(form, self.lm).split()
+        if noisy(inner):
+            words += decode(inner, self.lm).split()
+        if word[0] in LEET and inner and noisy(lead := word.rstrip(EDGE_MARKS)):  # a mark may stand for the first letter
+            words += decode(lead, self.lm).split()
         if len(self.cache) >= CACHE:
             self.cache.clear()
         self.cache[raw] = out = self.keep(words)
