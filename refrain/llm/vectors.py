@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from refrain.llm.common import connected_components, materialise, stars
 
-#: Rows that one side of a pair of blocks holds.
-BLOCK_ROWS = 256
+#: Rows that a block of a cell's own members holds, and a block of all that are compared with them.
+BLOCK_ROWS, OTHER_ROWS = 256, 512
 
 
 def _rows(column: pa.ListArray) -> np.ndarray:
@@ -43,7 +43,7 @@ def fit(sample: np.ndarray, cells: int, rounds: int = 12, seed: int = 7) -> np.n
     return centres
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.95, spread: float = 4.0, max_sample: int = 20_000, per_cell: int = 400) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.95, spread: float = 2.5, max_sample: int = 20_000, per_cell: int = 400) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding; others are ignored).
 
     Null, empty and zero vectors and those with null or non-finite components link with
@@ -55,6 +55,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, spread: float = 4.
     """
     x = F.col("embedding").cast("array<double>")
     valid = (F.size(x) > 0) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(x, lambda v: v != 0)
+    kept = vectors.schema["embedding"].dataType.simpleString()  # floats travel as floats; they are compared as doubles
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.coalesce(valid, F.lit(False)), x).alias("x")).withColumn("h", F.xxhash64("x"))
     linked = rows.where("x is not null")
     # the class key is the vector itself, by way of 64 bits and then its first member
@@ -85,16 +86,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, spread: float = 4.
                     gap = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))[own]
                     i, j = np.nonzero(near >= near.max(axis=1, keepdims=True) - reach * gap / math.sqrt(w))
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).slice(at).take(pa.array(i)), part.column(1).slice(at).take(pa.array(i)), pa.FixedSizeListArray.from_arrays(pa.array(unit[at + i].ravel()), int(w)).cast(pa.list_(pa.float64())), pa.array((j + (int(w) << 32)).astype(np.int64)), pa.array(j == own[i])], names=names
+                        [part.column(0).slice(at).take(pa.array(i)), part.column(1).slice(at).take(pa.array(i)), part.column(2).slice(at).take(pa.array(i)), pa.array((j + (int(w) << 32)).astype(np.int64)), pa.array(j == own[i])], names=names
                     )
 
-    placed = materialise(classes.select("class", "n", "x").mapInArrow(assign, "class long, n long, x array<double>, cell long, home boolean"), "placed")
-    members = materialise(placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "cells")
-    dealt = placed.join(members, "cell").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    columns = ["class", "n", "x", "home"]
-    here = dealt.where("home").select("cell", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), *columns, F.lit(True).alias("asks"))
-    there = dealt.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("own").alias("j"), *columns, F.lit(False).alias("asks"))
-    tasks = here.union(there).select(F.xxhash64("cell", "i", "j").alias("task"), *columns, "asks")
+    placed = materialise(classes.select("class", "n", F.col("x").cast(kept).alias("x")).mapInArrow(assign, f"class long, n long, x {kept}, cell long, home boolean"), "placed")
+    of = lambda n, rows: F.ceil(n / rows).cast("int")
+    members = materialise(placed.groupBy("cell").agg(of(F.count_if("home"), BLOCK_ROWS).alias("own"), of(F.count("*"), OTHER_ROWS).alias("all")), "cells")
+    dealt = placed.join(members, "cell")
+    columns, spot = ["class", "n", "x", "home"], F.xxhash64("class")
+    here = dealt.where("home").select("cell", F.pmod(spot, F.col("own")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), *columns, F.lit(True).alias("asks"))
+    there = dealt.where("own > 0").select("cell", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"), F.pmod(spot, F.col("all")).alias("j"), *columns, F.lit(False).alias("asks"))
+    tasks = here.select("cell", F.col("i").cast("long"), F.col("j").cast("long"), *columns, "asks").union(there.select("cell", F.col("i").cast("long"), F.col("j").cast("long"), *columns, "asks")).select(F.xxhash64("cell", "i", "j").alias("task"), *columns, "asks")
 
     def compare(batches):
         held: list[pa.RecordBatch] = []
@@ -110,6 +112,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, spread: float = 4.
                 if not asks.any() or asks.all():
                     continue
                 key, n, unit = part.column(1).to_numpy(), part.column(2).to_numpy(), _rows(part.column(3).combine_chunks())
+                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
                 i, j = np.nonzero(unit[asks] @ unit[~asks].T >= cosine)
                 a, b, m = key[asks][i], key[~asks][j], n[~asks][j]
                 other = a != b
