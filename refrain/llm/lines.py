@@ -82,7 +82,9 @@ def near(docs: DataFrame, known: DataFrame, max_edits: int) -> DataFrame:
 
     # keys that meet another class: semi joins, so that a key which many classes share makes no pairs
     other = F.col("x.h") != F.col("y.h")
-    index, probe = materialise(meets(index, probe, other), "index"), materialise(meets(probe, index, other), "probe")
+    live = meets(index, probe, other).withColumn("own", F.lit(True)).union(meets(probe, index, other).withColumn("own", F.lit(False)))
+    live = materialise(live, "keys")  # in one query, so that both joins read the same shuffles
+    index, probe = live.where("own").drop("own"), live.where("not own").drop("own")
     wanted = index.select("h").union(probe.select("h")).distinct()
     where = materialise(known.join(wanted, "h", "left_semi").select("h", "h2", "doc_id", "th", "pos"), "where")
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
@@ -100,7 +102,7 @@ def dedup(docs: DataFrame, min_chars: int = 20, max_edits: int = 2) -> DataFrame
 
     n_exact counts lines removed as equal to an earlier line, n_near the others removed. A
     null text stays null with counts of 0; an empty one is one empty line; a text of which
-    every line goes is empty. Lines shorter than ``min_chars`` always stay. Null ids come
+    every line goes is empty. Columns that were named so before are replaced. Lines shorter than ``min_chars`` always stay. Null ids come
     first in the order; rows of equal ids are ordered by a hash of their texts, and rows
     equal in both lose lines alike. An empty table gives no rows.
     """
@@ -118,11 +120,12 @@ def dedup(docs: DataFrame, min_chars: int = 20, max_edits: int = 2) -> DataFrame
         .agg(F.collect_list("pos").alias("_gone"), F.count_if("near").alias("n_near"))
     )
     gone = materialise(gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_gone", F.col("n_near").alias("_near")), "gone")
-    whole = docs.withColumn("_h", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("h"), "text").join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_th")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return whole.select(
-        *[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("_lines"),
-        (F.coalesce(F.size("_gone"), F.lit(0)) - F.coalesce("_near", F.lit(0))).cast("long").alias("_exact"),
-        F.coalesce("_near", F.lit(0)).cast("long").alias("_close"),
-    ).withColumnsRenamed({"_lines": "n_lines", "_exact": "n_exact", "_close": "n_near"})
+    counts = {
+        "n_lines": F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)),
+        "n_exact": F.coalesce(F.size("_gone"), F.lit(0)) - F.coalesce("_near", F.lit(0)),
+        "n_near": F.coalesce("_near", F.lit(0)),
+    }
+    stays = [F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in counts]
+    return whole.select(*stays, *[n.cast("long").alias(c) for c, n in counts.items()])
