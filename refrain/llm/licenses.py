@@ -65,20 +65,21 @@ def own(files: DataFrame, least: float) -> DataFrame:
 
 
 def scan(files: DataFrame, least: float = 0.5, names: str = r"(?i)^(?:licen[cs]e|copying|notice)") -> DataFrame:
-    """The rows of ``files`` (path, text; all columns but text stay) with own_license, own_score, license and inherited_from.
+    """The rows of ``files`` (path, text; all columns but text stay, others of the added names are replaced) with own_license, own_score, license and inherited_from.
 
     Licence files are those whose base names match ``names``; of several in a directory the
     highest score, then the first name counts. Null texts have no licence of their own; a null path inherits
     none; repeated rows are judged alike. An empty table gives no rows.
     """
     near = materialise(own(files, least), "statements")
-    kept = [c for c in files.columns if c != "text"]
+    added = ("own_license", "own_score", "license", "inherited_from")
+    kept = [c for c in files.columns if c != "text" and c.lower() not in added]
     th = F.xxhash64("text")
     stated = files.where(F.col("text").rlike(NAMES)).select(th.alias("_h"), "text").dropDuplicates(["_h"]).select("_h", F.explode(F.split("text", CUT, -1)).alias("said")).select("_h", F.xxhash64("said").alias("s"))
     best = stated.join(near, "s").groupBy("_h").agg(F.min(F.struct((-F.col("score")).alias("less"), "license")).alias("best"))
     best = materialise(best.select("_h", F.col("best.license").alias("own_license"), (-F.col("best.less")).alias("own_score")), "own")
     split = F.regexp_extract("path", r"^(?:(.*)/)?([^/]*)$", 1)
-    judged = files.select(*kept, th.alias("_th"), split.alias("_dir"), F.regexp_extract("path", r"([^/]*)$", 1).alias("_name")).join(best, F.col("_th") == F.col("_h"), "left").drop("_th", "_h")
+    judged = files.select(F.struct(*kept).alias("row"), th.alias("_th"), split.alias("_dir"), F.regexp_extract("path", r"([^/]*)$", 1).alias("_name")).join(best, F.col("_th") == F.col("_h"), "left").drop("_th", "_h")
     judged = materialise(judged, "files")
     given = judged.where(F.col("own_license").isNotNull() & F.col("_name").rlike(names)).groupBy("_dir").agg(F.min(F.struct((-F.col("own_score")).alias("less"), "own_license")).alias("g")).select(F.col("_dir").alias("from_dir"), F.col("g.own_license").alias("given"))
     parts = F.split("_dir", "/")
@@ -87,7 +88,7 @@ def scan(files: DataFrame, least: float = 0.5, names: str = r"(?i)^(?:licen[cs]e
     taken = above.join(given, "from_dir").groupBy("_dir").agg(F.max(F.struct("depth", "from_dir", "given")).alias("x")).select(F.col("_dir").alias("_of"), "x.from_dir", "x.given")
     taken = materialise(taken, "given")
     whole = judged.join(taken, F.col("_dir") == F.col("_of"), "left")
-    return whole.select(*kept, "own_license", "own_score", F.coalesce("own_license", "given").alias("license"), F.when(F.col("own_license").isNull(), F.col("from_dir")).alias("inherited_from"))
+    return whole.select(*[F.col("row").getField(c).alias(c) for c in kept], "own_license", "own_score", F.coalesce("own_license", "given").alias("license"), F.when(F.col("own_license").isNull(), F.col("from_dir")).alias("inherited_from"))
 
 
 def _sql() -> str:

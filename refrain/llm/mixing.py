@@ -55,28 +55,27 @@ def copies(rate: Column, doc_id: Column, seed: str = "mix") -> Column:
 
 
 def plan(docs: DataFrame, weights: DataFrame | None = None, cap: int = 3, seed: str = "mix") -> DataFrame:
-    """``docs`` (columns doc_id, source, text; all columns stay) with _size, _source_size, _target and _copies.
+    """(row, doc_id, size, source_size, target, copies) of every row of ``docs`` (columns doc_id, source, text); row holds all its columns, whatever their names.
 
     A null text has size 0; rows of a null source form a source; a null doc_id draws as an
     empty one; repeated rows draw alike. A source without words gets no copies. An empty
     table gives no rows. With ``weights``, rows of sources that it doesn't name are left out.
     """
-    sized = docs.withColumn("_size", size_of())
-    aims = materialise(targets(sized.select("source", F.col("_size").alias("size")), weights, cap), "targets")
-    aims = aims.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"))
-    return sized.join(aims, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_copies", copies(F.col("_rate"), F.col("doc_id"), seed)).drop("_source", "_rate")
+    sized = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.col("source").alias("_source"), size_of().alias("size"))
+    aims = materialise(targets(sized.select(F.col("_source").alias("source"), "size"), weights, cap), "targets")
+    joined = sized.join(aims, F.col("_source").eqNullSafe(F.col("source")))
+    return joined.select("row", "doc_id", "size", "source_size", "target", copies(F.col("rate"), F.col("doc_id"), seed).alias("copies"))
 
 
 def sizes(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) of every document."""
-    return plan(docs.select("doc_id", "source", "text"), **options).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"), F.col("_copies").alias("copies")
-    )
+    return plan(docs.select("doc_id", "source", "text"), **options).select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: each row of ``docs`` as many times as it is taken."""
-    return plan(docs, **options).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    taken = plan(docs, **options).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 SQL = r"""

@@ -41,7 +41,9 @@ SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 REPEATED = re.compile(r"(.)\1\1")
 CHUNK = 1 << 20
 PREFIXES = (4, 5, 6)
-CACHE = 400_000
+#: Letters of the longest word that is looked for within a spelt-out run.
+SPELT = 24
+CACHE = 200_000
 #: Least chi-squared of a feature with the label, and the ridge penalty.
 CHI, RIDGE = 14.0, 1e-4
 
@@ -144,7 +146,9 @@ class Reader:
             if found:
                 out.update(found)
         for m in SPACED.finditer(text):
-            out.update(self.keep(decode(m.group(), self.lm).split()))
+            for word in decode(m.group(), self.lm).split():  # several words may be spelt in one run
+                parts = [word[i:j] for i in range(len(word)) for j in range(i + 3, min(len(word), i + SPELT) + 1)]
+                out.update(self.keep([word, *(x for x in parts if self.known is not None and hash_of(x) in self.known)]))
         return out
 
 
