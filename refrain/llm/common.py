@@ -7,6 +7,8 @@ shared folder that ``spark.checkpoint.dir`` names.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -30,20 +32,40 @@ def scratch(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+_swept: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _sweep(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before the interpreter does
+        _delete(spark, path)
+
+
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
-    """Writes ``df`` as Parquet in the scratch folder and reads it back, so that a lost executor costs one stage at most."""
-    path = f"{scratch(df.sparkSession)}/refrain/{name}-{uuid.uuid4().hex}"
+    """Writes ``df`` as Parquet in the scratch folder and reads it back, so that a lost executor costs one stage at most.
+
+    The application's tables are deleted when its interpreter ends; release() deletes one before.
+    """
+    spark = df.sparkSession
+    folder = f"{scratch(spark)}/refrain/{spark.sparkContext.applicationId}"
+    if folder not in _swept:
+        _swept.add(folder)
+        atexit.register(_sweep, spark, folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._refrain_path = path
+    return out
 
 
-def release(df: DataFrame) -> None:
-    """Deletes a table that materialise() wrote, once nothing reads it any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if "/refrain/" in folder.toString():
-            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that materialise() returned, once nothing reads them any more."""
+    for table in tables:
+        _delete(table.sparkSession, table._refrain_path)
 
 
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -102,9 +124,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = materialise(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        release(low, now)
         low = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         moved = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = materialise(moved.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        release(low, large)
         n, mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if (n, mark) == state:
             break
