@@ -11,6 +11,11 @@ minimum are retained, and those are verified by their differing bits.
 Equal fingerprints are one class before anything is compared. A key with many classes is
 dealt out in pairs of blocks, so no task holds more than two blocks, and each pair of
 blocks sends on a spanning forest of its links, never the links themselves.
+
+Three bits of 64 only reach texts that are nearly equal: shingle sets of similarity 0.8
+differ in about ten. Groups may therefore also be linked by ``similarity``: ten keys of four
+least hashes each find the candidates (one of 0.8 is found with 99.5 %), and 256 bins of
+least hashes verify them, which is exact for short texts and off by 0.025 for long ones.
 """
 
 from __future__ import annotations
@@ -31,36 +36,84 @@ CHUNK = 65_536
 BLOCK_ROWS = 256
 #: Groups of at most so many rows are compared all at once, by shifts.
 SMALL = 12
+#: Keys of a text's shingle set, and least hashes in each; bins of its sketch; texts of one key that are compared in one block.
+KEYS, EACH, BINS, SKETCH_ROWS = 10, 4, 256, 2048
+ODD = np.random.default_rng(20250107).integers(0, 2**63, KEYS * EACH, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Unsigned SimHash of the lower-cased words' shingles (repeats counted; XXH64, seed 42). No words: 0."""
+def shingle_hashes(text: str | None, shingle: int):
+    """XXH64 (seed 42) of the lower-cased words' shingles, repeats included, a chunk at a time. No words: none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - shingle + 1].tolist()
-    ends = ends[shingle - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    total = np.zeros(64, np.int64)
+    starts = np.concatenate([[0], ends[:-1] + 1])[: max(1, len(words) - shingle + 1)].tolist()
+    ends = ends[min(shingle, len(words)) - 1 :].tolist()
     for at in range(0, len(starts), CHUNK):
-        h = np.array([digest(joined[s:e], 42) for s, e in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)], dtype=">u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(total * 2 > len(starts)).tobytes(), "big")
+        yield np.array([digest(joined[s:e], 42) for s, e in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)], np.uint64)
+
+
+class Sums:
+    """What a text's shingle hashes come to: its SimHash, and the keys and sketch of its shingle set."""
+
+    def __init__(self, sketch: bool = False):
+        self.total, self.n = np.zeros(64, np.int64), 0
+        self.least = np.full(KEYS * EACH, 2**64 - 1, np.uint64) if sketch else None
+        self.bins = np.full(BINS, 2**64 - 1, np.uint64) if sketch else None
 
+    def add(self, h: np.ndarray) -> None:
+        self.total += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        self.n += len(h)
+        if self.bins is None:
+            return
+        h = np.unique(h)
+        for at in range(0, len(h), 4096):
+            self.least = np.minimum(self.least, (h[at : at + 4096, None] * ODD).min(axis=0))
+        own = h >> np.uint64(56)  # sorted, so the first of each bin is its least
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        at = own[first].astype(np.int64)
+        self.bins[at] = np.minimum(self.bins[at], h[first])
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
+    def fingerprint(self) -> int:
+        """A bit is 1 if it is in over half the hashes. No words: 0."""
+        return int.from_bytes(np.packbits(self.total * 2 > self.n).tobytes(), "big")
+
+    def keys(self) -> list[int]:
+        if not self.n:
+            return []
+        parts = self.least.reshape(KEYS, EACH)
+        return [xxhash.xxh64_intdigest(part.tobytes(), i) >> 1 for i, part in enumerate(parts)]
+
+    def sketch(self) -> bytes:
+        """A byte for each bin: 0 if it is empty, else 1 to 255 by its least hash."""
+        return np.where(self.bins == np.uint64(2**64 - 1), 0, self.bins % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
+
+
+def sums(text: str | None, shingle: int, sketch: bool = False) -> Sums:
+    out = Sums(sketch)
+    for h in shingle_hashes(text, shingle):
+        out.add(h)
+    return out
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """Unsigned SimHash of the text's shingles."""
+    return sums(text, shingle).fingerprint()
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, sketch: bool = False) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long; with ``sketch`` also (keys, sketch) of the shingle set."""
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            each = [sums(t.as_py(), shingle, sketch) for t in batch.column(1)]
+            columns = [batch.column(0), pa.array(np.array([x.fingerprint() for x in each], np.uint64).view(np.int64))]
+            if sketch:
+                columns += [pa.array([x.keys() for x in each], pa.list_(pa.int64())), pa.array([x.sketch() for x in each], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "keys", "sketch"][: len(columns)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long" + ", keys array<long>, sketch binary" * sketch)
 
 
 def _key(block: tuple[int, ...], index: int) -> Column:
@@ -110,33 +163,86 @@ def fingerprint_links(classes: DataFrame, max_bits: int = 3) -> DataFrame:
         .select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "fp")
     )
 
-    def compare(batches):
-        tail: list[pa.RecordBatch] = []
-        rows = 0
+    def compare(table: pa.Table):
+        group, fp = table.column(0).to_numpy(), table.column(1).to_numpy().view(np.uint64)
+        x, y = links_in(group, fp, max_bits)
+        if len(x):
+            yield edge_batch(*stars(x.view(np.int64), y.view(np.int64)))
 
-        def flush(table: pa.Table):
-            group, fp = table.column(0).to_numpy(), table.column(1).to_numpy().view(np.uint64)
-            x, y = links_in(group, fp, max_bits)
-            if len(x):
-                yield edge_batch(*stars(x.view(np.int64), y.view(np.int64)))
+    return _by_group(dealt, compare, 200_000)
 
+
+def _by_group(dealt: DataFrame, compare, rows_at_once: int) -> DataFrame:
+    """(a, b) of ``compare`` over tables of whole groups (column group), about so many rows at a time."""
+
+    def run(batches):
+        tail: list[pa.RecordBatch] = []
+        rows = 0
         for batch in batches:
             tail.append(batch)
             rows += batch.num_rows
-            if rows >= 200_000:  # whole groups go; the last may go on in the next batch
+            if rows >= rows_at_once:  # whole groups go; the last may go on in the next batch
                 table = pa.Table.from_batches(tail).combine_chunks()
                 group = table.column(0).to_numpy()
                 cut = int(np.searchsorted(group, group[-1]))
-                yield from flush(table.slice(0, cut))
+                yield from compare(table.slice(0, cut))
                 tail = table.slice(cut).to_batches()
                 rows = table.num_rows - cut
         if rows:
-            yield from flush(pa.Table.from_batches(tail).combine_chunks())
+            yield from compare(pa.Table.from_batches(tail).combine_chunks())
+
+    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long")
+
+
+def similar_in(sketches: np.ndarray, least: float) -> tuple[list[int], list[int]]:
+    """A spanning forest of the pairs of rows whose sketches' similarity is at least ``least``: each row looks once among those that no group has taken."""
+    left, filled = np.arange(len(sketches)), sketches > 0
+    a: list[int] = []
+    b: list[int] = []
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            same = ((sketches[left] == sketches[x]) & filled[x]).sum(axis=1)
+            near = same >= (least - 1e-9) * np.maximum(1, (filled[left] | filled[x]).sum(axis=1))
+            found = left[near].tolist()
+            a += [x] * len(found)
+            b += found
+            queue += found
+            left = left[~near]
+    return a, b
+
+
+def similarity_links(classes: DataFrame, similarity: float) -> DataFrame:
+    """A spanning forest (a, b) of the links between fingerprints (columns fp, keys, sketch) whose shingle sets are so similar."""
+    index = classes.select("fp", F.explode(F.array_distinct("keys")).alias("k"))
+    live = materialise(index.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "live")
+    dealt = (
+        index.join(live, "k")
+        .select("k", "fp", (F.ceil(F.col("n") / SKETCH_ROWS)).cast("int").alias("blocks"))
+        .select("k", "fp", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "fp")
+    )
+    dealt = dealt.join(classes.select("fp", "sketch"), "fp").select("group", "fp", "sketch")
+
+    def compare(table: pa.Table):
+        group, fp = table.column(0).to_numpy(), table.column(1).to_numpy()
+        ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group)).tolist()
+        x, y, at = [], [], 0
+        for end in ends if len(group) else ():
+            if end - at > 1:
+                own = b"".join(table.column(2).slice(at, end - at).to_pylist())
+                i, j = similar_in(np.frombuffer(own, np.uint8).reshape(-1, BINS), similarity)
+                x.append(fp[at:end][i])
+                y.append(fp[at:end][j])
+            at = end
+        if sum(map(len, x)):
+            yield edge_batch(*stars(np.concatenate(x), np.concatenate(y)))
 
-    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long")
+    return _by_group(dealt, compare, 20_000)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, similarity: float | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs`` (columns doc_id, text; others are ignored).
 
     A null, empty or blank text has fingerprint zero, which links like any other. A null
@@ -144,21 +250,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> Dat
     null (null where there is none). Repeated rows and repeated ids keep a row each. An
     empty table gives no rows.
     """
-    own = materialise(fingerprints(docs, shingle), "simhash")
+    own = materialise(fingerprints(docs, shingle, similarity is not None), "simhash")
     classes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
-    parts = materialise(connected_components(fingerprint_links(classes, max_bits)), "parts")
+    links = fingerprint_links(classes, max_bits)
+    if similarity is not None:  # texts of one fingerprint are linked; one of them stands for all
+        links = links.union(similarity_links(materialise(own.dropDuplicates(["fp"]).select("fp", "keys", "sketch"), "sets"), similarity))
+    parts = materialise(connected_components(links), "parts")
     named = materialise(classes.join(parts, classes["fp"] == parts["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("part")), "named")
     lows = materialise(named.groupBy("part").agg(F.min("low").alias("component_id")), "lows")
     whole = materialise(named.join(lows, "part").select("fp", "component_id"), "whole")
     return own.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_per_group(docs: DataFrame, shingle: int = 5, max_bits: int = 3) -> DataFrame:
+def one_per_group(docs: DataFrame, shingle: int = 5, max_bits: int = 3, similarity: float | None = 0.8) -> DataFrame:
     """The rows of ``docs`` of which none comes before them in their near-duplicate group: smallest doc_id, one row of equal ids.
 
     Rows without a doc_id are kept: nothing can name their representative.
     """
-    parts = near_duplicates(docs, shingle, max_bits)
+    parts = near_duplicates(docs, shingle, max_bits, similarity)
     kept = parts.where("doc_id = component_id").select("doc_id").distinct()
     columns = docs.columns
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")

@@ -206,10 +206,35 @@ def test_components_of_chains_and_stars(spark):
 
 def test_one_per_group(spark):
     kept = {r.doc_id for r in simhash.one_per_group(docs_of(spark)).collect()}
-    parts = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs_of(spark), 5).collect()}
+    parts = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs_of(spark), 5, similarity=0.8).collect()}
     assert kept == set(parts.values())
 
 
+@pytest.mark.parametrize("block", [2048, 8])
+def test_similar_sets_are_linked(spark, monkeypatch, block):
+    """Near copies of 300 words, found at 0.85 and more, never below 0.75; a text's copies of a chain are one group."""
+    monkeypatch.setattr(simhash, "SKETCH_ROWS", block)
+    rng = random.Random(12)
+    rows, base_of = [], {}
+    for b in range(25):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        for _ in range(6):
+            copy = list(words)
+            for _ in range(rng.randrange(0, 12)):
+                copy[rng.randrange(300)] = f"x{rng.randrange(5000)}"
+            base_of[len(rows)] = b
+            rows.append((len(rows), " ".join(copy), "en", "s", 1))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs_of(spark, rows), 5, similarity=0.8).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(296)} for _, t, *_ in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            like = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            assert like < 0.86 or got[i] == got[j]
+            assert base_of[i] == base_of[j] or got[i] != got[j]
+    alone = [i for i in range(len(rows)) if all(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 0.74 for j in range(len(rows)) if j != i)]
+    assert alone and all(got[i] == i and list(got.values()).count(i) == 1 for i in alone)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -28,8 +28,14 @@ def brute_lines(rows):
     return out
 
 
+def shingles(text, n=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
 def brute_groups(rows):
-    fp, keep, seen = [slow_fingerprint(t, 5) for _, t, *_ in rows], [], set()
+    """One row of each group that differs by 3 bits of five-word SimHash at most, or by a similarity of five-word shingles of 0.8 or more."""
+    fp, sets, keep, seen = [slow_fingerprint(t, 5) for _, t, *_ in rows], [shingles(t) for _, t, *_ in rows], [], set()
     for k in range(len(rows)):
         if k in seen:
             continue
@@ -38,7 +44,7 @@ def brute_groups(rows):
         while todo:
             x = todo.pop()
             for y in range(len(rows)):
-                if y not in seen and (fp[x] ^ fp[y]).bit_count() <= 3:
+                if y not in seen and ((fp[x] ^ fp[y]).bit_count() <= 3 or 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y]) > 0):
                     seen.add(y)
                     todo.append(y)
     return keep
