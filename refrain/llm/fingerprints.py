@@ -11,9 +11,11 @@ of their letters, and only if they have a run of letters in common.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,28 +102,40 @@ def likeness(x: str, y: str) -> float:
     return best
 
 
-def with_next(docs: DataFrame, rows: int = 2_000) -> DataFrame:
+def with_next(docs: DataFrame, rows: int = 2_000, most: int = 65_536) -> DataFrame:
     """(part, doc_id, text, only_next) such that rows sorted by (part, key) stand before their next document, whatever part it is in.
 
-    Documents are dealt to parts of about ``rows`` ids by quantiles of doc_id; each part also
-    gets the first document of the part after it (the last: the first of all), marked
-    ``only_next``. Only quantiles and each part's first ids pass the driver.
+    Documents are dealt to parts of about ``rows`` ids, ``most`` parts at most, at bounds
+    taken from a hash sample of about 20 ids a part; each part also gets the first document
+    of the part after it (the last: the first of all), marked ``only_next``. Only that
+    sample and each part's first id pass the driver, so ``most`` bounds both.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    named = base.where("doc_id is not null")
-    parts = max(1, base.count() // rows)
-    cuts = sorted(set(named.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
-    array = F.array(*[F.lit(int(c)).cast("long") for c in cuts]) if cuts else None
-    number = F.aggregate(array, F.lit(0), lambda n, c: n + (c <= F.col("doc_id")).cast("int")) if cuts else F.lit(0)
-    dealt = base.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(number)).withColumn("th", F.xxhash64("text"))
+    n = docs.count()
+    parts, cuts = max(1, min(most, n // rows)), np.array([], np.int64)
+    if parts > 1:
+        share = min(1.0, 20 * parts / n)
+        picked = base.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < math.ceil(share * 1_000_003))).select("doc_id").toArrow()
+        ids = np.sort(picked.column(0).to_numpy())
+        cuts = np.unique(ids[np.linspace(0, len(ids), parts + 1)[1:-1].astype(np.int64)]) if len(ids) else cuts
+
+    @F.pandas_udf("int")
+    def number(doc_id: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, doc_id.to_numpy(), "right").astype(np.int32))
+
+    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(number(F.coalesce("doc_id", F.lit(0)))) if len(cuts) else F.lit(0)
+    keyed = base.select("doc_id", F.xxhash64("text").alias("th"))
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    firsts = dealt.groupBy("part").agg(F.min(key).alias("first")).select("part", F.col("first.doc_id").alias("f_id"), F.col("first.th").alias("f_th"))
-    firsts = sorted(firsts.collect())  # one row for each part
-    before = {part: firsts[i - 1].part for i, (part, _, _) in enumerate(firsts)}
+    firsts = keyed.withColumn("part", part).groupBy("part").agg(F.min(key).alias("first")).select("part", F.col("first.doc_id").alias("f_id"), F.col("first.th").alias("f_th"))
+    firsts = sorted(firsts.collect(), key=lambda f: f.part)  # one row for each part
+    dealt = base.withColumn("part", part).withColumn("th", F.xxhash64("text"))
     if not firsts:
-        return dealt.withColumn("only_next", F.lit(False)).withColumn("after", F.lit(0))
-    told = docs.sparkSession.createDataFrame([(f.part, f.f_id, f.f_th, before[f.part], i == 0) for i, f in enumerate(firsts)], "part int, f_id long, f_th long, to int, around boolean")
-    ahead = dealt.join(F.broadcast(told), "part").where(F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th"))).select("doc_id", "text", F.col("to").alias("part"), "th", F.lit(True).alias("only_next"))
+        return dealt.withColumn("only_next", F.lit(False))
+    before = {f.part: firsts[i - 1].part for i, f in enumerate(firsts)}
+    told = docs.sparkSession.createDataFrame([(f.f_id, f.f_th, before[f.part]) for f in firsts], "f_id long, f_th long, to int")
+    # of rows that are equal in id and text, one goes ahead
+    ahead = base.withColumn("th", F.xxhash64("text")).join(F.broadcast(told), F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")))
+    ahead = ahead.select(F.col("to").alias("part"), "doc_id", "th", "text").dropDuplicates(["part"]).select("doc_id", "text", "part", "th", F.lit(True).alias("only_next"))
     return dealt.withColumn("only_next", F.lit(False)).unionByName(ahead)
 
 
