@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from refrain.llm.common import materialise
 
 #: Distinct words whose ids a Python worker remembers, and the longest of them in bytes.
-CACHE, LONGEST = 800_000, 64
+CACHE, LONGEST = 250_000, 64
 #: How byte-level BPE writes bytes that aren't printable.
 SPELT = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 #: Pieces of one length and salt, about.
