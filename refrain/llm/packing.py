@@ -14,10 +14,12 @@ and a salt, so that a length which a third of all pieces share is ranked by many
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
 import unicodedata
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -33,14 +35,22 @@ CACHE, LONGEST = 250_000, 64
 SPELT = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 #: Pieces of one length and salt, about.
 SALTED = 100_000
+#: Texts whose classes of characters Python and the tokenizer read alike: Latin letters and common marks, already in NFC.
+PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e\u20ac]*\\Z")
+#: The pre-tokens of such texts: contractions, runs of letters, single digits, runs of marks.
+PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: Characters of a text that are split at a time.
+CHUNK, GAP = 1 << 20, re.compile(r"\s")
 
 
 class Words:
     """ids of whole texts by way of their words.
 
     The tokenizer drops white space and never joins what it separates, so that a text's ids
-    are its words' ids in order. Words are split at ASCII white space and each distinct one is
-    tokenised once. A full stop or comma behind an ASCII letter is its own pre-token.
+    are its words' ids in order, and each distinct one is tokenised once. Plain texts are
+    split into pre-tokens, which the BPE model spells; others at ASCII white space, where a
+    full stop or comma behind an ASCII letter is its own pre-token. A tokenizer of another
+    make, told by a few probes, only gets the latter.
     """
 
     def __init__(self, path: str):
@@ -52,8 +62,23 @@ class Words:
 
             path = public_tokenizers.path(path)
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
-        probe = [w for w in ("straße", "dünn", "çà", "the", "ñandú") if [t.id for t in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(SPELT))] != self.tokenizer.encode(w, add_special_tokens=False).ids]
-        self.plain = not probe  # whether this tokenizer spells words as byte-level BPE does
+        self.plain = False  # whether this tokenizer spells words as byte-level BPE does
+        spelt = lambda w: [i for t in PRETOKEN.findall(w.lower()) for i in self._spell(t)]
+        self.plain = all(spelt(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in ("Straße dünn", "çà the,ñandú", "don't 'tis '90s we'LL", "a_b--c!! 12.5%", "«no» — “x”…y€\u00a0z", "ÀB\u0301"[:2]))
+
+    def _spell(self, token: str) -> list[int]:
+        """ids of one pre-token in lower case."""
+        return [t.id for t in self.tokenizer.model.tokenize(token if token.isascii() and token.isalpha() else token.encode().decode("latin-1").translate(SPELT))]
+
+    def _plain_ids(self, text: str) -> bytes:
+        tokens, cache = PRETOKEN.findall(text), self.cache
+        found = list(map(cache.get, tokens))
+        if None not in found:
+            return b"".join(found)
+        new = {t: array("I", self._spell(t)).tobytes() for t in {t for t, x in zip(tokens, found, strict=True) if x is None}}
+        out = b"".join([x if x is not None else new[t] for t, x in zip(tokens, found, strict=True)])
+        cache.update({t: x for t, x in new.items() if len(t) <= LONGEST})
+        return out
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """ids of words that were not met before."""
@@ -71,6 +96,15 @@ class Words:
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
+        if self.plain and "<|" not in text and PLAIN.match(text):
+            text, out, at = text.lower(), [], 0
+            while at < len(text):
+                end = len(text) if at + CHUNK >= len(text) or not (gap := GAP.search(text, at + CHUNK)) else gap.start()
+                if len(self.cache) > CACHE:
+                    self.cache.clear()
+                out.append(self._plain_ids(text[at:end]))
+                at = end
+            return b"".join(out)
         data = text.encode("utf-8", "replace")
         if b"<|" not in data:  # the names of special tokens are case-sensitive
             data = data.lower()
