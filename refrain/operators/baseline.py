@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -38,3 +41,24 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """One row: added, removed, total, with multiplicity."""
     both = old.select("fingerprint", F.col("n").alias("o")).join(new.select("fingerprint", F.col("n").alias("w")), "fingerprint", "full").fillna(0)
     return both.agg(F.coalesce(F.sum(F.greatest(F.col("w") - F.col("o"), F.lit(0))), F.lit(0)).alias("added"), F.coalesce(F.sum(F.greatest(F.col("o") - F.col("w"), F.lit(0))), F.lit(0)).alias("removed"), F.coalesce(F.sum("w"), F.lit(0)).alias("total"))
+
+
+VERSION = 1
+
+
+def save(baseline: DataFrame, path: str) -> None:
+    """A JSON file of sorted fingerprints, one a line, that reviews and merges well; accepted clones are few enough to be reviewed."""
+    found = {r.fingerprint: r.n for r in baseline.orderBy("fingerprint").toLocalIterator()}
+    with open(path, "w") as f:
+        json.dump({"version": VERSION, "fingerprints": found}, f, indent=1, sort_keys=True)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """(fingerprint, n) of such a file; a later version is refused."""
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no baseline at {path}: update it first")
+    with open(path) as f:
+        raw = json.load(f)
+    if raw.get("version", 0) > VERSION:
+        raise ValueError(f"{path}: version {raw['version']} is newer than {VERSION}")
+    return spark.createDataFrame(sorted(raw["fingerprints"].items()), "fingerprint string, n long")

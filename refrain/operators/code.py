@@ -17,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HASH = {"python", "ruby", "bash", "perl", "r", "yaml", "toml", "makefile", "docker", "elixir", "julia", "powershell", "properties", "ini", "awk", "cmake", "nim", "crystal", "tcl", "coffeescript"}
-DASHES = {"sql", "plsql", "haskell", "lua", "elm", "ada", "vhdl", "purescript"}
-MARKUP = {"markup", "html", "vue", "svelte", "astro", "markdown"}
-PERCENT = {"latex", "erlang", "prolog", "matlab"}
-SEMICOLON = {"lisp", "clojure", "scheme", "racket", "asm6502", "nasm"}
+# Formats by how they mark comments; all others are C's.
+HASH = {"python", "ruby", "perl", "bash", "sh", "zsh", "fish", "r", "julia", "yaml", "toml", "dockerfile", "makefile", "cmake", "coffeescript", "crystal", "nim", "gdscript", "elixir", "awk", "tcl", "powershell", "puppet", "ignore"}
+DASHES = {"sql", "haskell", "elm", "ada", "plsql"}
+SEMICOLON = {"ini", "properties", "asm6502", "nasm", "lisp", "clojure", "scheme", "racket"}
+QUOTE = {"vb", "vbs", "basic", "vbnet", "visual-basic"}
 C_LINE, C_BLOCK = "//", ("/*", "*/")
 SCRIPT = {"javascript", "typescript", "jsx", "tsx"}
-START, END = "refrain:ignore-start", "refrain:ignore-end"
+#: Marks of regions that are left out, whatever tool they name.
+START, END = re.compile(r"\w:ignore-start"), re.compile(r"\w:ignore-end")
 FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})[ \t]*([^\s`]*)[^\n]*$", re.M)
 FRONT = re.compile(r"\A---[ \t]*\n(.*?)^---[ \t]*$", re.M | re.S)
 BLOCK = re.compile(r"<(template|script|style)\b([^>]*)>(.*?)</\1>", re.S | re.I)
@@ -33,37 +34,34 @@ DEFAULTS = {"script": "javascript", "style": "css", "template": "markup"}
 NAMES = {"ts": "typescript", "js": "javascript", "md": "markdown", "py": "python", "sh": "bash", "yml": "yaml", "html": "markup"}
 
 
-def comment_style(fmt: str) -> tuple[str | None, tuple[str, str] | None]:
+def comment_style(fmt: str) -> tuple[str, tuple[str, str] | None]:
     """(line comment, block comment) of a format; unknown ones are C's."""
     if fmt in HASH:
         return "#", None
-    if fmt in DASHES:
-        return "--", ("--[[", "]]") if fmt == "lua" else C_BLOCK if fmt in ("sql", "plsql") else None
-    if fmt in MARKUP:
-        return None, ("<!--", "-->")
-    if fmt in PERCENT:
-        return "%", None
+    if fmt in DASHES or fmt == "lua":
+        return "--", None
     if fmt in SEMICOLON:
         return ";", None
-    if fmt in ("txt", "text", "csv", "log"):
-        return None, None
-    if fmt == "css":
-        return None, C_BLOCK
+    if fmt in QUOTE:
+        return "'", None
     return C_LINE, C_BLOCK
 
 
+OPERATORS = [">>>=", "...", "===", "!==", "**=", "<<=", ">>=", ">>>", "&&=", "||=", "??=", "=>", "==", "!=", "<=", ">=", "&&", "||", "??", "?.", "++", "--", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<", ">>", "**"]
+
+
 def _lexer(fmt: str) -> re.Pattern:
     line, block = comment_style(fmt)
-    parts = []
+    script, parts = fmt in SCRIPT, []
     if block:
         parts.append(f"(?P<block>{re.escape(block[0])}.*?(?:{re.escape(block[1])}|\\Z))")
-    if line:
-        parts.append(f"(?P<comment>{re.escape(line)}[^\\n]*)")
-    if fmt in SCRIPT:
+    parts.append(f"(?P<comment>{re.escape(line)}[^\\n]*)")
+    if script:
         parts.append(r"(?P<string>`(?:\\.|[^`\\])*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')")
-    elif fmt not in ("markdown", "txt", "text", "markup", "html", "vue", "svelte", "astro", "latex"):
-        parts.append(r"(?P<string>\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')")
-    parts += [r"(?P<whitespace>\s+)", r"(?P<literal>[0-9][0-9.]*)", r"(?P<identifier>[\w$]+)", r"(?P<punctuation>.)"]
+        parts.append(f"(?P<operator>{'|'.join(map(re.escape, OPERATORS))})")
+    else:  # a string that isn't closed goes to the end of its line
+        parts.append(r"(?P<string>\"(?:\\[^\n]|[^\"\n])*\"?|'(?:\\[^\n]|[^'\n])*'?)")
+    parts += [r"(?P<whitespace>[^\S\n]+|\n)", r"(?P<literal>[0-9][0-9.]*)", r"(?P<identifier>[\w$]+)" if script else r"(?P<identifier>(?!\d)\w+)", r"(?P<punctuation>.)"]
     return re.compile("|".join(parts), re.S)
 
 
@@ -81,8 +79,13 @@ def lex(text: str, fmt: str):
             kind = "literal"
         else:
             m = rx.match(text, at)
-            kind = {"block": "comment", "string": "literal"}.get(m.lastgroup, m.lastgroup)
-        yield kind, m.group(), at
+            kind = {"block": "comment", "string": "literal", "operator": "punctuation"}.get(m.lastgroup, m.lastgroup)
+        if m.lastgroup == "block" and fmt not in SCRIPT:  # its marks and each character within are tokens
+            inner = m.end() - 2 * (m.end() - at > 3 and m.group().endswith("*/"))
+            for x, y in ((at, at + 2), *((i, i + 1) for i in range(at + 2, inner)), *(((inner, m.end()),) if inner < m.end() else ())):
+                yield "whitespace" if text[x:y] == "\n" else "comment", text[x:y], x
+        else:
+            yield kind, m.group(), at
         at = m.end()
         if kind not in ("whitespace", "comment"):
             last = m.group()
@@ -168,9 +171,9 @@ def tokens(sources: DataFrame, mode: str = "mild", ignore_case: bool = False, ig
                 ranges = [m.span() for p in patterns for m in p.finditer(text)]
                 opened = None
                 for at, line in zip(starts, text.split("\n"), strict=True):
-                    if START in line and opened is None:
+                    if START.search(line) and opened is None:
                         opened = at
-                    if END in line and opened is not None:
+                    if END.search(line) and opened is not None:
                         ranges.append((opened, at + len(line)))
                         opened = None
                 if opened is not None:

@@ -21,6 +21,31 @@ def sentence(stats: DataFrame) -> str:
     return f"{t.clones} clones, {t.duplicated_lines} repeated lines of {t.lines} ({t.percentage:.2f}%) in {t.sources} sources" if t else "0 clones"
 
 
+def compressed(a: str, b: str) -> str:
+    """Two paths in one, with their common folder told once."""
+    common = os.path.commonpath([os.path.dirname(a), os.path.dirname(b)]) if os.path.isabs(a) == os.path.isabs(b) else ""
+    return f"{common}/{{{os.path.relpath(a, common)} ~ {os.path.relpath(b, common)}}}" if common else f"{a} ~ {b}"
+
+
+def badges(stats: DataFrame) -> dict[str, str]:
+    """Two pictures: the share of repeated lines, and the number of clones."""
+    t = stats.where("pool = '*'").first()
+    share, clones = (t.percentage, t.clones) if t else (0.0, 0)
+    color = "#e05d44" if share > 20 else "#fe7d37" if share > 10 else "#4c1"
+    draw = lambda text: f'<svg xmlns="http://www.w3.org/2000/svg" width="150" height="20"><rect width="150" height="20" fill="{color}"/><text x="8" y="14" fill="#fff" font-size="11">{text}</text></svg>'
+    return {"share": draw(f"repeated {share:.2f}%"), "clones": draw(f"clones {clones}")}
+
+
+def summary_block(files: DataFrame, folders: DataFrame, by: str) -> str:
+    """The first files and folders as aligned text; shares of repeated lines are clamped to 100."""
+    size = lambda n: f"{n}" if n < 1024 else f"{n / 1024:.1f}K" if n < 1024**2 else f"{n / 1024**2:.1f}M"
+    share = lambda r: f"{min(100.0, 100.0 * r.duplicated_lines / r.lines):.1f}" if r.lines else "0.0"
+    out = [f"Summary by {by}", "tokens lines size complexity repeated% path"]
+    out += [f"{r.tokens:>8} {r.lines:>6} {size(r.bytes):>7} {r.complexity:>5} {share(r):>5} {r.path}" for r in files.collect()]
+    out.append("files tokens lines size mean-complexity folder")
+    return "\n".join(out + [f"{r.files:>5} {r.tokens:>8} {r.lines:>6} {size(r.bytes):>7} {r.complexity // r.files:>5} {r.folder}" for r in folders.collect()])
+
+
 def report(kind: str, lined: DataFrame, stats: DataFrame, limit: int = 10_000) -> str:
     """The text of a report of one kind: json, xml, csv, markdown, html, sarif, openmetrics, badge, ai, xcode, console, silent."""
     if kind == "json":
@@ -28,26 +53,39 @@ def report(kind: str, lined: DataFrame, stats: DataFrame, limit: int = 10_000) -
     if kind == "xml":
         return '<?xml version="1.0" encoding="utf-8"?>\n<pmd-cpd>\n' + "\n".join(_lines(rows.xml_duplications(lined), limit)) + "\n</pmd-cpd>\n"
     if kind in ("csv", "markdown"):
+        if kind == "markdown":
+            head = rows.csv_rows(stats).columns
+            return "\n".join(["| " + " | ".join(head) + " |", "|" + " --- |" * len(head), *sorted(_lines(rows.markdown_rows(stats), limit))]) + "\n"
         table = rows.csv_rows(stats).orderBy("Format")
         head, body = table.columns, [[str(x) for x in r] for r in table.collect()]
-        if kind == "csv":
-            return "\n".join(",".join(r) for r in [head, *body]) + "\n"
-        return "\n".join("| " + " | ".join(r) + " |" for r in [head, ["---"] * len(head), *body]) + "\n"
+        return "\n".join(",".join(r) for r in [head, *body]) + "\n"
     if kind == "sarif":
         results = [json.loads(r.result) for r in rows.sarif_results(lined).limit(limit).collect()]
         return json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": {"name": "refrain", "rules": [{"id": "repeated-passage"}]}}, "results": results}]})
     if kind == "openmetrics":
-        return "\n".join(sorted(_lines(rows.metric_lines(stats), 1_000_000))) + "\n# EOF\n"
+        out, seen = [], ""
+        for line in sorted(_lines(rows.metric_lines(stats), 1_000_000), key=lambda x: (x.partition("{")[0].split()[0], x)):
+            if (name := line.partition("{")[0].split()[0]) != seen:
+                out += [f"# HELP {name} {name.removeprefix('duplication_').replace('_', ' ')}.", f"# TYPE {name} gauge"]
+                seen = name
+            out.append(line)
+        return "\n".join(out) + "\n# EOF\n"
     if kind == "badge":
-        p = (stats.where("pool = '*'").first() or {"percentage": 0.0})["percentage"]
-        color = "#e05d44" if p > 20 else "#fe7d37" if p > 10 else "#4c1"
-        return f'<svg xmlns="http://www.w3.org/2000/svg" width="150" height="20"><rect width="150" height="20" fill="{color}"/><text x="8" y="14" fill="#fff" font-size="11">repeated {p:.2f}%</text></svg>'
+        return badges(stats)["share"]
     if kind == "html":
         groups = lined.groupBy("pool").count().orderBy("pool").collect()
         items = "".join(f"<li>{html.escape(x)}</li>" for x in _lines(rows.compact_lines(lined), limit))
         return f"<!doctype html><title>Repeats</title><p>{html.escape(sentence(stats))}</p><ul>{''.join(f'<li>{html.escape(str(g.pool))}: {g[1]}</li>' for g in groups)}</ul><ol>{items}</ol>"
     if kind == "silent":
         return sentence(stats)
+    if kind == "console-full":  # snippets of 20 lines at most, with authors where the clones have them
+        out = []
+        for r in lined.limit(limit).collect():
+            r = r.asDict()
+            who = f" [{r.get('a_author')} | {r.get('b_author')}]" if "a_author" in r else ""
+            out.append(f"{r['a_id']}:{r['a_start']}-{r['a_end']} ~ {r['b_id']}:{r['b_start']}-{r['b_end']} ({r['tokens']}){who}")
+            out += [f"  {r['a_start'] + i} | {line}" for i, line in enumerate((r.get("a_fragment") or "").split("\n")[:20])]
+        return "\n".join([*out, sentence(stats)])
     lines = _lines({"ai": rows.compact_lines, "xcode": rows.warning_lines, "console": rows.compact_lines}[kind](lined), limit)
     return "\n".join([*lines, *([sentence(stats)] if kind == "console" else [])])
 
@@ -61,6 +99,10 @@ def write(kinds: list[str], lined: DataFrame, stats: DataFrame, folder: str) ->
         paths.append(os.path.join(folder, f"duplication-{kind}.{suffix.get(kind, kind)}"))
         with open(paths[-1], "w") as f:
             f.write(report(kind, lined, stats))
+        if kind == "badge":
+            paths.append(os.path.join(folder, "duplication-badge-clones.svg"))
+            with open(paths[-1], "w") as f:
+                f.write(badges(stats)["clones"])
     return paths
 
 

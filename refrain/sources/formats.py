@@ -5,39 +5,155 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: extension=format, the last registration of an extension.
-_BY_EXTENSION = """
-R=r b=brainfuck c=c d=d e=eiffel f=fortran h=c-header m=objectivec p=pascal q=q r=r v=verilog as=actionscript bf=brainfuck cc=cpp cl=lisp cr=crystal
-cs=csharp el=lisp es=javascript fs=fsharp g4=antlr4 gd=gdscript go=go gv=dot hb=handlebars hh=cpp-header hs=haskell hx=haxe jl=julia js=javascript
-kt=kotlin ld=linker-script ll=llvm ls=livescript ly=lilypond md=markdown ml=ocaml mm=objectivec nb=wolfram oz=oz pl=perl pm=perl po=gettext pp=puppet
-pq=powerquery py=python qs=qsharp rb=ruby rq=sparql rs=rust sh=bash ss=scheme st=smalltalk tf=hcl ts=typescript uc=unrealscript vb=vbnet wl=wolfram
-xy=xquery ada=ada apl=apl asp=aspnet awk=awk bas=basic c++=cpp cfc=cfscript cfm=cfml cjs=javascript clj=clojure cls=apex cpp=cpp cql=sql css=css
-csv=csv cts=typescript cxx=cpp dot=dot edn=clojure ejs=markup elm=elm erl=erlang es6=javascript f77=fortran f90=fortran for=fortran gss=css
-h++=cpp-header hbs=handlebars hcl=hcl hpp=cpp-header htm=markup hxx=cpp-header idr=idris ini=ini jsp=markup jsx=jsx ksh=bash kts=kotlin lhs=haskell
-log=log lua=lua map=json mjs=javascript mkd=markdown mli=ocaml mll=ocaml mly=ocaml mts=typescript nsh=nsis nsi=nsis pas=pascal php=php pro=prolog
-ps1=powershell pug=pug pxd=python pxi=python pyx=python res=rescript rkt=racket sas=sas scm=scheme sol=solidity soy=soy sql=sql svg=markup tap=tap
-tcl=tcl tex=latex tpl=smarty tsx=tsx tt2=tt2 ttl=turtle txt=txt vhd=vhdl vtl=velocity vue=vue xls=excel-formula xml=markup xsl=markup yml=yaml z80=c
-zig=zig apex=apex aspx=aspnet bash=bash cljc=clojure cljs=clojure cljx=clojure dart=dart diff=diff haml=haml html=markup hxml=haxe jade=pug java=java
-json=json less=less lisp=lisp psd1=powershell psm1=powershell puml=plant-uml purs=purescript qasm=openqasm sass=sass scss=scss styl=stylus toml=toml
-twig=twig vhdl=vhdl wgsl=wgsl xlsx=excel-formula xslt=markup yaml=yaml astro=astro bicep=bicep cmake=cmake json5=json5 ocaml=ocaml patch=diff
-phtml=php plsql=plsql proto=protobuf razor=razor robot=robotframework scala=scala swift=swift coffee=coffeescript cshtml=razor erlang=erlang
-gradle=groovy groovy=groovy jsonld=json puppet=puppet smarty=smarty stylus=stylus svelte=svelte xquery=xquery feature=gherkin graphql=graphql
-textile=textile trigger=apex markdown=markdown plantuml=plant-uml gitignore=ignore handlebars=handlebars properties=properties
+# The known formats in the order of their registration, each with its extensions; the last registration of an extension counts.
+WITH_EXTENSIONS = """
+actionscript: as
+ada: ada
+apl: apl
+aspnet: asp aspx
+bash: sh ksh bash
+basic: bas
+brainfuck: b bf
+c: c z80
+c-header: h
+clojure: cljs clj cljc cljx edn
+coffeescript: coffee
+cpp: cpp c++ cc cxx
+cpp-header: hpp h++ hh hxx
+crystal: cr
+csharp: cs
+css: css gss
+d: d
+dart: dart
+diff: diff patch
+eiffel: e
+elm: elm
+erlang: erl erlang
+fortran: f for f77 f90
+fsharp: fs
+gdscript: gd
+gherkin: feature
+go: go
+graphql: graphql
+groovy: groovy gradle
+haml: haml
+handlebars: hb hbs handlebars
+haskell: hs lhs
+haxe: hx hxml
+ini: ini
+java: java
+javascript: js es es6 mjs cjs
+json: json map jsonld
+jsx: jsx
+julia: jl
+kotlin: kt kts
+latex: tex
+less: less
+lisp: cl lisp el
+livescript: ls
+lua: lua
+markdown: md markdown mkd
+markup: html htm xml xsl xslt svg ejs jsp
+nsis: nsh nsi
+objectivec: m mm
+ocaml: ocaml ml mli mll mly
+oz: oz
+pascal: pas p
+perl: pl pm
+php: php phtml
+plsql: plsql
+powershell: ps1 psd1 psm1
+prolog: pro
+properties: properties
+protobuf: proto
+pug: pug jade
+puppet: pp puppet
+python: py pyx pxd pxi
+q: q
+r: r R
+razor: cshtml razor
+ruby: rb
+rust: rs
+sas: sas
+sass: sass
+scala: scala
+scheme: scm ss
+scss: scss
+svelte: svelte
+smalltalk: st
+smarty: smarty tpl
+soy: soy
+sql: sql cql
+stylus: styl stylus
+swift: swift
+tap: tap
+tcl: tcl
+textile: textile
+tsx: tsx
+tt2: tt2
+twig: twig
+typescript: ts mts cts
+txt: txt
+vbnet: vb
+velocity: vtl
+verilog: v
+vhdl: vhd vhdl
+astro: astro
+vue: vue
+xquery: xy xquery
+yaml: yaml yml
+antlr4: g4
+apex: cls trigger apex
+awk: awk
+bicep: bicep
+cfscript: cfc
+cfml: cfm
+cmake: cmake
+csv: csv
+dot: dot gv
+excel-formula: xlsx xls
+gettext: po
+hcl: tf hcl
+idris: idr
+ignore: gitignore
+json5: json5
+lilypond: ly
+linker-script: ld
+llvm: ll
+log: log
+openqasm: qasm
+plant-uml: puml plantuml
+powerquery: pq
+purescript: purs
+qsharp: qs
+racket: rkt
+rescript: res
+robotframework: robot
+solidity: sol
+sparql: rq
+toml: toml
+turtle: ttl
+unrealscript: uc
+wgsl: wgsl
+wolfram: wl nb
+zig: zig
 """
-#: Formats that have no extension of their own.
-_BARE = """
-asm6502 inform7 agda vala xeora stata matlab mongodb erb visual-basic asciidoc mermaid liquid gcode lolcode jolie clike dns-zone-file makefile
-go-module qore pure arff bnf abnf ebnf apacheconf roboconf editorconfig processing batch wiki smali uri j opencl mel dhall gml cobol n1ql aql promql
-glsl hlsl ftl ichigojam nim vim gedcom armasm nasm wasm odin icon shell-session reason bison rego django io xojo arduino bro kusto abap keymap parigp
-rip hpkp csp http jq mizar cypher docker elixir factor css-extras n4js comments hsts git autoit applescript typoscript rest flow regex nix nginx
-monkey autohotkey renpy
+# The formats that have no extension of their own.
+WITHOUT_EXTENSION = """
+abap apacheconf applescript arduino arff asciidoc asm6502 autohotkey autoit batch bison bro clike comments csp css-extras django docker elixir erb
+flow gedcom git glsl hpkp hsts http ichigojam icon inform7 io j jolie keymap liquid lolcode makefile matlab mel mizar monkey n4js nasm nginx nim nix
+opencl parigp processing pure qore reason renpy rest rip roboconf vim visual-basic wasm wiki xeora xojo abnf agda aql armasm bnf cobol cypher dhall
+dns-zone-file ebnf editorconfig factor ftl gcode gml go-module hlsl jq kusto mermaid mongodb n1ql odin promql regex rego shell-session smali stata
+typoscript uri vala
 """
-EXTENSIONS: dict[str, str] = dict(x.split("=") for x in _BY_EXTENSION.split())
-FORMATS: list[str] = sorted({*EXTENSIONS.values(), *_BARE.split(), })
-#: What a first line names, in the order that is tried.
+EXTENSIONS: dict[str, str] = {ext: name for name, _, exts in (line.partition(":") for line in WITH_EXTENSIONS.strip().splitlines()) for ext in exts.split()}
+FORMATS: list[str] = [line.partition(":")[0] for line in WITH_EXTENSIONS.strip().splitlines()] + WITHOUT_EXTENSION.split()
+# What a first line names, in the order that is tried.
 SHEBANGS = [("python", "python"), ("node", "javascript"), ("ruby", "ruby"), ("bash", "bash"), ("/sh", "bash"), ("perl", "perl"), ("php", "php")]
-INTERPRETERS = {"sh": "bash", "bash": "bash", "dash": "bash", "zsh": "bash", "ksh": "bash", "node": "javascript", "deno": "typescript", "bun": "typescript", "tsx": "typescript", "python": "python", "pypy": "python", "ruby": "ruby", "perl": "perl", "php": "php", "lua": "lua", "awk": "awk", "gawk": "awk", "Rscript": "r", "groovy": "groovy"}
-SYNONYMS = {"js": "javascript", "ts": "typescript", "py": "python", "rb": "ruby", "yml": "yaml", "sh": "bash", "shell": "bash", "html": "markup", "c++": "cpp", "c#": "csharp", "golang": "go"}
+# Interpreters by base name.
+INTERPRETERS = {"bash": "bash", "sh": "bash", "zsh": "bash", "dash": "bash", "ksh": "bash", "python": "python", "ruby": "ruby", "perl": "perl", "php": "php", "node": "javascript", "nodejs": "javascript", "lua": "lua", "tclsh": "tcl", "wish": "tcl", "groovy": "groovy", "awk": "awk", "gawk": "awk", "nawk": "awk", "rscript": "r"}
+# Names that stand for a format besides its extensions.
+SYNONYMS = {"node": "javascript", "shell": "bash", "zsh": "bash", "golang": "go"}
 
 
 def list_formats() -> list[str]:
@@ -68,9 +184,9 @@ def by_shebang(line: Column) -> Column:
 
 
 def by_interpreter(line: Column) -> Column:
-    """The stricter reading of a first line: the interpreter's base name, past env and its options, without its version."""
-    name = F.regexp_extract(line, r"^#!\s*(?:\S*/)?(?:env\s+(?:-\S+\s+)*)?(?:\S*/)?([A-Za-z]+)[0-9.]*", 1)
-    return _looked_up(INTERPRETERS, name)
+    """The stricter reading of a first line: the interpreter's base name in lower case, past env without options, without its version."""
+    name = F.regexp_extract(line, r"^#!\s*(?:(?:\S*/)?env\s+(?!-))?(?:\S*/)?([^\s/0-9][^\s/]*?)(?:[0-9]+(?:\.[0-9]+)*)?(?:\s|$)", 1)
+    return _looked_up(INTERPRETERS, F.lower(name))
 
 
 def detect(path: Column, content: Column, extensions: dict[str, str] | None = None, names: dict[str, str] | None = None) -> Column:

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from refrain.functions import scalars
 from refrain.operators import code, detect, stats
 from refrain.operators.tokens import token_arrays
-from refrain.reports import writers
+from refrain.reports import rows, writers
 from refrain.sources import files, formats, options, paths
 from refrain.streaming import probes
 
 
 def test_formats():
+    assert formats.resolve_format("golang") == "go" and len(formats.EXTENSIONS) > 200 and formats.FORMATS[0] == "actionscript"
     assert len(formats.list_formats()) == 224
     assert formats.resolve_format("JS") == "javascript" and formats.resolve_format("tf") == "hcl" and formats.resolve_format("nonesuch") is None
 
@@ -59,7 +60,9 @@ def lexed(text, fmt, **kw):
 
 def test_lexer():
     assert lexed("x = 'a\\'b' # c\n", "python") == [("identifier", "x"), ("punctuation", "="), ("literal", "'a\\'b'"), ("comment", "# c")]
-    assert lexed("/* a\nb */ c", "c")[0] == ("comment", "/* a\nb */")
+    assert lexed("/*a\nb */c", "c") == [("comment", x) for x in ("/*", "a", "b", " ", "*/")] + [("identifier", "c")]
+    assert lexed("/* a */ c", "javascript")[0] == ("comment", "/* a */") and ("punctuation", "&&") in lexed("a && b", "javascript")
+    assert lexed("x = 'open\ny", "java")[2:] == [("literal", "'open"), ("identifier", "y")] and lexed("-- x", "sql") == [("comment", "-- x")]
     assert ("literal", "/a[/]b/g") in lexed("x = /a[/]b/g.test(y) / 2", "javascript") and ("punctuation", "/") in lexed("a / b", "javascript")
     assert lexed("`a ${b}`", "javascript") == [("literal", "`a ${b}`")]
     for text in ("", "\0", "/*", "'", "`", "é'\n\"", "---\n"):
@@ -117,8 +120,14 @@ def test_reports(spark, tmp_path):
     made = json.loads(texts["json"])["duplicates"][0]
     assert (made["lines"], made["tokens"], made["firstFile"]["name"]) == (3, 9, "1")
     assert json.loads(texts["sarif"])["runs"][0]["results"][0]["level"] == "warning"
-    assert '<duplication lines="2" tokens="9">' in texts["xml"] and texts["csv"].splitlines()[1].startswith("Total:,2,6,18,1")
-    assert texts["openmetrics"].endswith("# EOF\n") and 'duplication_clones{format="p"} 1.0' in texts["openmetrics"] and texts["silent"].startswith("1 clones")
+    assert '<duplication lines="2" tokens="9">' in texts["xml"] and texts["csv"].splitlines()[1].startswith("Total:,2,6,18,1,2,9")
+    assert texts["openmetrics"].endswith("# EOF\n") and 'duplication_clones{format="p"} 1.0' in texts["openmetrics"] and "# TYPE duplication_clones gauge" in texts["openmetrics"]
+    found = rows.with_fragments(lined, spark.createDataFrame([(1, text), (2, text)], "source_id long, content string"))
+    assert json.loads(writers.report("json", found, stat))["duplicates"][0]["fragment"] == text and "<codefragment><![CDATA[one" in writers.report("xml", found, stat)
+    assert "one two three" in writers.report("console-full", found, stat) and len(writers.badges(stat)) == 2
+    first, folders = stats.summary(spark.createDataFrame([("1", "x", 3, 9, 40, 1), ("2", "y", 3, 9, 40, 2)], "path string, folder string, lines long, tokens long, bytes long, complexity long"), lined, "complexity", 1)
+    assert first.first().path == "2" and first.first().duplicated_lines == 2 and folders.first().folder == "y" and "40" in writers.summary_block(first, folders, "complexity")
+    assert writers.compressed("src/a/x.js", "src/a/y.js") == "src/a/{x.js ~ y.js}" and texts["silent"].startswith("1 clones")
     assert writers.exceeds(stat, 30) and not writers.exceeds(stat, 40)
 
 
