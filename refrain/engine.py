@@ -10,15 +10,17 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from refrain.operators import baseline, code, detect, snippets, stats
 from refrain.reports import writers
 from refrain.sources import files, formats
+from refrain.functions.scalars import clean_id, parent_dir
 from refrain.sources.options import Options
+from refrain.sources.stores import get_store
 
 
 @dataclass
@@ -36,6 +38,21 @@ class Result:
     clones: DataFrame
     statistics: DataFrame
     arrays: DataFrame
+    sources: DataFrame | None = None
+    observation: Observation | None = None
+
+    def observed(self) -> dict:
+        """What passed the first action over the clones; waits for it."""
+        return self.observation.get if self.observation else {}
+
+    def summary(self, by: str = "tokens", top: int = 10) -> tuple[DataFrame, DataFrame]:
+        """The first files and folders; a file's sections count together."""
+        whole = lambda df: df.withColumn("path", clean_id(F.col("source_id").cast("string")))
+        sizes = whole(stats.source_sizes(self.arrays)).groupBy("path").agg(F.max("lines").alias("lines"), F.sum("tokens").alias("tokens"))
+        points = whole(stats.complexity(self.arrays)).groupBy("path").agg((F.sum("complexity") - F.count("*") + 1).alias("complexity"))
+        own = self.sources.select(F.col("source_id").cast("string").alias("path"), F.col("bytes").cast("long").alias("bytes"))
+        files_of = sizes.join(points, "path").join(own, "path").withColumn("folder", parent_dir(F.col("path")))
+        return stats.summary(files_of, self.clones, by, top)
 
     def exit_code(self, options: Options, allowed_new: int | None = None) -> int:
         """The options' code if anything repeats, 1 past the threshold or the allowed new clones, else 0."""
@@ -85,7 +102,11 @@ def run(spark: SparkSession, options: Options, sources: DataFrame | None = None,
         found = found.transform(hook)
     if accepted is not None:
         found = baseline.mark_new(baseline.fingerprints(found, arrays), accepted)
-    result = Result(found, stats.statistics(stats.source_sizes(arrays), found), arrays)
+    statistics = stats.statistics(stats.source_sizes(arrays), found)
+    observation = Observation() if extensions.subscribers else None
+    if observation:
+        found = found.observe(observation, F.count("*").alias("clones"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    result = Result(found, statistics, arrays, sources, observation)
     for tell in extensions.subscribers:
         tell("planned", {"seconds": time.perf_counter() - began})
     for report in extensions.reporters:
@@ -93,6 +114,12 @@ def run(spark: SparkSession, options: Options, sources: DataFrame | None = None,
     return result
 
 
+def baseline_from(spark: SparkSession, options: Options, sources: DataFrame | None = None) -> DataFrame:
+    """A baseline of another snapshot (a tree checked out at a reference, or its ``sources``), by the same options."""
+    before = run(spark, options, sources)
+    return baseline.build(baseline.fingerprints(before.clones, before.arrays))
+
+
 class Engine:
     """A resident index: built once, asked for snippets, files and statistics, built anew by recheck()."""
 
@@ -105,7 +132,7 @@ class Engine:
         self.scanning = True
         try:
             self.result = run(self.spark, self.options, self.sources)
-            self.index = snippets.index_of(self.result.arrays, self.options.min_tokens)
+            self.index = get_store(self.options.store)(snippets.index_of(self.result.arrays, self.options.min_tokens), self.options.store_path)
         finally:
             self.scanning = False
         return self.health()
@@ -129,6 +156,10 @@ class Engine:
     def get_statistics(self) -> list[dict]:
         return [r.asDict() for r in self.result.statistics.collect()]
 
+    def check_directory(self, path: str) -> list[dict]:
+        """Statistics of a directory by the same options, beside the index."""
+        return [r.asDict() for r in run(self.spark, replace(self.options, paths=[path])).statistics.collect()]
+
     def health(self) -> dict:
         return {"status": "scanning" if self.scanning else "ready"}
 

@@ -66,12 +66,17 @@ def _lexer(fmt: str) -> re.Pattern:
 
 
 LEXERS: dict[str, re.Pattern] = {}
+#: Own tokenizers by format: functions of a text that yield (kind, value, offset) of every character.
+TOKENIZERS: dict = {}
 REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
 BEFORE_REGEX = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do"}
 
 
 def lex(text: str, fmt: str):
     """(kind, value, offset) of every character; in scripts a slash where no value ends begins a regular expression."""
+    if fmt in TOKENIZERS:
+        yield from TOKENIZERS[fmt](text)
+        return
     rx = LEXERS.setdefault(fmt, _lexer(fmt))
     at, last = 0, ""
     while at < len(text):

@@ -130,6 +130,21 @@ def skip_isolated(groups: list[list[str]], folder: str = "folder") -> Column:
     return out
 
 
+def validated(found: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Clones with ``messages``: the names of the conditions that fail; none for a clone that all accept."""
+    told = F.array_compact(F.array(*[F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]))
+    return found.withColumn("messages", told)
+
+
+def with_blame(found: DataFrame, blame: DataFrame) -> DataFrame:
+    """Clones with a_author and b_author: who wrote the first line of each side, from ``blame`` (source_id, line, author)."""
+    out = found
+    for side in "ab":
+        who = blame.select(F.col("source_id").cast("string").alias("_s"), F.col("line").cast("int").alias("_l"), F.col("author").alias(f"{side}_author"))
+        out = out.join(who, (F.regexp_replace(F.col(f"{side}_id").cast("string"), r"(?<=..):[a-z0-9+-]+$", "") == F.col("_s")) & (F.col(f"{side}_start") == F.col("_l")), "left").drop("_s", "_l")
+    return out
+
+
 def with_attribute(found: DataFrame, sources: DataFrame, name: str) -> DataFrame:
     """Clones with a_<name> and b_<name> from ``sources``."""
     out = found

@@ -10,22 +10,40 @@ from pyspark.sql import functions as F
 from refrain.functions.scalars import relative_to
 from refrain.sources import formats
 from refrain.sources.options import Options, parse_size
-from refrain.sources.paths import glob_regex, ignored
+from refrain.sources.paths import gitignore_rules, glob_regex, ignored
+
+
+def gitignore(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
+    """Rules of the ignore file at a root, wherever Spark can read it; none without one."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.gitignore")
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return []
+    stream = store.open(path)
+    try:
+        return gitignore_rules(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def walk(spark: SparkSession, root: str, options: Options, rules: list[tuple[str, bool]] = ()) -> DataFrame:
-    """(source_id, root, format, content, bytes) of one root's files. Sizes and paths are tested before contents are read; invalid UTF-8 drops a file."""
+    """(source_id, root, format, content, bytes) of one root's files. Sizes and paths are tested before contents are read.
+
+    Invalid UTF-8 drops a file, or is replaced sign by sign if options say lossy.
+    """
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     found = read.load(root).where(F.col("length") <= parse_size(options.max_size))
     path = F.regexp_replace("path", r"^file:/+", "/")
-    found = found.withColumn("source_id", relative_to(path, root))
+    found = found.withColumn("source_id", path if options.absolute else relative_to(path, root))
     if options.pattern:
         found = found.where(F.col("source_id").rlike(glob_regex(options.pattern)))
     for glob in options.ignore:
         found = found.where(~F.col("source_id").rlike(glob_regex(glob)))
     if rules:
         found = found.where(~ignored(F.col("source_id"), list(rules)))
-    found = found.withColumn("content", F.try_validate_utf8(F.col("content").cast("string"))).where("content is not null")
+    decode = F.make_valid_utf8 if options.lossy else F.try_validate_utf8
+    found = found.withColumn("content", decode(F.col("content").cast("string"))).where("content is not null")
     found = found.withColumn("format", formats.detect(F.col("source_id"), F.col("content"), options.formats_exts, options.formats_names)).where("format is not null")
     if options.formats:
         found = found.where(F.col("format").isin(options.formats))
@@ -37,7 +55,8 @@ def walk(spark: SparkSession, root: str, options: Options, rules: list[tuple[str
 
 
 def scan(spark: SparkSession, options: Options, rules: list[tuple[str, bool]] = ()) -> DataFrame:
-    return reduce(DataFrame.unionByName, [walk(spark, p, options, rules) for p in options.paths])
+    own = lambda root: [*(gitignore(spark, root) if options.gitignore and not options.absolute else ()), *rules]
+    return reduce(DataFrame.unionByName, [walk(spark, p, options, own(p)) for p in options.paths])
 
 
 def snippet(spark: SparkSession, code: str, fmt: str) -> DataFrame:

@@ -68,6 +68,16 @@ class Options:
     output: str = "report"
     threshold: float | None = None
     exit_code: int = 0
+    gitignore: bool = True
+    lossy: bool = False
+    absolute: bool = False
+    store: str | None = None
+    store_path: str | None = None
+    baseline: str | None = None
+    sarif_error_tokens: int | None = None
+    summary: bool = False
+    summary_top: int = 10
+    summary_by: str = "tokens"
 
 
 def camel(name: str) -> str:
@@ -92,7 +102,7 @@ def coerce(raw: dict) -> tuple[dict, list[str]]:
         parsers = {"formats_exts": parse_mappings, "formats_names": parse_mappings, "cross_formats": parse_groups, "skip_isolated": parse_isolation}
         if f.name in parsers and isinstance(value, str):
             value = parsers[f.name](value)
-        if f.name in ("min_tokens", "min_lines", "max_lines", "exit_code") and not isinstance(value, int):
+        if f.name in ("min_tokens", "min_lines", "max_lines", "exit_code", "summary_top", "sarif_error_tokens") and not isinstance(value, int):
             raise TypeError(f"{key}: a number is asked for")
         out[f.name] = value
     return out, warnings

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from refrain import __main__ as cli
 from refrain import engine
-from refrain.operators import baseline
+from refrain.operators import baseline, detect, stats
 from refrain.sources.options import Options
+from refrain.sources.stores import get_store
 
 BODY = "function add(a, b) {\n  // sums\n  const c = a + b;\n  return c * 2;\n}\nlet x = add(1, 2);\n"
 
@@ -33,6 +34,21 @@ def test_runs(spark, tmp_path):
     assert pairs(engine.run(spark, Options(paths=[root], min_tokens=10, min_lines=2), extensions=engine.Extensions(mode=lambda: F.col("kind") == "identifier")))
 
 
+def test_extensions(spark, tmp_path):
+    told = []
+    got = engine.run(spark, Options(paths=[tree(tmp_path)], min_tokens=15, min_lines=2), extensions=engine.Extensions(subscribers=[lambda name, x: told.append(name)]))
+    assert got.clones.count() == 2 and got.observed()["clones"] == 2 and told == ["planned"]
+    judged = detect.validated(got.clones, {"not long": F.col("tokens") > 1000, "named": F.col("pool").isNotNull()})
+    assert {tuple(r.messages) for r in judged.collect()} == {("not long",)}
+    levels = {(r.level, r.source_id): r for r in stats.statistics_levels(stats.source_sizes(got.arrays), got.clones).collect()}
+    assert levels["total", None].clones == 2 and levels["source", "one/a.js"].clones == 2 and levels["source", "one/b.js"].clones == 1
+    blame = spark.createDataFrame([("one/a.js", 1, "ann"), ("one/b.js", 1, "bob")], "source_id string, line int, author string")
+    assert ("ann", "bob") in {(r.a_author, r.b_author) for r in detect.with_blame(got.clones, blame).collect()}
+    assert get_store("nonesuch")(got.clones, None) is got.clones
+    (tmp_path / ".gitignore").write_text("two/\n")
+    assert pairs(engine.run(spark, Options(paths=[str(tmp_path)], min_tokens=15, min_lines=2))) == {("one/a.js", "one/b.js")}
+
+
 def test_gates(spark, tmp_path):
     options = Options(paths=[tree(tmp_path)], min_tokens=15, min_lines=2, threshold=1.0, exit_code=3)
     got = engine.run(spark, options)
@@ -51,6 +67,7 @@ def test_resident(spark, tmp_path):
     assert found[0]["source_id"] == "one/a.js" and found[0]["start"] == 3
     assert e.check_duplication("nothing alike", "js") == [] and e.health() == {"status": "ready"}
     assert {r["b_id"] for r in e.get_file_clones("two/d.vue")} == {"two/d.vue:javascript"} and e.get_statistics()
+    assert e.check_directory(str(tmp_path / "two"))[0]["sources"] >= 1
     assert engine.overlay(e.index.limit(1), e.index).count() == e.index.count()
     e.close()
 
@@ -59,5 +76,11 @@ def test_command(spark, tmp_path, capsys):
     root = tree(tmp_path)
     assert cli.main(["--min-tokens", "15", "--min-lines", "2", "--reporters", "silent,json", "--output", str(tmp_path / "out"), root], spark) == 0
     assert capsys.readouterr().out.startswith("2 clones") and (tmp_path / "out/duplication-json.json").exists()
+    args = ["--min-tokens", "15", "--min-lines", "2", "--silent", "--baseline", str(tmp_path / "base.json")]
+    assert cli.main([*args, "--update-baseline", f"{root}/one"], spark) == 0 and "1 added, 0 removed, 1 in all" in capsys.readouterr().out
+    assert cli.main([*args, "--fail-on-new-clones", "--", f"{root}/one"], spark) == 0
+    assert cli.main([*args, "--fail-on-new-clones", "--summary", "--reporters", "console-full", root], spark) == 1
+    assert "Summary by tokens" in capsys.readouterr().out
+    assert cli.main(["--min-tokens", "15", "--min-lines", "2", "--silent", "--baseline-from", root, "--fail-on-new-clones", "0", root], spark) == 0
     assert cli.main(["--list"]) == 0 and "rust" in capsys.readouterr().out
     assert cli.main(["--debug", "x"]) == 0 and "paths=['x']" in capsys.readouterr().out

@@ -116,7 +116,7 @@ def test_reports(spark, tmp_path):
     lined = detect.with_lines(detect.clones(own, 5), own)
     stat = stats.statistics(stats.source_sizes(own), lined)
     kinds = ["json", "xml", "csv", "markdown", "html", "sarif", "openmetrics", "badge", "ai", "xcode", "console", "silent"]
-    texts = {k: open(p).read() for k, p in zip(kinds, writers.write(kinds, lined, stat, str(tmp_path)), strict=True)}
+    texts = {k: open(p).read() for k, p in zip(kinds, [p for p in writers.write(kinds, lined, stat, str(tmp_path)) if "clones" not in p], strict=True)}
     made = json.loads(texts["json"])["duplicates"][0]
     assert (made["lines"], made["tokens"], made["firstFile"]["name"]) == (3, 9, "1")
     assert json.loads(texts["sarif"])["runs"][0]["results"][0]["level"] == "warning"
