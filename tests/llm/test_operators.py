@@ -117,6 +117,17 @@ def test_packing(spark):
     assert got.sequence_id.nunique() == -(-got.length.sum() // 2048)
 
 
+def test_ids_of_any_text(monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 20)
+    words, rng = packing.Words("word_bpe_49k.json"), random.Random(1)
+    signs = [chr(i) for i in range(0x250)] + list("—“”…€–‘’世😀İ​ ") + ["é", "<|"] + list("  \n\t''stredvml  ab12") * 6
+    assert words.plain
+    for _ in range(1500):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(60)))
+        for t in (text, "".join(c for c in text if packing.PLAIN.match(c))):
+            assert np.frombuffer(words.ids(t), "<u4").tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_plan_uses_every_piece():
     rng = random.Random(1)
     for _ in range(20):
