@@ -74,7 +74,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     for kind in kinds:
         if kind in screen:
             print(writers.report(kind, told, result.statistics))
-    writers.write([k for k in kinds if k not in screen], told, result.statistics, chosen.output)
+    writers.write([k for k in kinds if k not in screen], told, result.statistics, chosen.output, chosen.sarif_error_tokens)
     if chosen.summary:
         print(writers.summary_block(*result.summary(chosen.summary_by, chosen.summary_top), chosen.summary_by))
     return result.exit_code(chosen, None if update else allowed)

@@ -46,8 +46,8 @@ def summary_block(files: DataFrame, folders: DataFrame, by: str) -> str:
     return "\n".join(out + [f"{r.files:>5} {r.tokens:>8} {r.lines:>6} {size(r.bytes):>7} {r.complexity // r.files:>5} {r.folder}" for r in folders.collect()])
 
 
-def report(kind: str, lined: DataFrame, stats: DataFrame, limit: int = 10_000) -> str:
-    """The text of a report of one kind: json, xml, csv, markdown, html, sarif, openmetrics, badge, ai, xcode, console, silent."""
+def report(kind: str, lined: DataFrame, stats: DataFrame, limit: int = 10_000, cutoff: int | None = None) -> str:
+    """The text of a report of one kind: json, xml, csv, markdown, html, sarif, openmetrics, badge, ai, xcode, console, console-full, silent. ``cutoff``: SARIF results of so many tokens are errors."""
     if kind == "json":
         return json.dumps({"statistics": [r.asDict() for r in stats.orderBy("pool").collect()], "duplicates": [json.loads(x) for x in _lines(rows.json_duplicates(lined), limit)]}, indent=1)
     if kind == "xml":
@@ -60,7 +60,7 @@ def report(kind: str, lined: DataFrame, stats: DataFrame, limit: int = 10_000) -
         head, body = table.columns, [[str(x) for x in r] for r in table.collect()]
         return "\n".join(",".join(r) for r in [head, *body]) + "\n"
     if kind == "sarif":
-        results = [json.loads(r.result) for r in rows.sarif_results(lined).limit(limit).collect()]
+        results = [json.loads(r.result) for r in rows.sarif_results(lined, cutoff or 2**31 - 1).limit(limit).collect()]
         return json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": {"name": "refrain", "rules": [{"id": "repeated-passage"}]}}, "results": results}]})
     if kind == "openmetrics":
         out, seen = [], ""
@@ -90,7 +90,7 @@ def report(kind: str, lined: DataFrame, stats: DataFrame, limit: int = 10_000) -
     return "\n".join([*lines, *([sentence(stats)] if kind == "console" else [])])
 
 
-def write(kinds: list[str], lined: DataFrame, stats: DataFrame, folder: str) -> list[str]:
+def write(kinds: list[str], lined: DataFrame, stats: DataFrame, folder: str, cutoff: int | None = None) -> list[str]:
     """Reports as files; returns their paths."""
     suffix = {"markdown": "md", "badge": "svg", "openmetrics": "txt", "sarif": "sarif", "ai": "txt", "xcode": "txt", "console": "txt", "silent": "txt"}
     os.makedirs(folder, exist_ok=True)
@@ -98,7 +98,7 @@ def write(kinds: list[str], lined: DataFrame, stats: DataFrame, folder: str) ->
     for kind in kinds:
         paths.append(os.path.join(folder, f"duplication-{kind}.{suffix.get(kind, kind)}"))
         with open(paths[-1], "w") as f:
-            f.write(report(kind, lined, stats))
+            f.write(report(kind, lined, stats, cutoff=cutoff))
         if kind == "badge":
             paths.append(os.path.join(folder, "duplication-badge-clones.svg"))
             with open(paths[-1], "w") as f:

@@ -120,6 +120,7 @@ def test_reports(spark, tmp_path):
     made = json.loads(texts["json"])["duplicates"][0]
     assert (made["lines"], made["tokens"], made["firstFile"]["name"]) == (3, 9, "1")
     assert json.loads(texts["sarif"])["runs"][0]["results"][0]["level"] == "warning"
+    assert json.loads(writers.report("sarif", lined, stat, cutoff=9))["runs"][0]["results"][0]["level"] == "error"
     assert '<duplication lines="2" tokens="9">' in texts["xml"] and texts["csv"].splitlines()[1].startswith("Total:,2,6,18,1,2,9")
     assert texts["openmetrics"].endswith("# EOF\n") and 'duplication_clones{format="p"} 1.0' in texts["openmetrics"] and "# TYPE duplication_clones gauge" in texts["openmetrics"]
     found = rows.with_fragments(lined, spark.createDataFrame([(1, text), (2, text)], "source_id long, content string"))
