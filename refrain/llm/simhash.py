@@ -14,8 +14,10 @@ blocks sends on a spanning forest of its links, never the links themselves.
 
 Three bits of 64 only reach texts that are nearly equal: shingle sets of similarity 0.8
 differ in about ten. Groups may therefore also be linked by ``similarity``: ten keys of four
-least hashes each find the candidates (one of 0.8 is found with 99.5 %), and 256 bins of
-least hashes verify them, which is exact for short texts and off by 0.025 for long ones.
+least hashes each find the candidates (one of 0.8 is found with 99.5 %). A sketch of 256
+bins of least hashes, off by 0.025 for long texts, only parts them loosely, at ``LOOSE``
+below what is asked; within a part every link is verified on the whole shingle sets. Keys
+that the same texts share are one.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refrain.llm.common import EDGE, connected_components, edge_batch, materialise, stars
+from refrain.llm.common import EDGE, connected_components, edge_batch, forest, materialise, stars
 
 #: Byte positions of the 14 blocks of S(3,4,8): the complements of the blocks cover every three positions.
 BLOCKS = [(0, 1, 2, 3), (4, 5, 6, 7), (0, 1, 4, 5), (2, 3, 6, 7), (0, 1, 6, 7), (2, 3, 4, 5), (0, 2, 4, 6), (1, 3, 5, 7), (0, 2, 5, 7), (1, 3, 4, 6), (0, 3, 4, 7), (1, 2, 5, 6), (0, 3, 5, 6), (1, 2, 4, 7)]
@@ -36,8 +38,10 @@ CHUNK = 65_536
 BLOCK_ROWS = 256
 #: Groups of at most so many rows are compared all at once, by shifts.
 SMALL = 12
-#: Keys of a text's shingle set, and least hashes in each; bins of its sketch; texts of one key that are compared in one block.
-KEYS, EACH, BINS, SKETCH_ROWS = 10, 4, 256, 2048
+#: Keys of a text's shingle set, and least hashes in each; bins of its sketch; texts of one key that are compared in one block, and their bytes.
+KEYS, EACH, BINS, SKETCH_ROWS, SKETCH_BYTES = 10, 4, 256, 2048, 1 << 25
+#: How far below the asked similarity sketches may be for a pair to be verified.
+LOOSE = 0.1
 ODD = np.random.default_rng(20250107).integers(0, 2**63, KEYS * EACH, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -103,17 +107,18 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, sketch: bool = False) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long; with ``sketch`` also (keys, sketch) of the shingle set."""
+    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long; with ``sketch`` also (keys, sketch) of the shingle set, and the text's hash and bytes (h, size)."""
 
     def run(batches):
         for batch in batches:
             each = [sums(t.as_py(), shingle, sketch) for t in batch.column(1)]
             columns = [batch.column(0), pa.array(np.array([x.fingerprint() for x in each], np.uint64).view(np.int64))]
             if sketch:
-                columns += [pa.array([x.keys() for x in each], pa.list_(pa.int64())), pa.array([x.sketch() for x in each], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "keys", "sketch"][: len(columns)])
+                columns += [pa.array([x.keys() for x in each], pa.list_(pa.int64())), pa.array([x.sketch() for x in each], pa.binary()), batch.column(2), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "keys", "sketch", "h", "size"][: len(columns)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long" + ", keys array<long>, sketch binary" * sketch)
+    more = [F.xxhash64("text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")] if sketch else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(run, "doc_id long, fp long" + ", keys array<long>, sketch binary, h long, size long" * sketch)
 
 
 def _key(block: tuple[int, ...], index: int) -> Column:
@@ -213,17 +218,65 @@ def similar_in(sketches: np.ndarray, least: float) -> tuple[list[int], list[int]
     return a, b
 
 
-def similarity_links(classes: DataFrame, similarity: float) -> DataFrame:
-    """A spanning forest (a, b) of the links between fingerprints (columns fp, keys, sketch) whose shingle sets are so similar."""
-    index = classes.select("fp", F.explode(F.array_distinct("keys")).alias("k"))
-    live = materialise(index.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "live")
+def exact_in(sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
+    """A spanning forest of the pairs of sets (of distinct hashes, none empty) whose similarity is at least ``least``."""
+    size = np.array([len(x) for x in sets])
+    hashes, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(flat, np.cumsum(size)[:-1])
+    left = held = np.arange(len(sets))
+    starts, has = np.cumsum(size) - size, np.zeros(len(hashes), bool)
+    a: list[int] = []
+    b: list[int] = []
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            if 2 * len(left) < len(held):
+                held, flat = left, np.concatenate([own[i] for i in left.tolist()])
+                starts = np.cumsum(size[held]) - size[held]
+            x = queue.pop()
+            has[own[x]] = True
+            same = np.add.reduceat(has[flat], starts, dtype=np.int64)[np.searchsorted(held, left)]
+            has[own[x]] = False
+            near = same >= (least - 1e-9) * (size[left] + size[x] - same)
+            found = left[near].tolist()
+            a += [x] * len(found)
+            b += found
+            queue += found
+            left = left[~near]
+    return a, b
+
+
+def verified_in(sketches: np.ndarray, texts: pa.ChunkedArray, shingle: int, least: float) -> tuple[list[int], list[int]]:
+    """A spanning forest of the pairs of texts whose shingle sets' similarity is at least ``least``, of those that loose links of sketches join."""
+    i, j = similar_in(sketches, least - LOOSE)
+    a: list[int] = []
+    b: list[int] = []
+    if i:
+        label = forest(len(sketches), np.array(i), np.array(j))
+        order = np.argsort(label, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+            if len(part) > 1:
+                sets = [np.unique(np.concatenate(list(shingle_hashes(texts[k].as_py(), shingle)))) for k in part.tolist()]
+                x, y = exact_in(sets, least)
+                a += part[x].tolist()
+                b += part[y].tolist()
+    return a, b
+
+
+def similarity_links(classes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """A spanning forest (a, b) of the links between fingerprints (columns fp, keys, sketch, h, size) whose texts, rows of ``docs``, have shingle sets so similar."""
+    index = classes.select("h", "size", F.explode(F.array_distinct("keys")).alias("k"))
+    shared = index.groupBy("k").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "h")).alias("y")).where("n > 1")
+    live = materialise(shared.groupBy("n", "size", "x", "y").agg(F.min("k").alias("k")).select("k", F.greatest(F.ceil(F.col("n") / SKETCH_ROWS), F.ceil(F.col("size") / SKETCH_BYTES)).cast("int").alias("blocks")), "live")
     dealt = (
         index.join(live, "k")
-        .select("k", "fp", (F.ceil(F.col("n") / SKETCH_ROWS)).cast("int").alias("blocks"))
-        .select("k", "fp", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "fp")
+        .select("k", "h", "blocks", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "h")
     )
-    dealt = dealt.join(classes.select("fp", "sketch"), "fp").select("group", "fp", "sketch")
+    dealt = materialise(dealt, "dealt")
+    texts = docs.select(F.xxhash64("text").alias("h"), "text").join(dealt.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
+    held = materialise(classes.select("h", "fp", "sketch").join(texts, "h"), "texts")
+    dealt = dealt.join(held, "h").select("group", "fp", "sketch", "text")
 
     def compare(table: pa.Table):
         group, fp = table.column(0).to_numpy(), table.column(1).to_numpy()
@@ -232,14 +285,14 @@ def similarity_links(classes: DataFrame, similarity: float) -> DataFrame:
         for end in ends if len(group) else ():
             if end - at > 1:
                 own = b"".join(table.column(2).slice(at, end - at).to_pylist())
-                i, j = similar_in(np.frombuffer(own, np.uint8).reshape(-1, BINS), similarity)
+                i, j = verified_in(np.frombuffer(own, np.uint8).reshape(-1, BINS), table.column(3).slice(at, end - at), shingle, similarity)
                 x.append(fp[at:end][i])
                 y.append(fp[at:end][j])
             at = end
         if sum(map(len, x)):
             yield edge_batch(*stars(np.concatenate(x), np.concatenate(y)))
 
-    return _by_group(dealt, compare, 20_000)
+    return _by_group(dealt, compare, 2_000)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, similarity: float | None = None) -> DataFrame:
@@ -254,7 +307,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, simila
     classes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
     links = fingerprint_links(classes, max_bits)
     if similarity is not None:  # texts of one fingerprint are linked; one of them stands for all
-        links = links.union(similarity_links(materialise(own.dropDuplicates(["fp"]).select("fp", "keys", "sketch"), "sets"), similarity))
+        links = links.union(similarity_links(materialise(own.dropDuplicates(["fp"]).select("fp", "keys", "sketch", "h", "size"), "sets"), docs, shingle, similarity))
     parts = materialise(connected_components(links), "parts")
     named = materialise(classes.join(parts, classes["fp"] == parts["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("part")), "named")
     lows = materialise(named.groupBy("part").agg(F.min("low").alias("component_id")), "lows")

@@ -246,6 +246,32 @@ def test_similar_sets_are_linked(spark, monkeypatch, block):
     assert alone and all(got[i] == i and list(got.values()).count(i) == 1 for i in alone)
 
 
+@pytest.mark.parametrize("block", [2048, 4])
+def test_similarity_is_verified(spark, monkeypatch, block):
+    """Pairs of 2,000 words: at 0.822 all are linked, at 0.781 none is, though sketches are off by 0.025."""
+    monkeypatch.setattr(simhash, "SKETCH_ROWS", block)
+    rng = random.Random(5)
+    rows = []
+    for b in range(80):
+        words = [f"w{b}x{rng.randrange(10**6)}" for _ in range(2000)]
+        copy = list(words)
+        for m in range(39 if b % 2 else 49):  # 40 words apart: each takes five shingles
+            copy[20 + 40 * m] = "other" + words[20 + 40 * m]
+        rows += [(2 * b, " ".join(words), "en", "s", 1), (2 * b + 1, " ".join(copy), "en", "s", 1)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs_of(spark, rows), 5, 0, 0.8).collect()}
+    assert [got[2 * b + 1] for b in range(80)] == [2 * b + (b + 1) % 2 for b in range(80)]
+
+
+def test_sets_are_compared_exactly():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, (12, 100), np.uint64)
+    sets = [np.unique(np.concatenate([base[i % 12][rng.random(100) < 0.93], rng.integers(0, 2**63, 5, np.uint64)])) for i in range(150)]
+    like = np.array([[len(np.intersect1d(x, y)) / len(np.union1d(x, y)) for y in sets] for x in sets])
+    a, b = simhash.exact_in(sets, 0.8)
+    assert all(like[i, j] >= 0.8 for i, j in zip(a, b, strict=True))
+    assert (common.forest(150, np.array(a), np.array(b)) == common.forest(150, *np.nonzero(like >= 0.8))).all()
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
