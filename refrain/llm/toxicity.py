@@ -38,7 +38,10 @@ APART = set(".-_*~'`^/\\, ​‌‍­")
 SWAP, DROP, MERGE = -1.0, -0.3, -0.5
 EDGE_MARKS = ".,;:!?\"'()[]{}<>…«»¿¡“”‘’"
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+#: Marks at the edges that stand for no letter.
+MERE_MARKS = "".join(c for c in EDGE_MARKS if c not in LEET)
 REPEATED = re.compile(r"(.)\1\1")
+DOUBLED = re.compile(r"([^\W\d_])\1")
 CHUNK = 1 << 20
 PREFIXES = (4, 5, 6)
 #: Letters of the longest word that is looked for within a spelt-out run.
@@ -103,6 +106,15 @@ def noisy(token: str) -> bool:
     return not token.isalpha() and any(map(str.isalpha, token)) or bool(REPEATED.search(token)) or "$" in token or "@" in token
 
 
+def single(token: str) -> list[str]:
+    """All ways to write some of a token's doubled letters once."""
+    at = [m.start() for m in DOUBLED.finditer(token)]
+    out = [token]
+    for i in reversed(at):
+        out += [x[:i] + x[i + 1 :] for x in out]
+    return out[1:]
+
+
 def hash_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
@@ -126,15 +138,28 @@ class Reader:
         word = raw if raw.isascii() else unicodedata.normalize("NFKC", raw)
         inner = word.strip(EDGE_MARKS)
         words = [inner]
-        if noisy(inner):
+        if noisy(inner) or self.hidden(inner):
             words += decode(inner, self.lm).split()
-        if word[0] in LEET and inner and noisy(lead := word.rstrip(EDGE_MARKS)):  # a mark may stand for the first letter
-            words += decode(lead, self.lm).split()
+        if inner:  # marks may stand for the first letter, the last ones, or both
+            lead, tail, whole = (word.lstrip(m).rstrip(n) for m, n in ((MERE_MARKS, EDGE_MARKS), (EDGE_MARKS, MERE_MARKS), (MERE_MARKS, MERE_MARKS)))
+            for form in dict.fromkeys((lead, tail, whole)):
+                if form != inner and noisy(form):
+                    words += decode(form, self.lm).split()
         if len(self.cache) >= CACHE:
             self.cache.clear()
         self.cache[raw] = out = self.keep(words)
         return out
 
+    def hidden(self, word: str) -> bool:
+        """Whether a word of digits only, or with a letter twice, may hide one, as its written form is no known feature; a plain word only if a way to write it is known."""
+        if word.isdigit():
+            return self.known is None or hash_of(word) not in self.known
+        if not DOUBLED.search(word):
+            return False
+        if self.known is None:
+            return True
+        return hash_of(word) not in self.known and (not word.isascii() or len(word) > SPELT or bool(self.keep(single(word))))
+
     def read(self, text: str) -> set:
         text = text.lower()
         out: set = set()

@@ -444,6 +444,19 @@ def test_toxicity(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted} and kept.columns == docs_of(spark).columns
 
 
+def test_words_hidden_by_marks_doubled_letters_and_digits():
+    counts = np.zeros(27**3, np.int64)
+    for word in ("kill", "idiot", "ass", "hello", "letter", "call"):
+        toxicity._trigrams(f" {word} " * 50, counts)
+    tri = counts.reshape(27, 27, 27) + 0.1
+    lm = np.log(tri / tri.sum(axis=2, keepdims=True))
+    known = {toxicity.hash_of(w): i for i, w in enumerate(("kill", "idiot", "ass"))}
+    reader = toxicity.Reader(lm, known)
+    hidden = {"ki!!": 0, "ki!!,": 0, "kil!": 0, "\"ki!!": 0, "idiiot": 1, "iddiott.": 1, "455": 2, "455!": 2, "ass": 2}
+    assert {w: reader.read(w) for w in hidden} == {w: {i} for w, i in hidden.items()}
+    assert not any(reader.read(w) for w in ("hello!", "letter", "call(", "2019", "!", "(", "١٢٣", "½½"))
+
+
 def test_trigrams_of_long_texts(monkeypatch):
     text = "".join(random.Random(3).choice("abcé 1") for _ in range(1000))
     whole, parts = np.zeros(27**3, np.int64), np.zeros(27**3, np.int64)
