@@ -4,8 +4,10 @@ Equal vectors are one class. k-means centres are fitted on a bounded sample; the
 class is assigned to its nearest centre, its home, and visits each other cell that a
 partner may live in. A vector within angle a of y lies at most sin(a) * |c - c'| on the
 other side of the plane between y's centre c and c'; a random one rarely more than a few
-standard deviations of that, sin(a) * |c - c'| / sqrt(dimensions). ``spread`` of them set
-how far y visits. Members are compared with everything in their home cell, in blocks; a
+standard deviations of that. They are fitted for each pair of cells: sin(a) times the
+share of c - c' in the sample's variance within cells, at least |c - c'| / sqrt(dimensions),
+so that vectors that vary in few dimensions go further. ``spread`` of them set how far y
+visits. Members are compared with everything in their home cell, in blocks; a
 pair that both find, each in its own home, counts once for each of the two. A cell with
 many members is dealt out in pairs of blocks, so that a large group of near copies is
 shared by many tasks, and each pair of blocks sends on counts and a spanning forest.
@@ -43,7 +45,21 @@ def fit(sample: np.ndarray, cells: int, rounds: int = 12, seed: int = 7) -> np.n
     return centres
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.95, spread: float = 2.5, max_sample: int = 20_000, per_cell: int = 400) -> DataFrame:
+def shares(sample: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Each direction's share of the variance of ``sample`` within its cells, as a matrix; zeros without any."""
+    rest = sample - centres[(sample @ centres.T).argmax(axis=1)]
+    total = float((rest * rest).sum())
+    return rest.T @ rest / total if total > 1e-12 else np.zeros((sample.shape[1],) * 2)
+
+
+def deviations(centres: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """For each pair of cells the deviation of a random step of length one across the plane between them, times the centres' distance."""
+    far = np.maximum(0, 2 - 2 * (centres @ centres.T))
+    own = centres @ share @ centres.T
+    return np.sqrt(np.maximum(far / centres.shape[1], np.diag(own)[:, None] + np.diag(own)[None] - 2 * own))
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = 0.95, spread: float = 4.0, max_sample: int = 20_000, per_cell: int = 400) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding; others are ignored).
 
     Null, empty and zero vectors and those with null or non-finite components link with
@@ -68,23 +84,25 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, spread: float = 2.
         sample = classes.where(F.size("x") == width).orderBy("class").limit(max_sample).select("x").toArrow()
         unit = _rows(sample.column(0).combine_chunks())
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        centres[width] = fit(unit, max(1, min(len(unit) // 8, count // per_cell, 4096)))
+        c = fit(unit, max(1, min(len(unit) // 8, count // per_cell, 4096)))
+        centres[width] = c, shares(unit, c)
     reach = spread * math.sqrt(1 - cosine * cosine)
 
     def assign(batches):
-        names = ["class", "n", "x", "cell", "home"]
+        names, step = ["class", "n", "x", "cell", "home"], {}
         for batch in batches:
             width = np.array([len(v) for v in batch.column(2)])
             for w in np.unique(width):
                 part = batch.filter(pa.array(width == w))
                 unit = _rows(part.column(2))
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                c = centres[int(w)]
+                c, share = centres[int(w)]
+                if w not in step:
+                    step[w] = deviations(c, share)
                 for at in range(0, len(unit), 2048):
                     near = unit[at : at + 2048] @ c.T
                     own = near.argmax(axis=1)
-                    gap = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))[own]
-                    i, j = np.nonzero(near >= near.max(axis=1, keepdims=True) - reach * gap / math.sqrt(w))
+                    i, j = np.nonzero(near >= near.max(axis=1, keepdims=True) - reach * step[w][own])
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0).slice(at).take(pa.array(i)), part.column(1).slice(at).take(pa.array(i)), part.column(2).slice(at).take(pa.array(i)), pa.array((j + (int(w) << 32)).astype(np.int64)), pa.array(j == own[i])], names=names
                     )

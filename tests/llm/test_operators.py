@@ -422,6 +422,18 @@ def test_vectors(spark, monkeypatch, block):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_few_dimensions(spark):
+    """Vectors that vary in 4 of 64 dimensions: links at just over the bound across cells are found."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 4)) @ np.linalg.qr(rng.normal(size=(64, 4)))[0].T
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.95
+    np.fill_diagonal(linked, False)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), per_cell=40).collect()
+    assert sum(r.n_links for r in got) >= 0.999 * linked.sum()
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     toxic = ["moron", "scumbag", "lowlife"]
