@@ -86,16 +86,26 @@ def run(spark: SparkSession, options: Options, sources: DataFrame | None = None,
     extensions, began = extensions or Extensions(), time.perf_counter()
     sources = files.scan(spark, options) if sources is None else sources
     arrays = token_arrays(sources, options, extensions)
-    found = detect.with_lines(detect.clones(arrays, options.min_tokens), arrays).where(detect.min_lines(options.min_lines))
-    found = detect.dedup(found)
+    homes = None
     if options.skip_local or options.skip_isolated:
         homes = arrays.select("source_id", F.regexp_replace("source_id", ":[a-z0-9+-]+$", "").alias("_file")).join(sources.select(F.col("source_id").alias("_s"), "root"), F.col("_file") == F.col("_s"))
         homes = homes.select("source_id", "root", F.regexp_extract("_file", "^([^/]*)/", 1).alias("folder"))
-        found = detect.with_attribute(detect.with_attribute(found, homes, "root"), homes, "folder")
+
+    def allowed(runs: DataFrame) -> DataFrame:
+        runs = runs.where(detect.min_lines(options.min_lines))
+        if homes is not None:
+            runs = detect.with_attribute(detect.with_attribute(runs, homes, "root"), homes, "folder")
         if options.skip_local:
-            found = found.where(detect.skip_local("root"))
-        if options.skip_isolated:
-            found = found.where(detect.skip_isolated(options.skip_isolated))
+            runs = runs.where(detect.skip_local("root"))
+        return runs.where(detect.skip_isolated(options.skip_isolated)) if options.skip_isolated else runs
+
+    windows = detect.windows(arrays, options.min_tokens)
+    primary = allowed(detect.with_lines(detect.islands(detect.hits(windows), options.min_tokens), arrays))
+    more = detect.secondary(detect.secondary_candidates(windows, options.min_tokens), primary, arrays, options.min_tokens, allowed)
+    found = primary.select(*more.columns).unionByName(more)
+    found = detect.dedup(found)
+    if homes is not None:
+        found = detect.with_attribute(detect.with_attribute(found, homes, "root"), homes, "folder")
     for validator in extensions.validators:
         found = found.where(validator())
     for hook in extensions.hooks:

@@ -7,6 +7,8 @@ not their first occurrences follow one another; ``exact`` also breaks a run wher
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,15 +90,16 @@ def secondary_candidates(found: DataFrame, k: int) -> DataFrame:
     return runs.groupBy("pool", "a_id", "b_id", (F.col("b_pos") - F.col("a_pos")).alias("d"), "g").agg(F.min("a_pos").alias("a_pos"), F.min("b_pos").alias("b_pos"), F.count("*").alias("windows")).drop("d", "g")
 
 
-def secondary(candidates: DataFrame, primary: DataFrame, arrays: DataFrame, k: int) -> DataFrame:
-    """Candidate runs that add uncovered lines on both sides, taken greedily by (a, b) after the primary clones.
+def secondary(candidates: DataFrame, primary: DataFrame, arrays: DataFrame, k: int, allowed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Candidate runs that add uncovered lines on both sides, taken greedily by (a, b) after the primary clones; of those with lines only what ``allowed`` leaves.
 
     Coverage depends on order, so each pool's candidates and clones, a small part of the
     corpus, are walked in one Python group.
     """
     import pandas as pd
 
-    runs = with_lines(candidates.withColumn("tokens", F.col("windows") + k - 1).drop("windows"), arrays).withColumn("first", F.lit(0))
+    runs = with_lines(candidates.withColumn("tokens", F.col("windows") + k - 1).drop("windows"), arrays)
+    runs = (runs.transform(allowed) if allowed else runs).withColumn("first", F.lit(0))
     known = primary.select("pool", "a_id", "a_pos", "b_id", "b_pos", F.col("tokens").cast("long").alias("tokens"), "a_start", "a_end", "b_start", "b_end").withColumn("first", F.lit(1))
     both = known.unionByName(runs.select(*known.columns))
 

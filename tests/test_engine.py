@@ -34,6 +34,18 @@ def test_runs(spark, tmp_path):
     assert pairs(engine.run(spark, Options(paths=[root], min_tokens=10, min_lines=2), extensions=engine.Extensions(mode=lambda: F.col("kind") == "identifier")))
 
 
+def test_secondary_clones_are_in_runs(spark):
+    """c repeats S T; its run starts with S, which ends a, and is dropped; the secondary run of b and c has T."""
+    part = lambda x: "\n".join(f"{x}{i} = {x}{i + 1}" for i in range(12)) + "\n"
+    texts = {"a.py": part("p") + part("s"), "b.py": part("q") + part("s") + part("t"), "c.py": part("s") + part("t")}
+    sources = spark.createDataFrame([(k, "r", "python", v, len(v)) for k, v in texts.items()], "source_id string, root string, format string, content string, bytes long")
+    options = Options(min_tokens=15, min_lines=2)
+    got = engine.run(spark, options, sources)
+    assert pairs(got) == {("a.py", "b.py"), ("b.py", "c.py")}
+    assert got.statistics.where("pool = '*'").first().clones == 2
+    assert pairs(engine.run(spark, Options(min_tokens=15, min_lines=2, skip_local=True), sources)) == set()
+
+
 def test_extensions(spark, tmp_path):
     told = []
     got = engine.run(spark, Options(paths=[tree(tmp_path)], min_tokens=15, min_lines=2), extensions=engine.Extensions(subscribers=[lambda name, x: told.append(name)]))
