@@ -1,10 +1,12 @@
-"""Whole reports on the driver: statistics are a row a format, and clones are listed up to a limit."""
+"""Reports: statistics are a row a format, and clones are streamed in order, all of them into files, up to a limit on a screen."""
 
 from __future__ import annotations
 
 import html
 import json
 import os
+import textwrap
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +14,18 @@ from pyspark.sql import functions as F
 from refrain.reports import rows
 
 
-def _lines(df: DataFrame, limit: int) -> list[str]:
-    return [r.value for r in df.limit(limit).collect()]
+def _ordered(lined: DataFrame, limit: int | None) -> DataFrame:
+    own = lined.orderBy("a_id", "a_start", "b_id", "b_start", "tokens")
+    return own if limit is None else own.limit(limit)
+
+
+def _lines(df: DataFrame) -> Iterator[str]:
+    return (r[0] for r in df.toLocalIterator())
+
+
+def _between(parts: Iterator[str], mark: str) -> Iterator[str]:
+    for i, x in enumerate(parts):
+        yield mark + x if i else x
 
 
 def sentence(stats: DataFrame) -> str:
@@ -46,48 +58,74 @@ def summary_block(files: DataFrame, folders: DataFrame, by: str) -> str:
     return "\n".join(out + [f"{r.files:>5} {r.tokens:>8} {r.lines:>6} {size(r.bytes):>7} {r.complexity // r.files:>5} {r.folder}" for r in folders.collect()])
 
 
-def report(kind: str, lined: DataFrame, stats: DataFrame, limit: int = 10_000, cutoff: int | None = None) -> str:
-    """The text of a report of one kind: json, xml, csv, markdown, html, sarif, openmetrics, badge, ai, xcode, console, console-full, silent. ``cutoff``: SARIF results of so many tokens are errors."""
+def pieces(kind: str, lined: DataFrame, stats: DataFrame, limit: int | None = None, cutoff: int | None = None) -> Iterator[str]:
+    """The text of a report of one kind, a clone at a time: json, xml, csv, markdown, html, sarif, openmetrics, badge, ai, xcode, console, console-full, silent. ``cutoff``: SARIF results of so many tokens are errors."""
+    clones = _ordered(lined, limit)
     if kind == "json":
-        return json.dumps({"statistics": [r.asDict() for r in stats.orderBy("pool").collect()], "duplicates": [json.loads(x) for x in _lines(rows.json_duplicates(lined), limit)]}, indent=1)
-    if kind == "xml":
-        return '<?xml version="1.0" encoding="utf-8"?>\n<pmd-cpd>\n' + "\n".join(_lines(rows.xml_duplications(lined), limit)) + "\n</pmd-cpd>\n"
-    if kind in ("csv", "markdown"):
-        if kind == "markdown":
-            head = rows.csv_rows(stats).columns
-            return "\n".join(["| " + " | ".join(head) + " |", "|" + " --- |" * len(head), *sorted(_lines(rows.markdown_rows(stats), limit))]) + "\n"
+        head = json.dumps({"statistics": [r.asDict() for r in stats.orderBy("pool").collect()]}, indent=1)
+        yield head[: -len("\n}")] + ',\n "duplicates": ['
+        yield from _between((f"\n{textwrap.indent(json.dumps(json.loads(x), indent=1), '  ')}" for x in _lines(rows.json_duplicates(clones).select("value"))), ",")
+        yield "\n ]\n}"
+    elif kind == "xml":
+        yield '<?xml version="1.0" encoding="utf-8"?>\n<pmd-cpd>\n'
+        yield from _between(_lines(rows.xml_duplications(clones)), "\n")
+        yield "\n</pmd-cpd>\n"
+    elif kind == "markdown":
+        head = rows.csv_rows(stats).columns
+        yield "\n".join(["| " + " | ".join(head) + " |", "|" + " --- |" * len(head), *sorted(_lines(rows.markdown_rows(stats)))]) + "\n"
+    elif kind == "csv":
         table = rows.csv_rows(stats).orderBy("Format")
         head, body = table.columns, [[str(x) for x in r] for r in table.collect()]
-        return "\n".join(",".join(r) for r in [head, *body]) + "\n"
-    if kind == "sarif":
-        results = [json.loads(r.result) for r in rows.sarif_results(lined, cutoff or 2**31 - 1).limit(limit).collect()]
-        return json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": {"name": "refrain", "rules": [{"id": "repeated-passage"}]}}, "results": results}]})
-    if kind == "openmetrics":
+        yield "\n".join(",".join(r) for r in [head, *body]) + "\n"
+    elif kind == "sarif":
+        tool = {"driver": {"name": "refrain", "rules": [{"id": "repeated-passage"}]}}
+        yield f'{{"version": "2.1.0", "runs": [{{"tool": {json.dumps(tool)}, "results": ['
+        yield from _between((json.dumps(json.loads(x)) for x in _lines(rows.sarif_results(clones, cutoff or 2**31 - 1).select("result"))), ", ")
+        yield "]}]}"
+    elif kind == "openmetrics":
         out, seen = [], ""
-        for line in sorted(_lines(rows.metric_lines(stats), 1_000_000), key=lambda x: (x.partition("{")[0].split()[0], x)):
+        for line in sorted(_lines(rows.metric_lines(stats)), key=lambda x: (x.partition("{")[0].split()[0], x)):
             if (name := line.partition("{")[0].split()[0]) != seen:
                 out += [f"# HELP {name} {name.removeprefix('duplication_').replace('_', ' ')}.", f"# TYPE {name} gauge"]
                 seen = name
             out.append(line)
-        return "\n".join(out) + "\n# EOF\n"
-    if kind == "badge":
-        return badges(stats)["share"]
-    if kind == "html":
+        yield "\n".join(out) + "\n# EOF\n"
+    elif kind == "badge":
+        yield badges(stats)["share"]
+    elif kind == "html":
         groups = lined.groupBy("pool").count().orderBy("pool").collect()
-        items = "".join(f"<li>{html.escape(x)}</li>" for x in _lines(rows.compact_lines(lined), limit))
-        return f"<!doctype html><title>Repeats</title><p>{html.escape(sentence(stats))}</p><ul>{''.join(f'<li>{html.escape(str(g.pool))}: {g[1]}</li>' for g in groups)}</ul><ol>{items}</ol>"
-    if kind == "silent":
-        return sentence(stats)
-    if kind == "console-full":  # snippets of 20 lines at most, with authors where the clones have them
-        out = []
-        for r in lined.limit(limit).collect():
-            r = r.asDict()
-            who = f" [{r.get('a_author')} | {r.get('b_author')}]" if "a_author" in r else ""
-            out.append(f"{r['a_id']}:{r['a_start']}-{r['a_end']} ~ {r['b_id']}:{r['b_start']}-{r['b_end']} ({r['tokens']}){who}")
-            out += [f"  {r['a_start'] + i} | {line}" for i, line in enumerate((r.get("a_fragment") or "").split("\n")[:20])]
-        return "\n".join([*out, sentence(stats)])
-    lines = _lines({"ai": rows.compact_lines, "xcode": rows.warning_lines, "console": rows.compact_lines}[kind](lined), limit)
-    return "\n".join([*lines, *([sentence(stats)] if kind == "console" else [])])
+        yield f"<!doctype html><title>Repeats</title><p>{html.escape(sentence(stats))}</p><ul>{''.join(f'<li>{html.escape(str(g.pool))}: {g[1]}</li>' for g in groups)}</ul><ol>"
+        yield from (f"<li>{html.escape(x)}</li>" for x in _lines(rows.compact_lines(clones)))
+        yield "</ol>"
+    elif kind == "silent":
+        yield sentence(stats)
+    else:
+        shown = 0
+        if kind == "console-full":  # snippets of 20 lines at most, with authors where the clones have them
+            texts = _snippets(clones)
+        else:
+            texts = _lines({"ai": rows.compact_lines, "xcode": rows.warning_lines, "console": rows.compact_lines}[kind](clones))
+        for text in texts:
+            yield "\n" + text if shown else text
+            shown += 1
+        last = [sentence(stats)] if kind != "ai" and kind != "xcode" else []
+        if limit is not None and shown == limit and (total := lined.count()) > shown:
+            last.insert(0, f"{shown} of {total} clones shown; a file report has all")
+        yield "\n".join([*([""] if shown and last else []), *last])
+
+
+def _snippets(clones: DataFrame) -> Iterator[str]:
+    for r in clones.toLocalIterator():
+        r = r.asDict()
+        who = f" [{r.get('a_author')} | {r.get('b_author')}]" if "a_author" in r else ""
+        out = [f"{r['a_id']}:{r['a_start']}-{r['a_end']} ~ {r['b_id']}:{r['b_start']}-{r['b_end']} ({r['tokens']}){who}"]
+        yield "\n".join(out + [f"  {r['a_start'] + i} | {line}" for i, line in enumerate((r.get("a_fragment") or "").split("\n")[:20])])
+
+
+def report(kind: str, lined: DataFrame, stats: DataFrame, limit: int | None = 10_000, cutoff: int | None = None) -> str:
+    """A report as text for a screen; clones past ``limit``, in order, are only counted there. write() has no limit."""
+    screen = kind in ("console", "console-full", "ai", "xcode")
+    return "".join(pieces(kind, lined, stats, limit if screen else None, cutoff))
 
 
 def write(kinds: list[str], lined: DataFrame, stats: DataFrame, folder: str, cutoff: int | None = None) -> list[str]:
@@ -98,7 +136,7 @@ def write(kinds: list[str], lined: DataFrame, stats: DataFrame, folder: str, cut
     for kind in kinds:
         paths.append(os.path.join(folder, f"duplication-{kind}.{suffix.get(kind, kind)}"))
         with open(paths[-1], "w") as f:
-            f.write(report(kind, lined, stats, cutoff=cutoff))
+            f.writelines(pieces(kind, lined, stats, cutoff=cutoff))
         if kind == "badge":
             paths.append(os.path.join(folder, "duplication-badge-clones.svg"))
             with open(paths[-1], "w") as f:

@@ -1,10 +1,13 @@
 """Whole runs over files, and the resident engine."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from refrain import __main__ as cli
 from refrain import engine
 from refrain.operators import baseline, detect, stats
+from refrain.reports import writers
 from refrain.sources.options import Options
 from refrain.sources.stores import get_store
 
@@ -96,3 +99,13 @@ def test_command(spark, tmp_path, capsys):
     assert cli.main(["--min-tokens", "15", "--min-lines", "2", "--silent", "--baseline-from", root, "--fail-on-new-clones", "0", root], spark) == 0
     assert cli.main(["--list"]) == 0 and "rust" in capsys.readouterr().out
     assert cli.main(["--debug", "x"]) == 0 and "paths=['x']" in capsys.readouterr().out
+
+
+def test_reports_hold_every_clone(spark, tmp_path):
+    lined = spark.range(10_050).selectExpr("'python' AS pool", "concat('a', id) AS a_id", "concat('b', id) AS b_id", "1 AS a_start", "5 AS a_end", "2 AS b_start", "6 AS b_end", "50L AS tokens")
+    sizes = spark.createDataFrame([("*", 2, 9, 90, 10_050, 5, 50, 55.5, 55.5)], "pool string, sources long, lines long, tokens long, clones long, duplicated_lines long, duplicated_tokens long, percentage double, percentage_tokens double")
+    paths = {p.rpartition("-")[2].partition(".")[0]: open(p).read() for p in writers.write(["json", "xml", "sarif", "html"], lined, sizes, str(tmp_path))}
+    assert len(json.loads(paths["json"])["duplicates"]) == len(json.loads(paths["sarif"])["runs"][0]["results"]) == 10_050
+    assert paths["xml"].count("<duplication ") == 10_050 == paths["html"].count("<li>") - 1
+    assert "7 of 10050 clones shown" in writers.report("console", lined, sizes, limit=7)
+    assert json.loads("".join(writers.pieces("json", lined.limit(0), sizes)))["duplicates"] == []
