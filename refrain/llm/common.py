@@ -14,7 +14,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Edges that one task of a local contraction holds at a time.
@@ -68,6 +68,11 @@ def release(*tables: DataFrame) -> None:
         _delete(table.sparkSession, table._refrain_path)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used and in whatever lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Component label (smallest member's index) of each of n nodes under the given links; vectorised hooking and pointer jumping."""
     label = np.arange(n)
@@ -118,7 +123,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     and the joins run between written tables, so that adaptive execution can split them.
     No nodes, or an empty table, give no rows.
     """
-    now = materialise(edges.mapInArrow(_contract, "a long, b long"), "edges")
+    given = materialise(edges, "links")  # so that no task runs the Python of its edges and of their contraction at once
+    now = materialise(given.mapInArrow(_contract, "a long, b long"), "edges")
+    release(given)
     state = None
     while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -9,8 +9,9 @@ the shared positional bytes of each pair are tallied, pairs that reach the guara
 minimum are retained, and those are verified by their differing bits.
 
 Equal fingerprints are one class before anything is compared. A key with many classes is
-dealt out in pairs of blocks, so no task holds more than two blocks, and each pair of
-blocks sends on a spanning forest of its links, never the links themselves.
+dealt out in blocks, so that no task holds a whole group, and each block sends on a
+spanning forest of its links, never the links themselves. Blocks are only compared with
+one another for fingerprints that their own blocks and a few pivots have left apart.
 
 Three bits of 64 only reach texts that are nearly equal: shingle sets of similarity 0.8
 differ in about ten. Groups may therefore also be linked by ``similarity``: ten keys of four
@@ -38,6 +39,8 @@ CHUNK = 65_536
 BLOCK_ROWS = 256
 #: Groups of at most so many rows are compared all at once, by shifts.
 SMALL = 12
+#: Fingerprints of a key, about, that are compared with all others in it; rows that a task holds at a time.
+PIVOTS, ROWS = 16, 50_000
 #: Keys of a text's shingle set, and least hashes in each; bins of its sketch; texts of one key that are compared in one block, and their bytes.
 KEYS, EACH, BINS, SKETCH_ROWS, SKETCH_BYTES = 10, 4, 256, 2048, 1 << 25
 #: How far below the asked similarity sketches may be for a pair to be verified.
@@ -130,43 +133,63 @@ def _key(block: tuple[int, ...], index: int) -> Column:
     return out
 
 
-def links_in(key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of rows that share a key; rows are sorted by key."""
-    least = 8 - max_bits
-    a, b = [], []
+def near_in(fp: np.ndarray, max_bits: int) -> tuple[list[int], list[int]]:
+    """A spanning forest of one key's links: each row is tallied once against the rows that no group has taken yet, so that no list of pairs is held."""
+    least, left = 8 - max_bits, np.arange(len(fp))
+    a: list[int] = []
+    b: list[int] = []
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            differ = fp[left] ^ fp[x]
+            near = 8 - np.count_nonzero(differ.view(np.uint8).reshape(-1, 8), axis=1) >= least
+            near[near] = np.bitwise_count(differ[near]) <= max_bits
+            found = left[near].tolist()
+            a += [x] * len(found)
+            b += found
+            queue += found
+            left = left[~near]
+    return a, b
 
-    def hold(i: np.ndarray, j: np.ndarray) -> None:
-        differ = fp[i] ^ fp[j]
-        tally = 8 - (differ.view(np.uint8).reshape(-1, 8) != 0).sum(axis=1)
-        kept = tally >= least
-        kept[kept] = np.bitwise_count(differ[kept]) <= max_bits
-        a.append(fp[i[kept]])
-        b.append(fp[j[kept]])
 
+def links_in(key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of rows that share a key, enough of them to join all that links join; rows are sorted by key."""
+    least = 8 - max_bits
+    a, b = [np.array([], fp.dtype)], [np.array([], fp.dtype)]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.array([], int)
     sizes = np.diff(np.append(starts, len(key)))
     small = np.repeat(sizes <= SMALL, sizes)
     for shift in range(1, min(SMALL, sizes.max(initial=1))):
-        hold(i := np.flatnonzero((key[shift:] == key[:-shift]) & small[shift:]), i + shift)
+        i = np.flatnonzero((key[shift:] == key[:-shift]) & small[shift:])
+        differ = fp[i] ^ fp[i + shift]
+        kept = 8 - np.count_nonzero(differ.view(np.uint8).reshape(-1, 8), axis=1) >= least
+        kept[kept] = np.bitwise_count(differ[kept]) <= max_bits
+        a.append(fp[i[kept]])
+        b.append(fp[i[kept] + shift])
     for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        for at in range(start, start + size - 1, 64):
-            i, j = np.meshgrid(np.arange(at, min(at + 64, start + size)), np.arange(at, start + size), indexing="ij")
-            hold(*(x[i < j] for x in (i, j)))
-    return np.concatenate([*a, np.array([], fp.dtype)]), np.concatenate([*b, np.array([], fp.dtype)])
+        own = fp[start : start + size]
+        i, j = near_in(own, max_bits)
+        a.append(own[i])
+        b.append(own[j])
+    return np.concatenate(a), np.concatenate(b)
 
 
 def fingerprint_links(classes: DataFrame, max_bits: int = 3) -> DataFrame:
-    """A spanning forest (a, b) of the links between distinct fingerprints (column fp, no nulls)."""
+    """A spanning forest (a, b) of the links between distinct fingerprints (column fp, no nulls).
+
+    Keys of up to BLOCK_ROWS fingerprints are compared at once. A larger key's are first
+    dealt to blocks, each once, with about PIVOTS of them in every block. In most keys
+    that joins whatever is linked; of the rest only pairs of fingerprints that are still
+    apart are compared, all of them, in pairs of blocks: those of the key's largest part
+    against the others, and the others among themselves.
+    """
     if not 0 <= max_bits <= 3:
         raise ValueError("the index guarantees links of at most 3 differing bits")
     index = classes.select("fp", F.explode(F.array(*[_key(b, i) for i, b in enumerate(BLOCKS)])).alias("k"))
-    live = materialise(index.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "live")
-    dealt = (
-        index.join(live, "k")
-        .select("k", "fp", (F.ceil(F.col("n") / BLOCK_ROWS)).cast("int").alias("blocks"))
-        .select("k", "fp", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "fp")
-    )
+    live = index.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    live = materialise(live.select("k", "n", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "live")
+    keyed = materialise(index.join(live, "k"), "keyed")
 
     def compare(table: pa.Table):
         group, fp = table.column(0).to_numpy(), table.column(1).to_numpy().view(np.uint64)
@@ -174,7 +197,27 @@ def fingerprint_links(classes: DataFrame, max_bits: int = 3) -> DataFrame:
         if len(x):
             yield edge_batch(*stars(x.view(np.int64), y.view(np.int64)))
 
-    return _by_group(dealt, compare, 200_000)
+    spot = lambda blocks: F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    pivot = F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("n")) < PIVOTS
+    everywhere = F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(spot(F.col("blocks"))))
+    first = keyed.select("k", "fp", F.explode(everywhere).alias("block")).select(F.xxhash64("k", "block").alias("group"), "fp")
+    links = materialise(_by_group(first, compare, ROWS), "links")
+    many = keyed.where("blocks > 1")
+    if not many.limit(1).count():
+        return links
+    parts = materialise(connected_components(links), "parts")
+    many = many.join(parts, many["fp"] == parts["node"], "left").select("k", "fp", F.coalesce("component", "fp").alias("part"))
+    many = materialise(many, "many")
+    sizes = many.groupBy("k", "part").agg(F.count("*").alias("c"))
+    apart = sizes.groupBy("k").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.max("c").alias("c"), F.sum("c").alias("total")).where("c < total")
+    apart = materialise(apart.select("k", "main", F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("m"), F.ceil((F.col("total") - F.col("c")) / BLOCK_ROWS).cast("int").alias("o")), "apart")
+    rest = many.join(apart, "k")
+    main, other = rest.where("part = main"), rest.where("part != main")
+    numbers = lambda n: F.sequence(F.lit(0), n - 1)
+    across = main.select("k", "fp", spot(F.col("m")).alias("i"), F.explode(numbers(F.col("o"))).alias("j")).union(other.select("k", "fp", F.explode(numbers(F.col("m"))).alias("i"), spot(F.col("o")).alias("j")))
+    among = other.select("k", "fp", spot(F.col("o")).alias("own"), F.explode(numbers(F.col("o"))).alias("j")).select("k", "fp", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"))
+    second = across.select(F.xxhash64("k", F.lit(0), "i", "j").alias("group"), "fp").union(among.select(F.xxhash64("k", F.lit(1), "i", "j").alias("group"), "fp"))
+    return links.union(_by_group(second, compare, ROWS))
 
 
 def _by_group(dealt: DataFrame, compare, rows_at_once: int) -> DataFrame:
