@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refrain.llm.common import materialise
+from refrain.llm.common import let, materialise
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Runs are maximal, so that a least length in the pattern drops what a check afterwards would.
@@ -24,15 +24,38 @@ VENDOR = r"()((?:gh[pousr]|glpat|xox[abprs]|sk|rk)[_-][A-Za-z0-9_-]{16,}|eyJ[A-Z
 KINDS = [("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("vendor", VENDOR)]
 
 
+#: Items whose sums are taken at once in running sums.
+BLOCK = 64
+
+
+def _sum(items: Column) -> Column:
+    return F.aggregate(items, F.lit(0), lambda a, x: a + x)
+
+
+def _before(steps: Column) -> Column:
+    """For each item of an array (not empty, computed once) the sum of all before it: by sums of blocks, so that the work of n items is n * BLOCK + (n / BLOCK)^2."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")), lambda b: _sum(F.slice(steps, b * BLOCK + 1, F.lit(BLOCK))))
+    bases = lambda sums: F.transform(sums, lambda x, i: _sum(F.slice(sums, F.lit(1), i)))
+    each = lambda base: F.transform(steps, lambda x, i: F.get(base, F.floor(i / BLOCK).cast("int")) + _sum(F.slice(steps, i - i % BLOCK + 1, i % BLOCK)))
+    return let(blocks, lambda sums: let(bases(sums), each))
+
+
 def _found(number: int, pattern: str) -> Column:
     """Spans of one kind: start, number, end, and a hash of the value. Between and before matches lie the parts of the split text."""
     text, rx = F.col("text"), F.lit(pattern)
-    whole, value, parts = F.regexp_extract_all(text, rx, F.lit(0)), F.regexp_extract_all(text, rx, F.lit(2)), F.split(text, pattern, -1)
-    before = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
-    spans = F.transform(whole, lambda m, i: F.struct((before(parts, i + 1) + before(whole, i)).alias("start"), F.lit(number).alias("kind"), F.length(m).alias("long"), F.get(value, i).alias("value")))
-    kept = F.filter(spans, lambda s: F.length(s["value"]) >= 8) if number == 0 else spans
-    hashed = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), (s["start"] + s["long"]).alias("end"), F.xxhash64(s["value"]).alias("value")))
-    return F.when(text.rlike(pattern), hashed)
+    read = F.struct(F.regexp_extract_all(text, rx, F.lit(0)).alias("whole"), F.regexp_extract_all(text, rx, F.lit(2)).alias("value"), F.split(text, pattern, -1).alias("gap"))
+
+    def spans(r: Column) -> Column:
+        steps = F.zip_with(r["whole"], F.slice(r["gap"], F.lit(1), F.size(r["whole"])), lambda m, g: F.length(m) + F.length(g))
+
+        def place(before: Column) -> Column:
+            start = lambda i: F.get(before, i) + F.length(F.get(r["gap"], i))
+            return F.transform(r["whole"], lambda m, i: F.struct(start(i).alias("start"), F.lit(number).alias("kind"), (start(i) + F.length(m)).alias("end"), F.xxhash64(F.get(r["value"], i)).alias("value"), F.length(F.get(r["value"], i)).alias("long")))
+
+        return let(steps, lambda s: let(_before(s), place))
+
+    kept = F.filter(let(read, spans), lambda s: s["long"] >= 8) if number == 0 else let(read, spans)
+    return F.when(text.rlike(pattern), F.transform(kept, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "kind", "end", "value")])))
 
 
 def _told(spans: Column) -> Column:
