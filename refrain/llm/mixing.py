@@ -3,7 +3,7 @@
 Tokens are summed per source; each source's target is its share of all tokens by weight,
 at most ``cap`` times what it has, with the excess reshared among the others by weight.
 The repetition rate is target over size: each document is emitted floor(rate) times, plus
-one Bernoulli copy with the fraction as its probability, seeded by a hash of its id.
+one Bernoulli copy with the fraction as its probability, seeded by a hash of its id, source and text.
 
 Only per-source sums pass through one task. They are written, so that their join with the
 documents is a broadcast if their size on disk allows it, and otherwise a join that
@@ -48,23 +48,29 @@ def targets(sizes: DataFrame, weights: DataFrame | None = None, cap: int = 3) ->
     return per.withColumn("target", target).select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"))
 
 
-def copies(rate: Column, doc_id: Column, seed: str = "mix") -> Column:
-    """floor(rate), plus one where the document's draw in [0, 1) is below the fraction."""
-    draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+def copies(rate: Column, key: Column) -> Column:
+    """floor(rate), plus one where the draw of ``key`` in [0, 1) is below the fraction."""
+    draw = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
+def draw_key(seed: str) -> Column:
+    """What a document draws by: its id, source and text, so that documents without an id, or that share one, draw apart."""
+    told = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("")), F.md5(F.coalesce("text", F.lit("")))]
+    return F.concat_ws(":", *told, F.lit(seed))
+
+
 def plan(docs: DataFrame, weights: DataFrame | None = None, cap: int = 3, seed: str = "mix") -> DataFrame:
     """(row, doc_id, size, source_size, target, copies) of every row of ``docs`` (columns doc_id, source, text); row holds all its columns, whatever their names.
 
-    A null text has size 0; rows of a null source form a source; a null doc_id draws as an
-    empty one; repeated rows draw alike. A source without words gets no copies. An empty
+    A null text has size 0; rows of a null source form a source; documents draw by id,
+    source and text, so only rows equal in all three draw alike. A source without words gets no copies. An empty
     table gives no rows. With ``weights``, rows of sources that it doesn't name are left out.
     """
-    sized = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.col("source").alias("_source"), size_of().alias("size"))
+    sized = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.col("source").alias("_source"), size_of().alias("size"), draw_key(seed).alias("_key"))
     aims = materialise(targets(sized.select(F.col("_source").alias("source"), "size"), weights, cap), "targets")
     joined = sized.join(aims, F.col("_source").eqNullSafe(F.col("source")))
-    return joined.select("row", "doc_id", "size", "source_size", "target", copies(F.col("rate"), F.col("doc_id"), seed).alias("copies"))
+    return joined.select("row", "doc_id", "size", "source_size", "target", copies(F.col("rate"), F.col("_key")).alias("copies"))
 
 
 def sizes(docs: DataFrame, **options) -> DataFrame:
@@ -79,7 +85,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+      concat_ws(':', coalesce(doc_id::VARCHAR, ''), coalesce(source, ''), md5(coalesce(text, '')), 'mix') AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
 r AS (SELECT *, (source_size * 3)::DOUBLE / weight AS r FROM w),
@@ -91,7 +98,7 @@ t AS (SELECT source, source_size, CASE WHEN stops THEN (source_size * 3)::DOUBLE
         (a - sum(CASE WHEN stops THEN source_size * 3 ELSE 0 END) OVER ())::DOUBLE / (sum(CASE WHEN stops THEN 0 ELSE weight END) OVER ())::DOUBLE) END AS target FROM k),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM t),
 n AS (SELECT d.doc_id, d.size, p.source_size, p.target, (floor(rate) + CASE WHEN
-        ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies
+        ('0x' || substr(md5(key), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies
       FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM n
 """
