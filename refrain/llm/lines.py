@@ -19,42 +19,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refrain.llm.common import materialise
+from refrain.llm.common import let, materialise
 
 
-def _start(i: int, segments: int, length: Column) -> Column:
-    """0-based start of the i-th of the even segments; the longer ones come last."""
-    short = F.floor(length / segments)
-    long = length - short * segments
-    return (short * i + F.greatest(F.lit(0), F.lit(i - segments) + long)).cast("int")
+def _start(i: int, n: int, d: int) -> str:
+    """0-based start of the i-th of n even segments of a line d characters shorter than ``len``; the longer segments come last."""
+    return f"cast((len - {d}) div {n} * {i} + greatest(0, {i - n} + (len - {d}) % {n}) as int)"
 
 
-def _index(line: str, length: Column, max_edits: int) -> list[Column]:
+def _index(max_edits: int) -> list[Column]:
     n, out = max_edits + 1, []
     for i in range(n):
-        at, end = _start(i, n, length), _start(i + 1, n, length)
-        out.append(F.hash(length, F.lit(i), F.substring(F.col(line), at + 1, end - at)))
+        at, end = _start(i, n, 0), _start(i + 1, n, 0)
+        out.append(F.expr(f"hash(len, {i}, substring(line, {at} + 1, {end} - {at}))"))
     return out
 
 
-def _probes(line: str, length: Column, max_edits: int) -> list[Column]:
+def _probes(max_edits: int) -> list[Column]:
     """Keys of the substrings that may equal segment i of a line d characters shorter."""
     n, out = max_edits + 1, []
     for d in range(max_edits + 1):
-        other = length - d
         for i in range(n):
-            at, end = _start(i, n, other), _start(i + 1, n, other)
+            at, end = _start(i, n, d), _start(i + 1, n, d)
             for shift in range(max(-i, d - (max_edits - i)), min(i, d + (max_edits - i)) + 1):
-                place = at + shift
-                key = F.hash(other, F.lit(i), F.substring(F.col(line), place + 1, end - at))
-                out.append(F.when((place >= 0) & (place + end - at <= length), key))
+                inside = f"{at} + {shift} >= 0 and {end} + {shift} <= len"
+                out.append(F.expr(f"if({inside}, hash(len - {d}, {i}, substring(line, {at} + {shift} + 1, {end} - {at})), null)"))
     return out
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """Every line that takes part: where it is, two hashes and its length."""
     return (
-        docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+        docs.select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n", -1).alias("lines"))  # before lines are dealt out, or each would hash the text anew
+        .select("doc_id", "th", F.posexplode_outer("lines").alias("pos", "line"))
         .withColumn("len", F.length("line"))
         .where(F.col("len") >= min_chars)
         .select("doc_id", "th", "pos", "line", "len", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
@@ -64,8 +61,7 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
 def classes(docs: DataFrame, min_chars: int, max_edits: int) -> DataFrame:
     """One row for each distinct line: its hashes, first place, how often it stands, and its keys."""
     seen = _lines(docs, min_chars)
-    index, probes = (f("line", F.col("len"), max_edits) for f in (_index, _probes))
-    keys = F.array(*index, *probes)  # 32 bits each do: what shares a key is verified
+    keys = F.array(*_index(max_edits), *_probes(max_edits))  # 32 bits each do: what shares a key is verified
     first = F.min(F.struct("doc_id", "th", "pos", keys.alias("keys")))
     return seen.groupBy("h", "h2").agg(first.alias("f"), F.count("*").alias("n")).select("h", "h2", "n", "f.*")
 
@@ -87,11 +83,11 @@ def near(docs: DataFrame, known: DataFrame, max_edits: int) -> DataFrame:
     index, probe = live.where("own").drop("own"), live.where("not own").drop("own")
     wanted = index.select("h").union(probe.select("h")).distinct()
     where = materialise(known.join(wanted, "h", "left_semi").select("h", "h2", "doc_id", "th", "pos"), "where")
+    where = where.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("h", "h2", "pos")).alias("want"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    told = texts.join(where, texts["doc_id"].eqNullSafe(where["doc_id"]) & (texts["th"] == where["th"])).select(
-        "h", "h2", F.struct(where["doc_id"], where["th"], "pos").alias("at"), F.element_at(F.split("text", "\n", -1), F.col("pos") + 1).alias("line")
-    )
-    told = materialise(told, "told")
+    read = lambda lines: F.transform("want", lambda x: F.struct(x["h"].alias("h"), x["h2"].alias("h2"), x["pos"].alias("pos"), F.get(lines, x["pos"]).alias("line")))
+    told = texts.join(where, texts["doc_id"].eqNullSafe(where["_id"]) & (texts["th"] == where["_th"])).select("doc_id", "th", F.explode_outer(let(F.split("text", "\n", -1), read)).alias("x"))
+    told = materialise(told.select("x.h", "x.h2", F.struct("doc_id", "th", "x.pos").alias("at"), "x.line"), "told")
     index, probe = materialise(index.join(told, "h"), "index"), materialise(probe.join(told, "h"), "probe")
     earlier = (F.col("y.at") < F.col("x.at")) & (F.levenshtein("x.line", "y.line", max_edits) >= 0)
     return meets(index, probe, earlier).select("h", "h2").union(meets(probe, index, earlier).select("h", "h2")).distinct()
