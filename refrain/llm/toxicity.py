@@ -37,16 +37,18 @@ APART = set(".-_*~'`^/\\, ​‌‍­")
 #: Natural-log costs of the channel.
 SWAP, DROP, MERGE = -1.0, -0.3, -0.5
 EDGE_MARKS = ".,;:!?\"'()[]{}<>…«»¿¡“”‘’"
-SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+SPACED = re.compile(r"(?<!\S)\S(?:\s{1,3}\S){2,}(?!\S)")
 #: Marks at the edges that stand for no letter.
 MERE_MARKS = "".join(c for c in EDGE_MARKS if c not in LEET)
+SPEAKING = frozenset(c for c in EDGE_MARKS if c in LEET)
 REPEATED = re.compile(r"(.)\1\1")
 DOUBLED = re.compile(r"([^\W\d_])\1")
 CHUNK = 1 << 20
 PREFIXES = (4, 5, 6)
-#: Letters of the longest word that is looked for within a spelt-out run.
-SPELT = 24
-CACHE = 200_000
+#: Words of at most so many letters are tried with each choice of their doubled letters written once; longer ones are decoded.
+SINGLED = 24
+#: Distinct tokens whose features a task remembers, and the longest of them.
+CACHE, KEPT = 65_536, 48
 #: Least chi-squared of a feature with the label, and the ridge penalty.
 CHI, RIDGE = 14.0, 1e-4
 
@@ -78,27 +80,56 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log(0.8 * tri / tri.sum(axis=2, keepdims=True) + 0.2 * back[None])
 
 
-def decode(noisy: str, lm: np.ndarray) -> str:
-    """The likeliest letters behind ``noisy``: Viterbi over (previous letter, last letter), the last two states of the trigram model."""
-    best: dict[tuple[int, int, str], tuple[float, str]] = {(26, 26, ""): (0.0, "")}
-    for c in noisy:
+#: What a written character may stand for: (letter's number, as it is written down, cost), and whether it is a letter itself.
+_WAYS: dict[str, tuple[list[tuple[int, str, float]], bool]] = {}
+
+
+def ways_of(c: str) -> tuple[list[tuple[int, str, float]], bool]:
+    found = _WAYS.get(c)
+    if found is None:
         plain = unicodedata.normalize("NFD", c)[0]
         letter = "a" <= plain <= "z"
-        ways = [(plain, c, 0.0)] if letter else [(x, x, SWAP) for x in LEET.get(c, "")]
-        nxt: dict[tuple[int, int, str], tuple[float, str]] = {}
+        found = [(ord(plain) - 97, c, 0.0)] if letter else [(ord(x) - 97, x, SWAP) for x in LEET.get(c, "")], letter
+        if len(_WAYS) < 4096:
+            _WAYS[c] = found
+    return found
+
+
+def decode(noisy: str, lm: list) -> str:
+    """The likeliest letters behind ``noisy``: Viterbi over (previous letter, last letter), the last two states of the trigram model (its logarithms as nested lists).
+
+    Paths are linked lists of letters, so that a run of any length takes time and memory in proportion.
+    """
+    best: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(26, 26, ""): (0.0, None)}
+    for c in noisy:
+        ways, letter = ways_of(c)
+        apart = c in APART or c.isspace()
+        nxt: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
         for (p, q, last), (score, out) in best.items():
-            steps = [((q, ord(x) - 97, c), score + cost + lm[p, q, ord(x) - 97], out + kept) for x, kept, cost in ways]
+            row = lm[p][q]
+            for x, kept, cost in ways:
+                s, key = score + cost + row[x], (q, x, c)
+                if key not in nxt or s > nxt[key][0]:
+                    nxt[key] = s, (out, kept)
             if last == c:  # one letter typed again
-                steps.append(((p, q, c), score + MERGE, out))
-            if c in APART:
-                steps.append(((p, q, last), score + DROP, out))
+                s, key = score + MERGE, (p, q, c)
+                if key not in nxt or s > nxt[key][0]:
+                    nxt[key] = s, out
+            if apart:
+                s, key = score + DROP, (p, q, last)
+                if key not in nxt or s > nxt[key][0]:
+                    nxt[key] = s, out
             elif not letter and not ways:
-                steps.append(((q, 26, c), score + lm[p, q, 26], out + " "))
-            for key, s, o in steps:
+                s, key = score + row[26], (q, 26, c)
                 if key not in nxt or s > nxt[key][0]:
-                    nxt[key] = (s, o)
+                    nxt[key] = s, (out, " ")
         best = nxt or best
-    return max((s + lm[p, q, 26], o) for (p, q, _), (s, o) in best.items())[1]
+    out = max(((s + lm[p][q][26], o) for (p, q, _), (s, o) in best.items()), key=lambda x: x[0])[1]
+    letters = []
+    while out is not None:
+        out, kept = out
+        letters.append(kept)
+    return "".join(reversed(letters))
 
 
 def noisy(token: str) -> bool:
@@ -119,46 +150,65 @@ def hash_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
-def features(word: str) -> list[int]:
-    """Hashes of the word and of its beginnings."""
-    return [hash_of(word), *(hash_of(f"{word[:n]}*") for n in PREFIXES if len(word) >= n)]
+def features(word: str) -> list[str]:
+    """The word and its beginnings (told by a space, which no word holds)."""
+    return [word, *(word[:n] + " " for n in PREFIXES if len(word) >= n)]
 
 
 class Reader:
-    """Turns texts into sets of features, with the work of each distinct token done once."""
+    """Turns texts into sets of features, with the work of each distinct token done once.
+
+    Without ``known`` features are strings. With it they are the numbers of those known; what
+    is written is then decoded only where that may reach one.
+    """
 
-    def __init__(self, lm: np.ndarray, known: dict[int, int] | None = None):
-        self.lm, self.known, self.cache = lm, known, {}
+    def __init__(self, lm: np.ndarray, known: dict[str, int] | None = None):
+        self.lm, self.known, self.cache = lm.tolist(), known, {}
+        self.starts = None if known is None else {f[:3] for f in known}
+        self.longest = max(map(len, known), default=0) if known else 0
 
     def keep(self, words: list[str]) -> tuple:
-        found = dict.fromkeys(f for w in words if w for f in features(w))
-        return tuple(found) if self.known is None else tuple(self.known[f] for f in found if f in self.known)
+        if self.known is None:
+            return tuple(dict.fromkeys(f for w in words if w for f in features(w)))
+        out, get = [], self.known.get
+        for w in words:
+            if w[:3] in self.starts:
+                out += [i for i in (get(w), *[get(w[:n] + " ") for n in PREFIXES if len(w) >= n]) if i is not None]
+        return tuple(dict.fromkeys(out)) if out else ()
 
     def token(self, raw: str) -> tuple:
+        out = self.keep(self.readings(raw))
+        if len(raw) <= KEPT:
+            if len(self.cache) >= CACHE:
+                self.cache.clear()
+            self.cache[raw] = out
+        return out
+
+    def readings(self, raw: str) -> list[str]:
+        """The token without the marks at its edges, and what it may hide."""
         word = raw if raw.isascii() else unicodedata.normalize("NFKC", raw)
         inner = word.strip(EDGE_MARKS)
         words = [inner]
+        if inner.isalpha() and not DOUBLED.search(inner) and not (len(inner) < len(word) and SPEAKING.intersection(word)):
+            return words
         if noisy(inner) or self.hidden(inner):
             words += decode(inner, self.lm).split()
-        if inner:  # marks may stand for the first letter, the last ones, or both
+        if inner and len(inner) < len(word):  # marks may stand for the first letter, the last ones, or both
             lead, tail, whole = (word.lstrip(m).rstrip(n) for m, n in ((MERE_MARKS, EDGE_MARKS), (EDGE_MARKS, MERE_MARKS), (MERE_MARKS, MERE_MARKS)))
             for form in dict.fromkeys((lead, tail, whole)):
                 if form != inner and noisy(form):
                     words += decode(form, self.lm).split()
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        self.cache[raw] = out = self.keep(words)
-        return out
+        return words
 
     def hidden(self, word: str) -> bool:
         """Whether a word of digits only, or with a letter twice, may hide one, as its written form is no known feature; a plain word only if a way to write it is known."""
         if word.isdigit():
-            return self.known is None or hash_of(word) not in self.known
+            return self.known is None or word not in self.known
         if not DOUBLED.search(word):
             return False
         if self.known is None:
             return True
-        return hash_of(word) not in self.known and (not word.isascii() or len(word) > SPELT or bool(self.keep(single(word))))
+        return word not in self.known and (not word.isascii() or len(word) > SINGLED or bool(self.keep(single(word))))
 
     def read(self, text: str) -> set:
         text = text.lower()
@@ -172,8 +222,8 @@ class Reader:
                 out.update(found)
         for m in SPACED.finditer(text):
             for word in decode(m.group(), self.lm).split():  # several words may be spelt in one run
-                parts = [word[i:j] for i in range(len(word)) for j in range(i + 3, min(len(word), i + SPELT) + 1)]
-                out.update(self.keep([word, *(x for x in parts if self.known is not None and hash_of(x) in self.known)]))
+                parts = [word[i:j] for i in range(len(word)) for j in range(i + 3, min(len(word), i + self.longest) + 1)] if self.known else []
+                out.update(self.keep([word, *(x for x in parts if x in self.known)]))
         return out
 
 
@@ -200,7 +250,7 @@ def held_out() -> Column:
 class Model:
     """A fitted classifier: the language model, the features' numbers, their weights and the bias."""
 
-    def __init__(self, lm: np.ndarray, number: dict[int, int], w: np.ndarray, b: float, threshold: float):
+    def __init__(self, lm: np.ndarray, number: dict[str, int], w: np.ndarray, b: float, threshold: float):
         self.lm, self.number, self.w, self.b, self.threshold = lm, number, w, b, threshold
 
     def scorer(self):
@@ -215,7 +265,7 @@ class Model:
         return scores
 
 
-def train(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_labelled: int = 10_000, keep: int = 3000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_labelled: int = 10_000) -> Model:
     """The model of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     lm = language_model(docs)
     judged = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy(F.col("doc_id").alias("labelled_id")).agg(F.max("toxic").alias("toxic"))
@@ -227,23 +277,22 @@ def train(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_labell
         for batch in batches:
             found = [sorted(reader.read(t.as_py() or "")) for t in batch.column(0)]
             h = [hash_of(t.as_py() or "") for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["h", "y", "found"])
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["h", "y", "found"])
 
-    rows = texts.select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")).mapInArrow(read, "h long, y int, found array<long>")
+    rows = texts.select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")).mapInArrow(read, "h long, y int, found array<string>")
     rows = materialise(rows.dropDuplicates(["h", "y"]), "labelled")
     n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     n0, c1, c0 = n - n1, F.col("c1").cast("double"), F.col("c").cast("double") - F.col("c1")
     chi = n * F.pow(c1 * (n0 - c0) - c0 * (n1 - c1), F.lit(2)) / (F.lit(float(max(1, n1 * n0))) * (c0 + c1) * F.greatest(F.lit(1.0), n - c0 - c1))
     telling = rows.select("y", F.explode("found").alias("f")).groupBy("f").agg(F.sum("y").alias("c1"), F.count("*").alias("c")).where((F.col("c1") >= 3) & (c1 * n0 > c0 * n1) & (chi >= CHI))
-    number = {f: i for i, (f, _) in enumerate(telling.select("f", chi.alias("chi")).orderBy(F.desc("chi"), "f").limit(keep).collect())}
-    wanted = np.array(sorted(number), np.int64)
+    number = {f: i for i, (f, _) in enumerate(telling.select("f", chi.alias("chi")).orderBy(F.desc("chi"), "f").collect())}  # words of max_labelled rows at most
 
     def mark(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.intersect1d(np.array(x.as_py(), np.int64), wanted) for x in batch.column(2)], pa.list_(pa.int64()))], names=["h", "y", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(number[f] for f in x.as_py() if f in number) for x in batch.column(2)], pa.list_(pa.int32()))], names=["h", "y", "found"])
 
-    marked = sorted(map(tuple, rows.mapInArrow(mark, "h long, y int, found array<long>").collect()))  # max_labelled rows at most, of features that were chosen
-    row, col = np.repeat(np.arange(len(marked)), [len(x[2]) for x in marked]), np.array([number[f] for x in marked for f in x[2]], int)
+    marked = sorted(map(tuple, rows.mapInArrow(mark, "h long, y int, found array<int>").collect()))  # max_labelled rows at most, of features that were chosen
+    row, col = np.repeat(np.arange(len(marked)), [len(x[2]) for x in marked]), np.array([f for x in marked for f in x[2]], int)
     w, b = fit(row, col, np.array([x[1] for x in marked], float), len(number))
     return Model(lm, number, w, b, threshold)
 
