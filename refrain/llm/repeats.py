@@ -7,15 +7,13 @@ match where their anchors' grams do.
 
 Anchors with the same gram are first made classes: same gram, same reach, same bytes. A
 class of two or more members is repeated as a whole and needs no further look. Only grams
-with several classes go on, one representative each, with the bytes around it. In each
-group of such suffixes an enhanced suffix array is built (sorted right contexts and the
-common prefixes of neighbours) and scanned with a stack, which yields its common-prefix
-intervals; each interval's members are compared in the order of their left contexts, and
-where common suffix and prefix together reach ``length``, that member is covered so far.
-All occurrences of an interval are compared, not only its neighbours.
-
-A gram that many classes share isn't scanned in one task: its windows are hashed, counted
-with partial sums and joined back, which costs as many rows as they have windows.
+with several classes go on, one representative each. Nodes of their common-prefix interval
+tree are sets of suffixes that share so many bytes before and behind the anchor; a node may
+hold a large part of the corpus, so none is scanned with a stack in one task: nodes are told
+by hashes and counted with partial sums, level by level, and only below nodes that several
+suffixes share. All occurrences of a node are compared, not only neighbours, and the
+outermost window that is still shared, where extensions to the left or right begin to
+differ, bounds what is covered.
 """
 
 from __future__ import annotations
@@ -30,8 +28,8 @@ from pyspark.sql import functions as F
 
 from refrain.llm.common import materialise, release
 
-#: Bytes of a text that are hashed at a time, and classes of one gram that one task scans.
-CHUNK, SCAN = 1 << 20, 256
+#: Bytes of a text that are hashed at a time, and how far cores lie apart.
+CHUNK, STEP = 1 << 20, 16
 _RANDOM = np.random.default_rng(20240229)
 TABLE = _RANDOM.integers(0, 2**64, 256, np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -78,46 +76,6 @@ def anchors_of(data: bytes, rolling: Rolling, length: int, gram: int):
         yield h[place[first]].view(np.int64), place[first] + at, first + at, last + at
 
 
-def common(x: bytes, y: bytes) -> int:
-    """Length of the common prefix."""
-    n = min(len(x), len(y))
-    if x[:n] == y[:n]:
-        return n
-    low = 0
-    while n - low > 1:
-        mid = (low + n) // 2
-        if x[low:mid] == y[low:mid]:
-            low = mid
-        else:
-            n = mid
-    return low
-
-
-def scan(group: list[tuple[bytes, bytes]], length: int) -> list[tuple[int, int]]:
-    """How far each suffix is covered to the left and right of its anchor, from (reversed left context, right context) of each; (0, 0): not."""
-    reach = [(0, 0)] * len(group)
-
-    def interval(members: list[int], right: int) -> None:
-        order = sorted(members, key=lambda m: group[m][0])
-        shared = [common(group[x][0], group[y][0]) for x, y in zip(order, order[1:], strict=False)]
-        for k, m in enumerate(order):  # neighbours in this order have the longest left extension in common
-            left = max(shared[k - 1] if k else 0, shared[k] if k < len(shared) else 0)
-            if left + right >= length:
-                reach[m] = max(reach[m][0], left), max(reach[m][1], right)
-
-    order = sorted(range(len(group)), key=lambda m: group[m][1])
-    prefixes = [common(group[x][1], group[y][1]) for x, y in zip(order, order[1:], strict=False)]
-    stack: list[tuple[int, int]] = []  # (common prefix, first place) of the open intervals
-    for at, prefix in enumerate([*prefixes, -1]):
-        start = at
-        while stack and stack[-1][0] > prefix:
-            right, start = stack.pop()
-            interval(order[start : at + 1], right)
-        if prefix >= 0 and (not stack or stack[-1][0] < prefix):
-            stack.append((prefix, start))
-    return reach
-
-
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of half-open spans; those that touch are one."""
     out: list[tuple[int, int]] = []
@@ -130,7 +88,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
 
 
 def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -145,63 +103,53 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     f = np.array([xxhash.xxh3_64_intdigest(data[x:y]) for x, y in zip(lo.tolist(), (hi + length).tolist(), strict=True)], np.uint64).view(np.int64)
                     n = len(h)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h), pa.array((a - lo).astype(np.int32)), pa.array((a - hi).astype(np.int32)), pa.array(f), pa.array([doc_id.as_py()] * n, pa.int64()), pa.array([th.as_py()] * n, pa.int32()), pa.array(a)], names=names
+                        [pa.array(h), pa.array((a - lo).astype(np.int32)), pa.array((a - hi).astype(np.int32)), pa.array(f), pa.array([doc_id.as_py()] * n, pa.int64()), pa.array([th.as_py()] * n, pa.int64()), pa.array(a)], names=names
                     )
 
-    return _keyed(docs).mapInArrow(run, "h long, dlo int, dhi int, f long, doc_id long, th int, a long")
+    return _keyed(docs).mapInArrow(run, "h long, dlo int, dhi int, f long, doc_id long, th long, a long")
 
 
 CLASS = ["h", "dlo", "dhi", "f"]
 
 
-def _reach_in_groups(spans: DataFrame, length: int) -> DataFrame:
-    """(class, left, right) of grams that few classes share, by scanning each gram's suffixes; spans has h, dlo, dhi, f, span."""
+def _contexts(joined: DataFrame, length: int, step: int) -> DataFrame:
+    """(class, cores, windows) of the classes asked for: hashes of every window, the furthest left first, and of every core, the nearest to the anchor first."""
+    names = [*CLASS, "cores", "windows"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def run(batches):
-        held: list = []
-
-        def flush(rows: list):
-            out: list[list] = [[] for _ in range(6)]
-            at = 0
-            while at < len(rows):
-                end = at
-                while end < len(rows) and rows[end][0] == rows[at][0]:
-                    end += 1
-                group = [(span[:dlo][::-1], span[dlo:]) for _, dlo, _, _, span in rows[at:end]]
-                for row, (left, right) in zip(rows[at:end], scan(group, length), strict=True):
-                    if right:
-                        for column, x in zip(out, (*row[:4], left, right), strict=True):
-                            column.append(x)
-                at = end
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=[*CLASS, "left", "right"])
-
+        rolling = Rolling(2 * length)
         for batch in batches:
-            held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            cut = next((i for i in range(len(held) - 1, -1, -1) if held[i][0] != held[-1][0]), -1) + 1
-            if cut >= 2000:
-                yield flush(held[:cut])
-                held = held[cut:]
-        yield flush(held)
-
-    return spans.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, dlo int, dhi int, f long, left int, right int")
+            for data, want in zip(*batch.columns, strict=True):
+                data, out = data.as_py(), [[] for _ in names]
+                for x in want.as_py():
+                    dlo, dhi = x["dlo"], x["dhi"]
+                    span = np.frombuffer(data[x["a"] - dlo : x["a"] - dhi + length], np.uint8)
+                    cores = rolling.windows(span, length - step)[dlo - step * np.arange(dhi // step, dlo // step + 1)]
+                    for column, v in zip(out, (x["h"], dlo, dhi, x["f"], cores.view(np.int64), rolling.windows(span, length).view(np.int64)), strict=True):
+                        column.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=names)
 
+    return joined.mapInArrow(run, "h long, dlo int, dhi int, f long, cores array<long>, windows array<long>")
 
-def _reach_by_windows(spans: DataFrame, length: int) -> DataFrame:
-    """The same for grams that many classes share, by counting the hashes of all windows."""
 
-    def run(batches):
-        rolling = None
-        for batch in batches:
-            for h, dlo, dhi, f, span in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rolling = rolling or Rolling(2 * length)
-                w = rolling.windows(np.frombuffer(span, np.uint8), length).view(np.int64)
-                n = len(w)
-                yield pa.RecordBatch.from_arrays([pa.array([h] * n), pa.array([dlo] * n, pa.int32()), pa.array([dhi] * n, pa.int32()), pa.array([f] * n), pa.array(dlo - np.arange(n), pa.int32()), pa.array(w)], names=[*CLASS, "o", "w"])
+def _reach(spans: DataFrame, length: int, step: int) -> DataFrame:
+    """(class, left, right): how far the outermost repeated windows of each class go to both sides of its anchor.
 
-    seen = materialise(spans.repartition(*CLASS).mapInArrow(run, "h long, dlo int, dhi int, f long, o int, w long"), "windows")
-    twice = materialise(seen.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w"), "twice")
-    return seen.join(twice, "w").groupBy(*CLASS).agg(F.max("o").alias("left"), (F.lit(length) - F.min("o")).alias("right"))
+    Nodes of the interval tree are told by hashes, so that a node which many suffixes share
+    is counted with partial sums by many tasks. The tree is walked in two levels: cores
+    (``length`` - ``step`` bytes at every ``step``-th place, of which each window holds one),
+    and below cores that several suffixes share their windows.
+    """
+    node = F.col("dhi") - F.col("dhi") % step  # the place of the first core
+    each = spans.select(*CLASS, F.posexplode("cores").alias("c", "k"))
+    shared = each.groupBy("h", "k").agg(F.count("*").alias("n")).where("n > 1").select("h", "k")
+    alive = each.join(shared, ["h", "k"], "left_semi").groupBy(*CLASS).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("c"))).alias("alive"))
+    whose = spans.join(alive, CLASS).select(*CLASS, "alive", F.posexplode("windows").alias("i", "w")).withColumn("o", F.col("dlo") - F.col("i"))
+    below = F.floor((F.col("o") - node) / step).cast("int")
+    seen = materialise(whose.where(F.getbit("alive", below) == 1).select(*CLASS, "o", "w"), "windows")
+    twice = seen.groupBy("h", "w").agg(F.count("*").alias("n")).where("n > 1").select("h", "w")
+    return seen.join(twice, ["h", "w"], "left_semi").groupBy(*CLASS).agg(F.max("o").alias("left"), (F.lit(length) - F.min("o")).alias("right"))
 
 
 def covered(docs: DataFrame, length: int = 400, gram: int = 128) -> DataFrame:
@@ -213,29 +161,15 @@ def covered(docs: DataFrame, length: int = 400, gram: int = 128) -> DataFrame:
     first = F.min(F.struct("doc_id", "th", "a")).alias("first")
     classes = materialise(mine.groupBy(*CLASS).agg(F.count("*").alias("n"), first), "classes")
     several = materialise(classes.groupBy("h").agg(F.count("*").alias("classes")).where("classes > 1"), "several")
-    wanted = classes.join(several, "h").select(*CLASS, "classes", "first.*")
-    wanted = materialise(wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*CLASS, "classes", "a")).alias("want")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "want"), "wanted")
-    texts = _keyed(docs)
-
-    def cut(batches):
-        names = [*CLASS, "classes", "span"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-        for batch in batches:
-            for data, want in zip(*batch.columns, strict=True):
-                data, out = data.as_py(), [[] for _ in names]
-                for x in want.as_py():
-                    span = data[x["a"] - x["dlo"] : x["a"] - x["dhi"] + length]
-                    for column, v in zip(out, (x["h"], x["dlo"], x["dhi"], x["f"], x["classes"], span), strict=True):
-                        column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=names)
-
-    # equal rows hold equal texts: their spans come more than once, and count once
+    wanted = classes.join(several, "h").select(*CLASS, "first.*")
+    wanted = materialise(wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*CLASS, "a")).alias("want")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "want"), "wanted")
+    texts, step = _keyed(docs), max(1, min(STEP, length // 8))
     joined = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["th"] == wanted["_th"])).select("data", "want")
-    spans = materialise(joined.mapInArrow(cut, "h long, dlo int, dhi int, f long, classes long, span binary").dropDuplicates(CLASS) if _repeated_rows(docs) else joined.mapInArrow(cut, "h long, dlo int, dhi int, f long, classes long, span binary"), "spans")
-    few = _reach_in_groups(spans.where(F.col("classes") <= SCAN).select(*CLASS, "span"), length)
-    many = _reach_by_windows(spans.where(F.col("classes") > SCAN).select(*CLASS, "span"), length)
+    spans = _contexts(joined, length, step)
+    # equal rows hold equal texts: their classes come more than once, and count once
+    spans = materialise(spans.dropDuplicates(CLASS) if _repeated_rows(docs) else spans, "spans")
     whole = classes.where("n > 1").select(*CLASS, F.col("dlo").alias("left"), (F.lit(length) - F.col("dhi")).alias("right"))
-    reach = materialise(few.union(many).union(whole).groupBy(*CLASS).agg(F.max("left").alias("left"), F.max("right").alias("right")), "reach")
+    reach = materialise(_reach(spans, length, step).union(whole).groupBy(*CLASS).agg(F.max("left").alias("left"), F.max("right").alias("right")), "reach")
     release(spans)
     found = mine.join(reach, CLASS).select("doc_id", "th", F.struct((F.col("a") - F.col("left")).alias("s"), (F.col("a") + F.col("right")).alias("e")).alias("x"))
     return materialise(found.groupBy("doc_id", "th").agg(F.collect_set("x").alias("spans")), "covered")
