@@ -67,12 +67,15 @@ def token_arrays(sources: DataFrame, options: Options, extensions: Extensions |
     """(source_id, pool, values, lines) of all sections of all sources; a section of another format than its file is ``id:format``."""
     extensions = extensions or Extensions()
     typed = any({"javascript", "jsx"} & set(g) and {"typescript", "tsx"} & set(g) for g in options.cross_formats)
-    each = code.tokens(sources, "strict" if extensions.mode else options.mode, options.ignore_case, options.ignore_pattern, erase=typed)
+    said = {"ignore_case": options.ignore_case, "ignore_pattern": options.ignore_pattern, "erase": typed}
     if extensions.mode:
-        each = each.where(extensions.mode())
+        each = code.tokens(sources, "strict", **said).where(extensions.mode())
+        made = each.groupBy("source_id", "format").agg(F.array_sort(F.collect_list(F.struct("offset", "pos", "value", "line"))).alias("x"))
+        made = made.select("source_id", "format", F.col("x.value").alias("values"), F.col("x.line").alias("lines"))
+    else:
+        made = code.arrays(sources, options.mode, **said)
     own = sources.select(F.col("source_id").alias("_s"), F.col("format").alias("_f"))
-    grouped = each.groupBy("source_id", "format").agg(F.array_sort(F.collect_list(F.struct("offset", "pos", "value", "line"))).alias("x")).join(own, F.col("source_id") == F.col("_s"))
-    named = grouped.select(F.when(F.col("format") == F.col("_f"), F.col("source_id")).otherwise(F.concat_ws(":", "source_id", "format")).alias("source_id"), "format", F.col("x.value").alias("values"), F.col("x.line").alias("lines"))
+    named = made.join(own, F.col("source_id") == F.col("_s")).select(F.when(F.col("format") == F.col("_f"), F.col("source_id")).otherwise(F.concat_ws(":", "source_id", "format")).alias("source_id"), "format", "values", "lines")
     if extensions.hash_function:
         named = named.withColumn("values", extensions.hash_function(F.col("values")))
     return files.pooled(named, options.cross_formats).where(F.size("values") >= options.min_tokens).select("source_id", "pool", "values", "lines")
@@ -130,6 +133,14 @@ def baseline_from(spark: SparkSession, options: Options, sources: DataFrame | No
     return baseline.build(baseline.fingerprints(before.clones, before.arrays))
 
 
+class Listed(list):
+    """The first rows of an answer, and how many there are in all (``total``)."""
+
+    def __init__(self, rows: DataFrame, order: list, limit: int):
+        super().__init__(r.asDict() for r in rows.orderBy(*order).limit(limit).collect())
+        self.total = len(self) if len(self) < limit else rows.count()
+
+
 class Engine:
     """A resident index: built once, asked for snippets, files and statistics, built anew by recheck()."""
 
@@ -139,15 +150,18 @@ class Engine:
         self.recheck()
 
     def recheck(self) -> dict:
+        """Scans anew and replaces the index; refused while another scan runs."""
+        if self.scanning:
+            raise RuntimeError("a scan is running")
         self.scanning = True
         try:
             self.result = run(self.spark, self.options, self.sources)
-            self.index = get_store(self.options.store)(snippets.index_of(self.result.arrays, self.options.min_tokens), self.options.store_path)
+            self.index = get_store(self.options.store, self.options.store_namespace)(snippets.index_of(self.result.arrays, self.options.min_tokens), self.options.store_path)
         finally:
             self.scanning = False
         return self.health()
 
-    def check_duplication(self, text: str, fmt: str, limit: int = 50) -> list[dict]:
+    def check_duplication(self, text: str, fmt: str, limit: int = 50) -> Listed:
         """Passages of a snippet that the index holds, longest first, and how many there are."""
         name = formats.resolve_format(fmt)
         if name is None:
@@ -156,12 +170,12 @@ class Engine:
         runs = snippets.check(own, self.index, self.options.min_tokens)
         lined = own.select(F.col("source_id").alias("snippet_id"), "lines")
         out = runs.join(lined, "snippet_id").select("source_id", "tokens", F.get("lines", "pos").alias("start"), F.get("lines", (F.col("pos") + F.col("tokens") - 1).cast("int")).alias("end"))
-        rows = out.orderBy(F.desc("tokens"), "source_id").limit(limit).collect()
-        return [r.asDict() for r in rows]
+        return Listed(out, [F.desc("tokens"), "source_id", "start"], limit)
 
-    def get_file_clones(self, path: str, limit: int = 50) -> list[dict]:
+    def get_file_clones(self, path: str, limit: int = 50) -> Listed:
+        """Clones that touch a file or one of its sections, in order, and how many there are."""
         of = lambda x: (F.col(x) == path) | F.col(x).startswith(f"{path}:")
-        return [r.asDict() for r in self.result.clones.where(of("a_id") | of("b_id")).orderBy("a_id", "a_start", "b_id", "b_start").limit(limit).collect()]
+        return Listed(self.result.clones.where(of("a_id") | of("b_id")), ["a_id", "a_start", "b_id", "b_start"], limit)
 
     def get_statistics(self) -> list[dict]:
         return [r.asDict() for r in self.result.statistics.collect()]
@@ -174,6 +188,8 @@ class Engine:
         return {"status": "scanning" if self.scanning else "ready"}
 
     def close(self) -> None:
+        if self.index is not None:
+            self.index.unpersist()
         self.index = self.result = None
 
 

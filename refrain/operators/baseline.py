@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def pair_hash(a: str, b: str) -> Column:
     """32 hex digits of two snippets, whichever comes first."""
-    return F.md5(F.concat(F.least(a, b), F.lit("|"), F.greatest(a, b)))
+    return F.md5(F.concat(F.least(a, b), F.char(F.lit(0)), F.greatest(a, b)))
 
 
 def snippet(values: str, pos: Column, tokens: Column) -> Column:

@@ -13,6 +13,7 @@ from __future__ import annotations
 import bisect
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,6 +97,23 @@ def lex(text: str, fmt: str):
             last = m.group()
 
 
+FALLBACK = re.compile(r"[\w$]+|[^\S\n]+|\n|.", re.S)
+
+
+def fallback(text: str):
+    """(kind, value, offset) of a script that can't be lexed: words and single signs, without strings or comments."""
+    for m in FALLBACK.finditer(text):
+        yield "whitespace" if m.group().isspace() else "other", m.group(), m.start()
+
+
+def lexed(text: str, fmt: str) -> list[tuple[str, str, int]]:
+    """lex(), or for a script with a string or comment that isn't closed, its fallback."""
+    found = list(lex(text, fmt))
+    if fmt in SCRIPT and fmt not in TOKENIZERS and any(value in "\"'`" if kind == "punctuation" else kind == "comment" and value.startswith("/*") and (len(value) < 4 or not value.endswith("*/")) for kind, value, _ in found):
+        return list(fallback(text))
+    return found
+
+
 def sections(text: str, fmt: str) -> list[tuple[str, str, int]]:
     """(format, text, offset) of a file's sections; what lies outside them is blanked to keep places."""
     found: list[tuple[str, int, int, int, int]] = []  # format, inner start, inner end, outer start, outer end
@@ -150,20 +168,79 @@ def erase_types(text: str) -> str:
     return ERASE.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
 
 
-def tokens(sources: DataFrame, mode: str = "mild", ignore_case: bool = False, ignore_pattern: list[str] | None = None, erase: bool = False) -> DataFrame:
+def byte_places(text: str) -> np.ndarray | range:
+    """UTF-8 bytes before each character, and before the end."""
+    if text.isascii():
+        return range(len(text) + 1)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
+
+
+def left_out(text: str, starts: list[int], patterns: list[re.Pattern]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the ranges that are left out, merged and in order: matches of ``patterns``, and whole lines between ignore marks."""
+    ranges, opened = [m.span() for p in patterns for m in p.finditer(text) if m.end() > m.start()], None
+    for at, line in zip(starts, text.split("\n"), strict=True):
+        if opened is None and START.search(line):
+            opened = at
+        if opened is not None and END.search(line):
+            ranges.append((opened, at + len(line)))
+            opened = None
+    if opened is not None:
+        ranges.append((opened, len(text)))
+    merged: list[list[int]] = []
+    for start, end in sorted(ranges):
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([start, end])
+    return [x for x, _ in merged], [x for _, x in merged]
+
+
+COMPONENTS = {"vue", "svelte", "astro"}
+
+
+def read(text: str, fmt: str, dropped: set[str], patterns: list[re.Pattern], ignore_case: bool, erase: bool, blocks_only: bool = False):
+    """(format, [(kind, value, line, place, line's place)]) of each section of a text; ``blocks_only`` leaves out what lies between the blocks of a component."""
+    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    begins, ends = left_out(text, starts, patterns)
+    found = sections(text, fmt)
+    for name, part, base in found[:-1] if blocks_only and fmt in COMPONENTS else found:
+        if erase and name in ("typescript", "tsx"):
+            part = erase_types(part)
+        out = []
+        for kind, value, at in lexed(part, name):
+            at += base
+            if kind in dropped:
+                continue
+            if begins and (i := bisect.bisect_right(ends, at)) < len(ends) and begins[i] < at + len(value):
+                continue
+            line = bisect.bisect_right(starts, at)
+            out.append((kind, value.lower() if ignore_case else value, line, at, starts[line - 1]))
+        yield name, out
+
+
+DROPPED = {"strict": frozenset(), "mild": frozenset({"whitespace"}), "weak": frozenset({"whitespace", "comment"})}
+
+
+def _compiled(ignore_pattern: list[str] | None) -> list[re.Pattern]:
+    """Patterns that don't compile are skipped."""
+    out = []
+    for p in ignore_pattern or []:
+        try:
+            out.append(re.compile(p, re.M))
+        except re.error:
+            continue
+    return out
+
+
+def tokens(sources: DataFrame, mode: str = "mild", ignore_case: bool = False, ignore_pattern: list[str] | None = None, erase: bool = False, blocks_only: bool = False) -> DataFrame:
     """(source_id, format, pos, kind, value, line, col, offset) of ``sources`` (source_id, format, content).
 
     Lines and columns count from 1 and 0, columns and offsets in UTF-8 bytes of the whole
     file. Regions between ignore marks are dropped by whole lines, as is what overlaps a
     match of ``ignore_pattern`` (patterns that don't compile are skipped).
     """
-    patterns = []
-    for p in ignore_pattern or []:
-        try:
-            patterns.append(re.compile(p, re.M))
-        except re.error:
-            continue
-    dropped = {"strict": set(), "mild": {"whitespace"}, "weak": {"whitespace", "comment"}}[mode]
+    patterns, dropped = _compiled(ignore_pattern), DROPPED[mode]
     kind_of = sources.schema["source_id"].dataType.simpleString()
     names = ["source_id", "format", "pos", "kind", "value", "line", "col", "offset"]
     kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
@@ -171,38 +248,45 @@ def tokens(sources: DataFrame, mode: str = "mild", ignore_case: bool = False, ig
     def run(batches):
         for batch in batches:
             for source_id, fmt, content in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                text = content or ""
-                starts = [0, *(m.end() for m in re.finditer("\n", text))]
-                ranges = [m.span() for p in patterns for m in p.finditer(text)]
-                opened = None
-                for at, line in zip(starts, text.split("\n"), strict=True):
-                    if START.search(line) and opened is None:
-                        opened = at
-                    if END.search(line) and opened is not None:
-                        ranges.append((opened, at + len(line)))
-                        opened = None
-                if opened is not None:
-                    ranges.append((opened, len(text)))
-                ascii_only = text.isascii()
-                for name, part, base in sections(text, fmt or "txt"):
-                    if erase and name in ("typescript", "tsx"):
-                        part = erase_types(part)
-                    out: list[list] = [[] for _ in names[1:]]
-                    for kind, value, at in lex(part, name):
-                        at += base
-                        if kind in dropped or any(s < at + len(value) and at < e for s, e in ranges):
-                            continue
-                        line = bisect.bisect_right(starts, at)
-                        start = starts[line - 1]
-                        col, offset = (at - start, at) if ascii_only else (len(text[start:at].encode()), len(text[:at].encode()))
-                        for column, x in zip(out, (name, len(out[0]), kind, value.lower() if ignore_case else value, line, col, offset), strict=True):
-                            column.append(x)
-                    yield pa.RecordBatch.from_arrays([pa.array([source_id.as_py()] * len(out[0]), batch.schema.field(0).type), *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)]], names=names)
+                places = byte_places(content or "")
+                for name, found in read(content or "", fmt or "txt", dropped, patterns, ignore_case, erase, blocks_only):
+                    out = [[name] * len(found), range(len(found)), [x[0] for x in found], [x[1] for x in found], [x[2] for x in found], [places[x[3]] - places[x[4]] for x in found], [places[x[3]] for x in found]]
+                    yield pa.RecordBatch.from_arrays([pa.array([source_id.as_py()] * len(found), batch.schema.field(0).type), *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)]], names=names)
 
     return sources.select("source_id", "format", "content").mapInArrow(run, f"source_id {kind_of}, format string, pos int, kind string, value string, line int, col int, offset int")
 
 
+def display_tokens(sources: DataFrame, mode: str = "mild") -> DataFrame:
+    """(source_id, pos, format, kind, value, line, col): all tokens of a file in the order of their places, whatever section they are of; of components only those of their blocks."""
+    each = tokens(sources, mode, blocks_only=True).withColumnRenamed("format", "section")
+    ordered = each.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("offset", "section", "kind", "value", "line", "col"))).alias("t"))
+    return ordered.select("source_id", F.posexplode("t").alias("pos", "t")).select("source_id", "pos", F.col("t.section").alias("format"), "t.kind", "t.value", "t.line", "t.col")
+
+
+def arrays(sources: DataFrame, mode: str = "mild", ignore_case: bool = False, ignore_pattern: list[str] | None = None, erase: bool = False) -> DataFrame:
+    """(source_id, format, values, lines): tokens() of each source's formats as arrays in the order of their places, made where the source lies."""
+    patterns, dropped = _compiled(ignore_pattern), DROPPED[mode]
+    kind_of = sources.schema["source_id"].dataType.simpleString()
+    names, kinds = ["format", "values", "lines"], [pa.string(), pa.list_(pa.string()), pa.list_(pa.int32())]
+
+    def run(batches):
+        for batch in batches:
+            ids, out = [], [[], [], []]
+            for source_id, fmt, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                by_format: dict[str, list] = {}
+                for name, found in read(content or "", fmt or "txt", dropped, patterns, ignore_case, erase):
+                    by_format.setdefault(name, []).extend(found)
+                for name, found in by_format.items():
+                    if found:
+                        found.sort(key=lambda x: x[3])
+                        ids.append(source_id)
+                        for column, x in zip(out, (name, [x[1] for x in found], [x[2] for x in found]), strict=True):
+                            column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)]], names=["source_id", *names])
+
+    return sources.select("source_id", "format", "content").mapInArrow(run, f"source_id {kind_of}, format string, values array<string>, lines array<int>")
+
+
 def section_arrays(sources: DataFrame, **options) -> DataFrame:
     """(source_id, pool, values, lines) of every section, as clone detection reads them: source_id is ``id:format``."""
-    each = tokens(sources, **options).groupBy("source_id", "format").agg(F.array_sort(F.collect_list(F.struct("offset", "pos", F.struct("value", "line").alias("t")))).alias("x"))
-    return each.select(F.concat_ws(":", "source_id", "format").alias("source_id"), F.col("format").alias("pool"), F.col("x.t.value").alias("values"), F.col("x.t.line").alias("lines"))
+    return arrays(sources, **options).select(F.concat_ws(":", "source_id", "format").alias("source_id"), F.col("format").alias("pool"), "values", "lines")

@@ -9,30 +9,81 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of two, in this order."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
+
+
+def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k neighbours in ``h``: runs of 1, 2, 4 ... are hashed from two of half the length, and k from those that add up to it."""
+    if len(h) < k:
+        return h[:0]
+    out, at, have, size = None, 0, h, 1
+    with np.errstate(over="ignore"):
+        while size <= k:
+            if k & size:
+                own = have[at : at + len(h) - k + 1]
+                out = own if out is None else _mixed(out, own)
+                at += size
+            if 2 * size <= k:
+                have = _mixed(have[:-size], have[size:])
+            size *= 2
+    return out
 
 
 def windows(arrays: DataFrame, k: int) -> DataFrame:
-    """(pool, whash, source_id, pos, n) of every window of k values; each row's array is hashed where it lies, so nothing is shuffled."""
-    hashed = arrays.select("pool", "source_id", F.size("values").alias("n"), F.transform("values", lambda v: F.xxhash64(v)).alias("h"))
-    starts = F.when(F.col("n") >= k, F.sequence(F.lit(0), F.col("n") - k)).otherwise(F.array().cast("array<int>"))
-    each = F.transform(starts, lambda i: F.xxhash64(F.slice("h", i + 1, F.lit(k))))
-    return hashed.select("pool", "source_id", "n", F.posexplode(each).alias("pos", "whash"))
+    """(pool, whash, source_id, pos, n) of every window of k values; each row's array is hashed where it lies, so nothing is shuffled.
+
+    Values are hashed by the engine; their windows are hashed a batch of arrays at a time,
+    in about log2(k) vectorised steps whatever their number. The pool is part of the hash.
+    """
+    hashed = arrays.select("pool", "source_id", F.size("values").alias("n"), F.xxhash64("pool").alias("p"), F.transform("values", lambda v: F.xxhash64(v)).alias("h"))
+    fields = hashed.schema
+    shape = T.StructType([fields["pool"], fields["source_id"], fields["n"], T.StructField("w", T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        for batch in batches:
+            h = batch.column(4)
+            sizes = np.asarray(pc.fill_null(h.value_lengths(), 0), np.int64)
+            flat = h.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            found = window_hashes(flat, k)
+            starts, counts = np.cumsum(sizes) - sizes, np.maximum(sizes - k + 1, 0)
+            ends = np.cumsum(counts)
+            own = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+            pool = np.repeat(batch.column(3).to_numpy().view(np.uint64), counts)
+            with np.errstate(over="ignore"):
+                w = _mixed(found[own], pool).view(np.int64)
+            listed = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(w))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), listed], names=["pool", "source_id", "n", "w"])
+
+    return hashed.mapInArrow(run, shape).select("pool", "source_id", "n", F.posexplode("w").alias("pos", "whash"))
 
 
 def hits(found: DataFrame, hot_keys: bool = False) -> DataFrame:
     """Windows that occurred before: (pool, source_id, pos, first struct<source_id,pos,n>).
 
-    One shuffle and one sort by window. With ``hot_keys`` first occurrences are combined
-    before they are shuffled and joined back, which costs a second shuffle but lets
-    adaptive execution split a window that a large part of the corpus shares.
+    One shuffle and one sort by window. With ``hot_keys`` windows are counted first, with
+    partial sums, and only those that repeat are joined with their first occurrences: the
+    windows are made twice, but adaptive execution can split one that a large part of a
+    corpus shares.
     """
     place = F.struct("source_id", "pos", "n")
     if hot_keys:
-        first = found.groupBy("pool", "whash").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-        return found.join(first, ["pool", "whash"]).where((F.col("source_id") != F.col("first.source_id")) | (F.col("pos") != F.col("first.pos"))).select("pool", "source_id", "pos", "first")
-    by = Window.partitionBy("pool", "whash").orderBy("source_id", "pos")
+        repeated = found.groupBy("whash").agg(F.count("*").alias("c")).where("c > 1").select("whash")
+        live = found.join(repeated, "whash", "left_semi")
+        first = live.groupBy("whash").agg(F.min(place).alias("first"))
+        return live.join(first, "whash").where((F.col("source_id") != F.col("first.source_id")) | (F.col("pos") != F.col("first.pos"))).select("pool", "source_id", "pos", "first")
+    by = Window.partitionBy("whash").orderBy("source_id", "pos")
     return found.select("pool", "source_id", "pos", F.row_number().over(by).alias("rn"), F.first(place).over(by).alias("first")).where("rn > 1").drop("rn")
 
 
@@ -79,7 +130,7 @@ def dedup(found: DataFrame) -> DataFrame:
 
 def secondary_candidates(found: DataFrame, k: int) -> DataFrame:
     """Runs (pool, a_id, a_pos, b_id, b_pos, windows) of the first and second occurrences of repeated windows along a diagonal."""
-    by = Window.partitionBy("pool", "whash").orderBy("source_id", "pos")
+    by = Window.partitionBy("whash").orderBy("source_id", "pos")
     pairs = (
         found.select("pool", "source_id", "pos", F.row_number().over(by).alias("rn"), F.lead(F.struct("source_id", "pos")).over(by).alias("x"))
         .where("rn = 1 and x is not null")
@@ -148,6 +199,17 @@ def with_blame(found: DataFrame, blame: DataFrame) -> DataFrame:
     return out
 
 
+def aligned_authors(found: DataFrame, blame: DataFrame) -> DataFrame:
+    """A row for each pair of lines of a clone's sides that stand side by side: (pool, a_id, a_line, b_id, b_line, a_author, b_author, same), from ``blame`` (source_id, line, author)."""
+    span = F.least(F.col("a_end") - F.col("a_start"), F.col("b_end") - F.col("b_start"))
+    out = found.select("pool", "a_id", "a_start", "b_id", "b_start", F.explode(F.sequence(F.lit(0), span)).alias("i"))
+    out = out.select("pool", "a_id", (F.col("a_start") + F.col("i")).alias("a_line"), "b_id", (F.col("b_start") + F.col("i")).alias("b_line"))
+    for side in "ab":
+        who = blame.select(F.col("source_id").alias(f"{side}_id"), F.col("line").cast("int").alias(f"{side}_line"), F.col("author").alias(f"{side}_author"))
+        out = out.join(who, [f"{side}_id", f"{side}_line"], "left")
+    return out.withColumn("same", F.col("a_author") == F.col("b_author")).select("pool", "a_id", "a_line", "b_id", "b_line", "a_author", "b_author", "same")
+
+
 def with_attribute(found: DataFrame, sources: DataFrame, name: str) -> DataFrame:
     """Clones with a_<name> and b_<name> from ``sources``."""
     out = found

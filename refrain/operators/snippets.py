@@ -14,9 +14,12 @@ def write_index(arrays: DataFrame, k: int, path: str) -> None:
     first.repartitionByRange("pool", "whash").sortWithinPartitions("pool", "whash").write.mode("overwrite").parquet(path)
 
 
-def index_of(arrays: DataFrame, k: int) -> DataFrame:
-    """(whash, first): the first occurrence of each window."""
-    return detect.windows(arrays, k).groupBy("pool", "whash").agg(F.min(F.struct("source_id", "pos", "n")).alias("first"))
+def index_of(arrays: DataFrame, k: int, probe: DataFrame | None = None) -> DataFrame:
+    """(pool, whash, first): the first occurrence of each window; with ``probe`` (arrays of snippets) only of windows that it has, so that no others are shuffled."""
+    found = detect.windows(arrays, k)
+    if probe is not None:
+        found = found.join(detect.windows(probe, k).select("pool", "whash").distinct(), ["pool", "whash"], "left_semi")
+    return found.groupBy("pool", "whash").agg(F.min(F.struct("source_id", "pos", "n")).alias("first"))
 
 
 def check(snippets: DataFrame, index: DataFrame, k: int) -> DataFrame:
@@ -33,3 +36,14 @@ def coverage(runs: DataFrame, snippets: DataFrame) -> DataFrame:
     whole = snippets.select(F.col("source_id").alias("snippet_id"), F.size("values").cast("long").alias("tokens"))
     covered = F.coalesce("covered", F.lit(0))
     return whole.join(each, "snippet_id", "left").select("snippet_id", "tokens", covered.alias("covered"), F.when(F.col("tokens") > 0, covered * 100.0 / F.col("tokens")).otherwise(F.lit(0.0)).alias("percentage"))
+
+
+def line_coverage(runs: DataFrame, snippets: DataFrame) -> DataFrame:
+    """(snippet_id, lines, covered, percentage): distinct lines of each snippet that any run touches; lines is the last token's line."""
+    own = snippets.select(F.col("source_id").alias("snippet_id"), "lines")
+    last = F.get("lines", (F.col("pos") + F.col("tokens") - 1).cast("int"))
+    each = runs.join(own, "snippet_id").select("snippet_id", F.explode(F.sequence(F.get("lines", F.col("pos").cast("int")), last)).alias("line"))
+    made = each.groupBy("snippet_id").agg(F.count_distinct("line").alias("covered"))
+    whole = own.select("snippet_id", F.coalesce(F.array_max("lines"), F.lit(0)).cast("long").alias("lines"))
+    covered = F.coalesce("covered", F.lit(0))
+    return whole.join(made, "snippet_id", "left").select("snippet_id", "lines", covered.alias("covered"), F.when(F.col("lines") > 0, covered * 100.0 / F.col("lines")).otherwise(F.lit(0.0)).alias("percentage"))

@@ -24,11 +24,12 @@ def percentage_rounded(part: Column, whole: Column) -> Column:
 
 
 def statistics(sizes: DataFrame, lined: DataFrame) -> DataFrame:
-    """Per pool and in total (pool ``*``): sources, lines, tokens, clones, duplicated_lines, duplicated_tokens, percentage, percentage_tokens."""
+    """Per pool and in total (pool ``*``): sources, lines, tokens, clones, duplicated_lines, duplicated_tokens, percentage, percentage_tokens; of clones with is_new also new_clones and new_duplicated_lines."""
     of = sizes.groupBy("pool").agg(F.count("*").alias("sources"), F.sum("lines").alias("lines"), F.sum("tokens").alias("tokens"))
-    made = lined.groupBy("pool").agg(F.count("*").alias("clones"), F.sum(F.col("a_end") - F.col("a_start")).cast("long").alias("duplicated_lines"), F.sum("tokens").cast("long").alias("duplicated_tokens"))
+    new = [F.count_if("is_new").alias("new_clones"), F.sum(F.when(F.col("is_new"), F.col("a_end") - F.col("a_start")).otherwise(0)).cast("long").alias("new_duplicated_lines")] if "is_new" in lined.columns else []
+    made = lined.groupBy("pool").agg(F.count("*").alias("clones"), F.sum(F.col("a_end") - F.col("a_start")).cast("long").alias("duplicated_lines"), F.sum("tokens").cast("long").alias("duplicated_tokens"), *new)
     per = of.join(made, "pool", "left").fillna(0)
-    names = ["sources", "lines", "tokens", "clones", "duplicated_lines", "duplicated_tokens"]
+    names = ["sources", "lines", "tokens", "clones", "duplicated_lines", "duplicated_tokens", *(["new_clones", "new_duplicated_lines"] if new else [])]
     total = per.rollup("pool").agg(*[F.sum(n).cast("long").alias(n) for n in names], F.grouping("pool").alias("_all"))
     return total.select(F.when(F.col("_all") == 1, "*").otherwise(F.col("pool")).alias("pool"), *names, percentage(F.col("duplicated_lines"), F.col("lines")).alias("percentage"), percentage(F.col("duplicated_tokens"), F.col("tokens")).alias("percentage_tokens"))
 

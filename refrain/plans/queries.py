@@ -8,25 +8,14 @@ from pyspark.sql import functions as F
 from refrain.functions import scalars
 from refrain.operators import baseline, detect, snippets, stats
 from refrain.operators.tokens import STRICT, TOKEN, kind, kept_text, token_arrays, tokens
-from refrain.plans import registry
+from refrain.plans import registry, text_queries  # noqa: F401
+from refrain.plans.registry import query
+from refrain.reports import rows
+from refrain.sources.tables import table
 
 K, SNIPPET_K, EVENT_K = 50, 20, 4
 
 
-def query(sql: str | None = None):
-    def add(f):
-        registry.QUERIES[f.__name__] = f
-        if sql is not None:
-            registry.ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as sources: the language is the pool, the source is the folder."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.col("lang").alias("pool"), F.col("source").alias("folder"), F.col("text").alias("content"))
@@ -289,6 +278,21 @@ def source_stats(spark, sf_dir):
     return stats.source_duplication(lined(spark, sf_dir))
 
 
+LEVELS = """e1 AS (SELECT pool, a_id AS source_id, a_end - a_start AS n, tokens, 1 AS one FROM x UNION ALL SELECT pool, b_id, b_end - b_start, tokens, 0 FROM x),
+e2 AS (SELECT pool, source_id, count(*) AS c, sum(n) AS n, sum(tokens) AS t, sum(one) AS c1, sum(n * one) AS n1, sum(tokens * one) AS t1 FROM e1 GROUP BY ALL),
+e3 AS (SELECT pool, source_id, coalesce(list_max(ln), 0) AS lines, len(v) AS tokens, coalesce(c, 0) AS c, coalesce(n, 0) AS n, coalesce(t, 0) AS t, coalesce(c1, 0) AS c1, coalesce(n1, 0) AS n1, coalesce(t1, 0) AS t1 FROM arr LEFT JOIN e2 USING (pool, source_id)),
+e4 AS (SELECT 'source' AS level, pool, source_id, 1 AS sources, lines, tokens, c, n, t FROM e3 UNION ALL SELECT 'pool', pool, NULL, count(*), sum(lines), sum(tokens), sum(c1), sum(n1), sum(t1) FROM e3 GROUP BY pool
+    UNION ALL SELECT 'total', NULL, NULL, count(*), sum(lines), sum(tokens), sum(c1), sum(n1), sum(t1) FROM e3)"""
+ROUNDED = "CASE WHEN {w} > 0 THEN floor({p} * 10000.0::DOUBLE / {w} + 0.5) / 100 ELSE 0 END"
+
+
+@query(cte(src(), arr(), win(), clo(), LIN, LEVELS) + f"SELECT level, pool, source_id, sources::BIGINT AS sources, lines::BIGINT AS lines, tokens::BIGINT AS tokens, c::BIGINT AS clones, n::BIGINT AS duplicated_lines, t::BIGINT AS duplicated_tokens, {ROUNDED.format(p='n', w='lines')} AS percentage, {ROUNDED.format(p='t', w='tokens')} AS percentage_tokens FROM e4")
+def stats_levels(spark, sf_dir):
+    """Statistics of all, each pool and each source; a clone counts on both sides for its sources."""
+    own = arrays(spark, sf_dir)
+    return stats.statistics_levels(stats.source_sizes(own), detect.with_lines(detect.clones(own, K), own))
+
+
 WORDS = "[" + ", ".join(f"'{w}'" for w in stats.DECISIONS) + "]"
 
 
@@ -410,9 +414,16 @@ def blame_range(spark, sf_dir):
     return plain(each.join(blame(spark, sf_dir).withColumnRenamed("source_id", "b_id"), ["b_id", "line"]).groupBy("b_id", "b_start", "b_end", "author").agg(F.count("*").alias("lines")))
 
 
+@query(cte(src(), arr(), win(), clo(), LIN, BLAME, "z AS (SELECT pool, a_id, b_id, unnest(range(0, least(a_end - a_start, b_end - b_start) + 1)) AS i, a_start, b_start FROM x)") + "SELECT z.pool, a_id, a_start + i AS a_line, b_id, b_start + i AS b_line, p.author AS a_author, q.author AS b_author, p.author = q.author AS same FROM z LEFT JOIN bl p ON p.source_id = a_id AND p.line = a_start + i LEFT JOIN bl q ON q.source_id = b_id AND q.line = b_start + i")
+def blame_side_by_side(spark, sf_dir):
+    """Who wrote the lines of the two sides that stand side by side."""
+    out = detect.aligned_authors(lined(spark, sf_dir), blame(spark, sf_dir))
+    return out.withColumns({c: F.col(c).cast("long") for c in ("a_line", "b_line")})
+
+
 # Baselines.
 
-FP = "fp AS (SELECT *, md5(least(ta, tb) || '|' || greatest(ta, tb)) AS fingerprint FROM (SELECT x.*, array_to_string(a_v[a_pos + 1:a_pos + tokens], ' ') AS ta, array_to_string(b_v[b_pos + 1:b_pos + tokens], ' ') AS tb FROM x))"
+FP = "fp AS (SELECT *, md5(least(ta, tb) || chr(0) || greatest(ta, tb)) AS fingerprint FROM (SELECT x.*, array_to_string(a_v[a_pos + 1:a_pos + tokens], ' ') AS ta, array_to_string(b_v[b_pos + 1:b_pos + tokens], ' ') AS tb FROM x))"
 OLD = "b0 AS (SELECT fingerprint, count(*) AS n FROM fp WHERE b_id % 2 = 0 GROUP BY fingerprint)"
 
 
@@ -465,8 +476,9 @@ def snippet_arrays(spark, sf_dir) -> DataFrame:
 
 
 def snippet_runs(spark, sf_dir) -> DataFrame:
-    index = snippets.index_of(token_arrays(documents(spark, sf_dir).withColumn("pool", F.lit("all"))), SNIPPET_K)
-    out = snippets.check(snippet_arrays(spark, sf_dir), index, SNIPPET_K)
+    own = snippet_arrays(spark, sf_dir)
+    index = snippets.index_of(token_arrays(documents(spark, sf_dir).withColumn("pool", F.lit("all"))), SNIPPET_K, own)
+    out = snippets.check(own, index, SNIPPET_K)
     return out.withColumns({c: F.col(c).cast("long") for c in ("pos", "source_pos", "tokens")})
 
 
@@ -481,10 +493,20 @@ def snippet_line_coverage(spark, sf_dir):
     return snippets.coverage(snippet_runs(spark, sf_dir), snippet_arrays(spark, sf_dir))
 
 
-@query(cte("src AS (SELECT conv_id * 1000 + turn AS source_id, role AS pool, '' AS folder, coalesce(text, '') AS content FROM conversations)", arr(), win(SNIPPET_K), clo(SNIPPET_K)) + "SELECT pool, a_id, a_pos, b_id, b_pos, tokens FROM c")
+BY_LINE = f"""bn AS (SELECT item_id AS snippet_id, flatten([[i FOR y IN range(0, len(regexp_extract_all(l[i], '{TOKEN}')))] FOR i IN range(1, len(l) + 1)]) AS ln FROM (SELECT item_id, string_split(text, chr(10)) AS l FROM benchmark)),
+bt AS (SELECT DISTINCT snippet_id, unnest(range(ln[pos + 1], ln[pos + tokens] + 1)) AS line FROM br JOIN bn USING (snippet_id)), bc AS (SELECT snippet_id, count(*) AS n FROM bt GROUP BY snippet_id)"""
+
+
+@query(SNIPPETS + f", {BY_LINE} SELECT snippet_id, lines, coalesce(n, 0) AS covered, CASE WHEN lines > 0 THEN coalesce(n, 0) * 100.0::DOUBLE / lines ELSE 0 END AS percentage FROM (SELECT snippet_id, coalesce(list_max(ln), 0)::BIGINT AS lines FROM bn) LEFT JOIN bc USING (snippet_id)")
+def snippet_lines(spark, sf_dir):
+    """Distinct lines of each benchmark item that recur in documents."""
+    return snippets.line_coverage(snippet_runs(spark, sf_dir), snippet_arrays(spark, sf_dir))
+
+
+@query(cte("src AS (SELECT lpad(conv_id::VARCHAR, 20, '0') || ':' || lpad(turn::VARCHAR, 20, '0') AS source_id, role AS pool, '' AS folder, coalesce(text, '') AS content FROM conversations)", arr(), win(SNIPPET_K), clo(SNIPPET_K)) + "SELECT pool, a_id, a_pos, b_id, b_pos, tokens FROM c")
 def conversation_clones(spark, sf_dir):
     """Repeats among the turns of one role."""
-    own = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("source_id"), F.col("role").alias("pool"), F.col("text").alias("content"))
+    own = table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.lpad(F.col("conv_id").cast("string"), 20, "0"), F.lpad(F.col("turn").cast("string"), 20, "0")).alias("source_id"), F.col("role").alias("pool"), F.col("text").alias("content"))
     return plain(detect.clones(token_arrays(own), SNIPPET_K))
 
 
@@ -534,9 +556,61 @@ def generic_tokens(spark, sf_dir):
     return code.tokens(own).groupBy("format", "kind").agg(F.count("*").alias("n"))
 
 
-@query()
+def _place(x: str) -> str:
+    return f"""'{{"physicalLocation":{{"artifactLocation":{{"uri":"' || {x}_id || '"}},"region":{{"startLine":' || {x}_start || ',"endLine":' || {x}_end || '}}}}}}'"""
+
+
+SARIF = f"""'{{"ruleId":"repeated-passage","level":"' || CASE WHEN tokens >= 200 THEN 'error' ELSE 'warning' END || '","message":{{"text":"Repeats lines ' || a_start || '-' || a_end || ' of ' || a_id || ' (' || tokens || ' tokens)"}},"locations":[' || {_place('b')} || '],"relatedLocations":[' || {_place('a')} || ']}}'"""
+
+
+@query(LINED + f"SELECT pool, b_id AS source_id, {SARIF} AS result FROM x WHERE a_end - a_start >= 3")
 def sarif_rows(spark, sf_dir):
     """Clones as SARIF results, one JSON object a row."""
-    from refrain.reports import rows
-
     return rows.sarif_results(lined(spark, sf_dir).where(detect.min_lines(3)))
+
+
+@query(LINED + "SELECT a_id || ':' || a_start || '-' || a_end || ' ~ ' || b_id || ':' || b_start || '-' || b_end || ' (' || tokens || ')' AS value FROM x")
+def compact_rows(spark, sf_dir):
+    """A line of the compact report for each clone."""
+    return rows.compact_lines(lined(spark, sf_dir))
+
+
+@query(LINED + "SELECT a_id || ':' || a_start || ':1: warning: ' || (a_end - a_start) || ' lines (' || a_start || '-' || a_end || ') repeated in ' || b_id || ' (' || b_start || '-' || b_end || ')' AS value FROM x")
+def warning_rows(spark, sf_dir):
+    """A line that an editor reads as a warning for each clone."""
+    return rows.warning_lines(lined(spark, sf_dir))
+
+
+@query(LINED + """SELECT '<duplication lines="' || (a_end - a_start) || '" tokens="' || tokens || '"><file path="' || a_id || '" line="' || a_start || '"></file><file path="' || b_id || '" line="' || b_start || '"></file></duplication>' AS value FROM x""")
+def xml_rows(spark, sf_dir):
+    return rows.xml_duplications(lined(spark, sf_dir))
+
+
+@query(LINED + """SELECT '{"format":"' || pool || '","lines":' || (a_end - a_start + 1) || ',"tokens":' || tokens || ',"firstFile":{"name":"' || a_id || '","start":' || a_start || ',"end":' || a_end || '},"secondFile":{"name":"' || b_id || '","start":' || b_start || ',"end":' || b_end || '}}' AS value FROM x""")
+def json_rows(spark, sf_dir):
+    return rows.json_duplicates(lined(spark, sf_dir))
+
+
+@query(STATS + """SELECT CASE WHEN pool = '*' THEN 'Total:' ELSE pool END AS "Format", sources AS "Files analyzed", lines AS "Total lines", tokens AS "Total tokens", clones AS "Clones found", duplicated_lines AS "Duplicated lines", duplicated_tokens AS "Duplicated tokens" FROM st""")
+def csv_report(spark, sf_dir):
+    return rows.csv_rows(statistics(spark, sf_dir))
+
+
+@query(LINED + "SELECT pool, a_id, a_pos, b_id, b_pos, tokens, [y FOR y IN [CASE WHEN tokens < 60 THEN 'short' END, CASE WHEN a_folder = b_folder THEN 'local' END] IF y IS NOT NULL]::VARCHAR AS messages FROM x")
+def validator_messages(spark, sf_dir):
+    """What a chain of validators says of each clone."""
+    found = detect.with_attribute(detect.clones(arrays(spark, sf_dir), K), documents(spark, sf_dir), "folder")
+    told = detect.validated(found, {"short": F.col("tokens") >= 60, "local": F.col("a_folder") != F.col("b_folder")})
+    return plain(told).select("pool", "a_id", "a_pos", "b_id", "b_pos", "tokens", F.concat(F.lit("["), F.array_join("messages", ", "), F.lit("]")).alias("messages"))
+
+
+@query(cte(src(), arr(), win(SNIPPET_K)) + """SELECT pool, count(*) AS windows, count(*) FILTER (o IS NOT NULL) AS own, sum(coalesce(o.s, b.s))::BIGINT AS places FROM
+(SELECT pool, wh, min({'s': source_id, 'p': pos}) AS b, min({'s': source_id, 'p': pos}) FILTER (source_id % 2 = 1) AS o FROM w GROUP BY pool, wh) GROUP BY pool""")
+def index_overlay(spark, sf_dir):
+    """An index of odd documents that is read first, over one of all documents."""
+    from refrain.engine import overlay
+
+    own = arrays(spark, sf_dir)
+    over = snippets.index_of(own.where("source_id % 2 = 1"), SNIPPET_K).withColumn("own", F.lit(1))
+    both = overlay(over, snippets.index_of(own, SNIPPET_K).withColumn("own", F.lit(0)))
+    return both.groupBy("pool").agg(F.count("*").alias("windows"), F.sum("own").alias("own"), F.sum("first.source_id").alias("places"))

@@ -41,6 +41,12 @@ def sarif_results(lined: DataFrame, cutoff: int = 200) -> DataFrame:
     return lined.select("pool", F.col("b_id").alias("source_id"), F.to_json(whole).alias("result"))
 
 
+def files_of(lined: DataFrame) -> DataFrame:
+    """The distinct files of the clones' sides, in order."""
+    each = lined.select(F.explode(F.array(F.col("a_id").cast("string"), F.col("b_id").cast("string"))).alias("id"))
+    return each.select(scalars.clean_id(F.col("id")).alias("value")).distinct().orderBy("value")
+
+
 def xml_duplications(lined: DataFrame) -> DataFrame:
     """``<duplication>`` elements; lines are the span without its last line."""
     code = lambda x: F.coalesce(F.concat(F.lit("<codefragment>"), scalars.cdata(_given(lined, f"{x}_fragment")), F.lit("</codefragment>")), F.lit(""))
@@ -60,8 +66,8 @@ def markdown_rows(stats: DataFrame) -> DataFrame:
 
 
 def metric_lines(stats: DataFrame) -> DataFrame:
-    names = ["sources", "lines", "tokens", "clones", "duplicated_lines", "duplicated_tokens", "percentage", "percentage_tokens"]
-    each = stats.select("pool", *[F.col(n).cast("double").alias(n) for n in names]).unpivot("pool", names, "metric", "v")
+    names = ["sources", "lines", "tokens", "clones", "duplicated_lines", "duplicated_tokens", "percentage", "percentage_tokens", "new_clones", "new_duplicated_lines"]
+    each = stats.select("pool", *[(F.col(n) if n in stats.columns else F.lit(0)).cast("double").alias(n) for n in names]).unpivot("pool", names, "metric", "v")
     label = F.when(F.col("pool") == "*", F.lit("")).otherwise(F.concat(F.lit('{format="'), scalars.label_escape(F.col("pool")), F.lit('"}')))
     return each.select(F.concat(F.lit("duplication_"), "metric", label, F.lit(" "), F.col("v").cast("string")).alias("value"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import html
 import json
 import os
@@ -28,6 +29,11 @@ def _between(parts: Iterator[str], mark: str) -> Iterator[str]:
         yield mark + x if i else x
 
 
+def detected() -> str:
+    """When a report was made, in UTC."""
+    return datetime.datetime.now(datetime.UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+
+
 def sentence(stats: DataFrame) -> str:
     t = stats.where("pool = '*'").first()
     return f"{t.clones} clones, {t.duplicated_lines} repeated lines of {t.lines} ({t.percentage:.2f}%) in {t.sources} sources" if t else "0 clones"
@@ -62,7 +68,7 @@ def pieces(kind: str, lined: DataFrame, stats: DataFrame, limit: int | None = No
     """The text of a report of one kind, a clone at a time: json, xml, csv, markdown, html, sarif, openmetrics, badge, ai, xcode, console, console-full, silent. ``cutoff``: SARIF results of so many tokens are errors."""
     clones = _ordered(lined, limit)
     if kind == "json":
-        head = json.dumps({"statistics": [r.asDict() for r in stats.orderBy("pool").collect()]}, indent=1)
+        head = json.dumps({"detectionDate": detected(), "statistics": [r.asDict() for r in stats.orderBy("pool").collect()]}, indent=1)
         yield head[: -len("\n}")] + ',\n "duplicates": ['
         yield from _between((f"\n{textwrap.indent(json.dumps(json.loads(x), indent=1), '  ')}" for x in _lines(rows.json_duplicates(clones).select("value"))), ",")
         yield "\n ]\n}"
@@ -81,6 +87,8 @@ def pieces(kind: str, lined: DataFrame, stats: DataFrame, limit: int | None = No
         tool = {"driver": {"name": "refrain", "rules": [{"id": "repeated-passage"}]}}
         yield f'{{"version": "2.1.0", "runs": [{{"tool": {json.dumps(tool)}, "results": ['
         yield from _between((json.dumps(json.loads(x)) for x in _lines(rows.sarif_results(clones, cutoff or 2**31 - 1).select("result"))), ", ")
+        yield '], "artifacts": ['
+        yield from _between((json.dumps({"location": {"uri": x}}) for x in _lines(rows.files_of(lined))), ", ")
         yield "]}]}"
     elif kind == "openmetrics":
         out, seen = [], ""
@@ -93,10 +101,12 @@ def pieces(kind: str, lined: DataFrame, stats: DataFrame, limit: int | None = No
     elif kind == "badge":
         yield badges(stats)["share"]
     elif kind == "html":
-        groups = lined.groupBy("pool").count().orderBy("pool").collect()
-        yield f"<!doctype html><title>Repeats</title><p>{html.escape(sentence(stats))}</p><ul>{''.join(f'<li>{html.escape(str(g.pool))}: {g[1]}</li>' for g in groups)}</ul><ol>"
-        yield from (f"<li>{html.escape(x)}</li>" for x in _lines(rows.compact_lines(clones)))
-        yield "</ol>"
+        groups = lined.groupBy("pool").count().orderBy("pool").collect()  # a row a format
+        yield f"<!doctype html><title>Repeats</title><p>{html.escape(sentence(stats))}</p>"
+        for g in groups:
+            yield f"<h2>{html.escape(str(g.pool))}: {g[1]}</h2><ol>"
+            yield from (f"<li>{html.escape(x)}</li>" for x in _lines(rows.compact_lines(_ordered(lined.where(F.col("pool").eqNullSafe(g.pool)), limit))))
+            yield "</ol>"
     elif kind == "silent":
         yield sentence(stats)
     else:
@@ -108,12 +118,20 @@ def pieces(kind: str, lined: DataFrame, stats: DataFrame, limit: int | None = No
         for text in texts:
             yield "\n" + text if shown else text
             shown += 1
-        last = [sentence(stats)] if kind != "ai" and kind != "xcode" else []
+        last = [*(_table(stats) if kind == "console" else []), sentence(stats)] if kind != "ai" and kind != "xcode" else []
         if limit is not None and shown == limit and (total := lined.count()) > shown:
             last.insert(0, f"{shown} of {total} clones shown; a file report has all")
         yield "\n".join([*([""] if shown and last else []), *last])
 
 
+def _table(stats: DataFrame) -> list[str]:
+    """Statistics in aligned columns, a line a format, the total last."""
+    table = rows.csv_rows(stats)
+    body = sorted(([str(x) for x in r] for r in table.collect()), key=lambda r: (r[0] == "Total:", r[0]))
+    wide = [max(len(r[i]) for r in [table.columns, *body]) for i in range(len(table.columns))]
+    return ["  ".join(x.ljust(w) if not i else x.rjust(w) for i, (x, w) in enumerate(zip(r, wide, strict=True))) for r in [table.columns, *body]]
+
+
 def _snippets(clones: DataFrame) -> Iterator[str]:
     for r in clones.toLocalIterator():
         r = r.asDict()

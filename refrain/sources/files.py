@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,21 +15,42 @@ from refrain.sources.options import Options, parse_size
 from refrain.sources.paths import gitignore_rules, glob_regex, ignored
 
 
-def gitignore(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
-    """Rules of the ignore file at a root, wherever Spark can read it; none without one."""
+def gitignore(spark: SparkSession, root: str, excludes: str | None = None) -> list[tuple[str, bool, bool]]:
+    """Rules of the ignore files of a tree, wherever Spark can read it; a later rule decides over an earlier one.
+
+    First those of ``excludes`` (a file of the user's own), then the repository's own
+    exclude file, then the ignore files of the root and of the folders below it, each for
+    what lies under its folder.
+    """
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.gitignore")
-    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not store.exists(path):
-        return []
-    stream = store.open(path)
-    try:
-        return gitignore_rules(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
-
-
-def walk(spark: SparkSession, root: str, options: Options, rules: list[tuple[str, bool]] = ()) -> DataFrame:
+    at = lambda path: jvm.org.apache.hadoop.fs.Path(path)
+    base = root.rstrip("/")
+    store = at(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def text(path) -> str:
+        stream = store.open(path)
+        try:
+            return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    rules: list[tuple[str, bool, bool]] = []
+    for path in filter(None, (excludes, f"{base}/.git/info/exclude")):
+        if store.exists(at(path)):
+            rules += gitignore_rules(text(at(path)))
+    found, whole = [], store.makeQualified(at(base)).toUri().getPath().rstrip("/")
+    listed = store.listFiles(at(base), True) if store.exists(at(base)) and store.getFileStatus(at(base)).isDirectory() else None
+    while listed is not None and listed.hasNext():
+        path = listed.next().getPath()
+        folder = path.getParent().toUri().getPath().removeprefix(whole).strip("/")
+        if path.getName() == ".gitignore" and ".git" not in folder.split("/"):
+            found.append((folder, path))
+    for folder, path in sorted(found, key=lambda x: (x[0].count("/") + bool(x[0]), x[0])):  # parents first
+        rules += gitignore_rules(text(path), folder)
+    return rules
+
+
+def walk(spark: SparkSession, root: str, options: Options, rules: list[tuple[str, bool, bool]] = ()) -> DataFrame:
     """(source_id, root, format, content, bytes) of one root's files. Sizes and paths are tested before contents are read.
 
     Invalid UTF-8 drops a file, or is replaced sign by sign if options say lossy.
@@ -35,13 +58,15 @@ def walk(spark: SparkSession, root: str, options: Options, rules: list[tuple[str
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     found = read.load(root).where(F.col("length") <= parse_size(options.max_size))
     path = F.regexp_replace("path", r"^file:/+", "/")
-    found = found.withColumn("source_id", path if options.absolute else relative_to(path, root))
+    if not options.follow_links:
+        found = found.where(~path.isin(links(root)))
+    found = found.withColumn("_inner", relative_to(path, root)).withColumn("source_id", path if options.absolute else F.col("_inner"))
     if options.pattern:
         found = found.where(F.col("source_id").rlike(glob_regex(options.pattern)))
     for glob in options.ignore:
         found = found.where(~F.col("source_id").rlike(glob_regex(glob)))
     if rules:
-        found = found.where(~ignored(F.col("source_id"), list(rules)))
+        found = found.where(~ignored(F.col("_inner"), list(rules)))
     decode = F.make_valid_utf8 if options.lossy else F.try_validate_utf8
     found = found.withColumn("content", decode(F.col("content").cast("string"))).where("content is not null")
     found = found.withColumn("format", formats.detect(F.col("source_id"), F.col("content"), options.formats_exts, options.formats_names)).where("format is not null")
@@ -54,8 +79,14 @@ def walk(spark: SparkSession, root: str, options: Options, rules: list[tuple[str
     return found.select("source_id", F.lit(root).alias("root"), "format", "content", F.col("length").alias("bytes"))
 
 
-def scan(spark: SparkSession, options: Options, rules: list[tuple[str, bool]] = ()) -> DataFrame:
-    own = lambda root: [*(gitignore(spark, root) if options.gitignore and not options.absolute else ()), *rules]
+def links(root: str) -> list[str]:
+    """Symbolic links among the files of a local tree; stores without links have none."""
+    local = re.sub("^file:/+", "/", root)
+    return [path for folder, _, names in os.walk(local) for name in names if os.path.islink(path := os.path.join(folder, name))] if os.path.isdir(local) else []
+
+
+def scan(spark: SparkSession, options: Options, rules: list[tuple[str, bool, bool]] = ()) -> DataFrame:
+    own = lambda root: [*(gitignore(spark, root, options.excludes_file) if options.gitignore else ()), *rules]
     return reduce(DataFrame.unionByName, [walk(spark, p, options, own(p)) for p in options.paths])
 
 

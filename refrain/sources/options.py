@@ -69,10 +69,13 @@ class Options:
     threshold: float | None = None
     exit_code: int = 0
     gitignore: bool = True
+    excludes_file: str | None = None
+    follow_links: bool = False
     lossy: bool = False
     absolute: bool = False
     store: str | None = None
     store_path: str | None = None
+    store_namespace: str = ""
     baseline: str | None = None
     sarif_error_tokens: int | None = None
     summary: bool = False

@@ -28,8 +28,8 @@ def glob_regex(glob: str, anywhere: bool = True) -> str:
     return ("^(?:.*/)?" if anywhere and not glob.startswith("/") else "^") + out.removeprefix("/") + "$"
 
 
-def gitignore_rules(text: str, folder: str = "") -> list[tuple[str, bool]]:
-    """(pattern, whether it ignores) of an ignore file's lines, in order; the last match decides."""
+def gitignore_rules(text: str, folder: str = "") -> list[tuple[str, bool, bool]]:
+    """(pattern, whether it ignores, whether only folders) of an ignore file's lines, in order; patterns match whole paths of files or folders."""
     rules = []
     for line in text.splitlines():
         line = line.rstrip()
@@ -40,15 +40,21 @@ def gitignore_rules(text: str, folder: str = "") -> list[tuple[str, bool]]:
         only_folder, anchored = line.endswith("/"), "/" in line.rstrip("/")
         body = glob_regex(line.strip("/"), not anchored)[1:-1]
         prefix = re.escape(folder.strip("/")) + "/" if folder.strip("/") else ""
-        rules.append((f"^{prefix}{body}" + ("/.*$" if only_folder else "(?:/.*)?$"), ignores))
+        rules.append((f"^{prefix}{body}$", ignores, only_folder))
     return rules
 
 
-def ignored(path, rules: list[tuple[str, bool]]):
-    """A condition on a path column."""
+def ignored(path, rules: list[tuple[str, bool, bool]]):
+    """A condition on a path column: of the rules that match the path, or a folder above it, the last one ignores it. What lies in an ignored folder can't be told apart again."""
     from pyspark.sql import functions as F
 
-    out = F.lit(False)
-    for pattern, ignores in rules:
-        out = F.when(path.rlike(pattern), F.lit(ignores)).otherwise(out)
-    return out
+    parts = F.split(path, "/")
+    steps = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, F.lit(1), n), "/").alias("path"), (n < F.size(parts)).alias("folder")))
+
+    def judged(step):
+        out = F.lit(False)
+        for pattern, ignores, only_folder in rules:
+            out = F.when(step["path"].rlike(pattern) & (step["folder"] | F.lit(not only_folder)), F.lit(ignores)).otherwise(out)
+        return out
+
+    return F.exists(steps, judged) if rules else F.lit(False)

@@ -26,8 +26,10 @@ def test_walk(spark, tmp_path):
     (tmp_path / "b/bad.js").write_bytes(b"\xff\xfe\n\n\n\n")
     got = files.scan(spark, options.Options(paths=[str(tmp_path)], min_lines=2, max_size="1kb", ignore=["skip.*"]))
     assert {(r.source_id, r.format) for r in got.collect()} == {("a/x.py", "python"), ("a/run", "python"), ("b/z.js", "javascript")}
-    got = files.scan(spark, options.Options(paths=[str(tmp_path)], min_lines=2), paths.gitignore_rules("b/\n!b/z.js\n*.txt"))
+    got = files.scan(spark, options.Options(paths=[str(tmp_path)], min_lines=2), paths.gitignore_rules("b/*\n!b/z.js\n*.txt"))
     assert {r.source_id for r in got.collect()} == {"a/x.py", "a/run", "b/z.js"}
+    got = files.scan(spark, options.Options(paths=[str(tmp_path)], min_lines=2), paths.gitignore_rules("b/\n!b/z.js"))
+    assert {r.source_id for r in got.collect()} == {"a/x.py", "a/run"}  # nothing in an ignored folder comes back
 
 
 def test_globs():
@@ -145,3 +147,40 @@ def test_streams(spark, tmp_path):
     q = probes.new_windows(timed, 4).writeStream.format("memory").queryName("fresh").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("fresh").count() == 13
+
+
+def test_ignore_files_of_a_tree(spark, tmp_path):
+    for name, text in ((".gitignore", "*.log\n/out/\n"), ("sub/.gitignore", "!keep.log\nlocal.py\n"), (".git/info/exclude", "secret.py\n"), ("mine", "own.py\n"), ("a.py", "x"), ("b.log", "x"), ("out/c.py", "x"), ("sub/keep.log", "x"), ("sub/local.py", "x"), ("local.py", "x"), ("sub/secret.py", "x"), ("own.py", "x")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    (tmp_path / "link.py").symlink_to(tmp_path / "a.py")
+    seen = lambda **o: {r.source_id for r in files.scan(spark, options.Options(paths=[str(tmp_path)], min_lines=0, formats_exts={"log": "txt"}, **o)).collect()}
+    assert seen(excludes_file=str(tmp_path / "mine")) == {"a.py", "sub/keep.log", "local.py"}
+    assert seen(follow_links=True) == {"a.py", "sub/keep.log", "local.py", "own.py", "link.py"}
+    assert "b.log" in seen(gitignore=False)
+    assert seen(absolute=True) == {f"{tmp_path}/{x}" for x in ("a.py", "sub/keep.log", "local.py", "own.py")}
+
+
+def test_arrays_are_tokens_in_order(spark):
+    texts = [("a", "markdown", "# é title\n```python\nx = 'é'  # note\n```\nmore é\n```python\ny = 2\n```\n"), ("b", "python", "a = 1\nq:ignore-start\nb = 2\nq:ignore-end\nimport os\nc = '😀'; d = 3\n"), ("c", "python", ""), ("d", "python", None)]
+    own = spark.createDataFrame(texts, "source_id string, format string, content string")
+    for chosen in ({}, {"mode": "strict"}, {"mode": "weak", "ignore_case": True, "ignore_pattern": ["import.*", "("]}):
+        want: dict = {}
+        for r in sorted(code.tokens(own, **chosen).collect(), key=lambda r: (r.offset, r.pos)):
+            want.setdefault((r.source_id, r.format), []).append((r.value, r.line))
+        got = {(r.source_id, r.format): list(zip(r["values"], r.lines, strict=True)) for r in code.arrays(own, **chosen).collect()}
+        assert got == want and got
+    places = {r.value: (r.line, r.col, r.offset) for r in code.tokens(own).where("source_id = 'b'").collect()}
+    assert places["d"] == (6, 12, len("a = 1\nq:ignore-start\nb = 2\nq:ignore-end\nimport os\nc = '😀'; ".encode()))
+
+
+def test_scripts_that_cannot_be_lexed():
+    assert [x[:2] for x in code.lexed("a = `b c", "javascript") if x[0] != "whitespace"] == [("other", "a"), ("other", "="), ("other", "`"), ("other", "b"), ("other", "c")]
+    assert ("other", "x1") in [x[:2] for x in code.lexed("/* x1", "typescript")] and code.lexed("a /* b */ 'c'", "javascript")[-1][:2] == ("literal", "'c'")
+
+
+def test_display_tokens(spark):
+    texts = [("m", "markdown", "one\n```python\nx = 1\n```\ntwo\n"), ("v", "vue", "<template>\n<p>hi</p>\n</template>\n<script>\nlet a\n</script>\n")]
+    got = code.display_tokens(spark.createDataFrame(texts, "source_id string, format string, content string")).collect()
+    of = lambda s: [(r.value, r.line) for r in sorted(got, key=lambda r: r.pos) if r.source_id == s]
+    assert of("m") == [("one", 1), ("x", 3), ("=", 3), ("1", 3), ("two", 5)] and {("hi", 2), ("let", 5), ("a", 5)} <= set(of("v"))
