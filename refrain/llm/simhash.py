@@ -23,6 +23,8 @@ that the same texts share are one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -42,7 +44,7 @@ SMALL = 12
 #: Fingerprints of a key, about, that are compared with all others in it; rows that a task holds at a time.
 PIVOTS, ROWS = 16, 50_000
 #: Keys of a text's shingle set, and least hashes in each; bins of its sketch; texts of one key that are compared in one block, and their bytes.
-KEYS, EACH, BINS, SKETCH_ROWS, SKETCH_BYTES = 10, 4, 256, 2048, 1 << 25
+KEYS, EACH, BINS, SKETCH_ROWS, SKETCH_BYTES = 10, 4, 256, 2048, 1 << 24
 #: How far below the asked similarity sketches may be for a pair to be verified.
 LOOSE = 0.1
 ODD = np.random.default_rng(20250107).integers(0, 2**63, KEYS * EACH, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -175,21 +177,43 @@ def links_in(key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray
     return np.concatenate(a), np.concatenate(b)
 
 
-def fingerprint_links(classes: DataFrame, max_bits: int = 3) -> DataFrame:
-    """A spanning forest (a, b) of the links between distinct fingerprints (column fp, no nulls).
+def links_in_blocks(keyed: DataFrame, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A spanning forest (a, b) of the links that ``compare`` finds among rows (k, fp, n, blocks) of one key; it takes (group, fp).
 
-    Keys of up to BLOCK_ROWS fingerprints are compared at once. A larger key's are first
-    dealt to blocks, each once, with about PIVOTS of them in every block. In most keys
-    that joins whatever is linked; of the rest only pairs of fingerprints that are still
-    apart are compared, all of them, in pairs of blocks: those of the key's largest part
-    against the others, and the others among themselves.
+    A key of n rows is dealt to its blocks, each row once, with up to PIVOTS of them in
+    every block. In most keys that joins whatever is linked; of the rest only pairs of rows
+    that are still apart are compared, all of them, in pairs of blocks: those of the key's
+    largest part against the others, and the others among themselves.
     """
+    spot = lambda blocks: F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    numbers = lambda n: F.sequence(F.lit(0), n - 1)
+    pivot = F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("n")) < F.least(F.lit(PIVOTS), F.floor(F.col("n") / (4 * F.col("blocks"))))
+    everywhere = F.when(pivot, numbers(F.col("blocks"))).otherwise(F.array(spot(F.col("blocks"))))
+    links = materialise(compare(keyed.select("k", "fp", F.explode(everywhere).alias("block")).select(F.xxhash64("k", "block").alias("group"), "fp")), "links")
+    many = keyed.where("blocks > 1")
+    if not many.limit(1).count():
+        return links
+    parts = materialise(connected_components(links), "parts")
+    many = many.join(parts, many["fp"] == parts["node"], "left").select("k", "fp", (F.col("blocks") / F.col("n")).alias("share"), F.coalesce("component", "fp").alias("part"))
+    many = materialise(many, "many")
+    sizes = many.groupBy("k", "part").agg(F.count("*").alias("c"), F.max("share").alias("share"))
+    apart = sizes.groupBy("k").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.max("c").alias("c"), F.sum("c").alias("total"), F.max("share").alias("share")).where("c < total")
+    apart = materialise(apart.select("k", "main", F.ceil(F.col("c") * F.col("share")).cast("int").alias("m"), F.ceil((F.col("total") - F.col("c")) * F.col("share")).cast("int").alias("o")), "apart")
+    rest = many.drop("share").join(apart, "k")
+    main, other = rest.where("part = main"), rest.where("part != main")
+    across = main.select("k", "fp", spot(F.col("m")).alias("i"), F.explode(numbers(F.col("o"))).alias("j")).union(other.select("k", "fp", F.explode(numbers(F.col("m"))).alias("i"), spot(F.col("o")).alias("j")))
+    among = other.select("k", "fp", spot(F.col("o")).alias("own"), F.explode(numbers(F.col("o"))).alias("j")).select("k", "fp", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"))
+    second = across.select(F.xxhash64("k", F.lit(0), "i", "j").alias("group"), "fp").union(among.select(F.xxhash64("k", F.lit(1), "i", "j").alias("group"), "fp"))
+    return links.union(compare(second))
+
+
+def fingerprint_links(classes: DataFrame, max_bits: int = 3) -> DataFrame:
+    """A spanning forest (a, b) of the links between distinct fingerprints (column fp, no nulls)."""
     if not 0 <= max_bits <= 3:
         raise ValueError("the index guarantees links of at most 3 differing bits")
     index = classes.select("fp", F.explode(F.array(*[_key(b, i) for i, b in enumerate(BLOCKS)])).alias("k"))
     live = index.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
     live = materialise(live.select("k", "n", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "live")
-    keyed = materialise(index.join(live, "k"), "keyed")
 
     def compare(table: pa.Table):
         group, fp = table.column(0).to_numpy(), table.column(1).to_numpy().view(np.uint64)
@@ -197,45 +221,26 @@ def fingerprint_links(classes: DataFrame, max_bits: int = 3) -> DataFrame:
         if len(x):
             yield edge_batch(*stars(x.view(np.int64), y.view(np.int64)))
 
-    spot = lambda blocks: F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    pivot = F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("n")) < PIVOTS
-    everywhere = F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(spot(F.col("blocks"))))
-    first = keyed.select("k", "fp", F.explode(everywhere).alias("block")).select(F.xxhash64("k", "block").alias("group"), "fp")
-    links = materialise(_by_group(first, compare, ROWS), "links")
-    many = keyed.where("blocks > 1")
-    if not many.limit(1).count():
-        return links
-    parts = materialise(connected_components(links), "parts")
-    many = many.join(parts, many["fp"] == parts["node"], "left").select("k", "fp", F.coalesce("component", "fp").alias("part"))
-    many = materialise(many, "many")
-    sizes = many.groupBy("k", "part").agg(F.count("*").alias("c"))
-    apart = sizes.groupBy("k").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.max("c").alias("c"), F.sum("c").alias("total")).where("c < total")
-    apart = materialise(apart.select("k", "main", F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("m"), F.ceil((F.col("total") - F.col("c")) / BLOCK_ROWS).cast("int").alias("o")), "apart")
-    rest = many.join(apart, "k")
-    main, other = rest.where("part = main"), rest.where("part != main")
-    numbers = lambda n: F.sequence(F.lit(0), n - 1)
-    across = main.select("k", "fp", spot(F.col("m")).alias("i"), F.explode(numbers(F.col("o"))).alias("j")).union(other.select("k", "fp", F.explode(numbers(F.col("m"))).alias("i"), spot(F.col("o")).alias("j")))
-    among = other.select("k", "fp", spot(F.col("o")).alias("own"), F.explode(numbers(F.col("o"))).alias("j")).select("k", "fp", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"))
-    second = across.select(F.xxhash64("k", F.lit(0), "i", "j").alias("group"), "fp").union(among.select(F.xxhash64("k", F.lit(1), "i", "j").alias("group"), "fp"))
-    return links.union(_by_group(second, compare, ROWS))
+    return links_in_blocks(materialise(index.join(live, "k"), "keyed"), lambda dealt: _by_group(dealt, compare, ROWS))
 
 
 def _by_group(dealt: DataFrame, compare, rows_at_once: int) -> DataFrame:
-    """(a, b) of ``compare`` over tables of whole groups (column group), about so many rows at a time."""
+    """(a, b) of ``compare`` over tables of whole groups (column group), about so many rows or SKETCH_BYTES at a time."""
 
     def run(batches):
         tail: list[pa.RecordBatch] = []
-        rows = 0
+        rows = held = 0
         for batch in batches:
             tail.append(batch)
             rows += batch.num_rows
-            if rows >= rows_at_once:  # whole groups go; the last may go on in the next batch
+            held += batch.nbytes
+            if rows >= rows_at_once or held >= SKETCH_BYTES:  # whole groups go; the last may go on in the next batch
                 table = pa.Table.from_batches(tail).combine_chunks()
                 group = table.column(0).to_numpy()
                 cut = int(np.searchsorted(group, group[-1]))
                 yield from compare(table.slice(0, cut))
-                tail = table.slice(cut).to_batches()
-                rows = table.num_rows - cut
+                rest = table.slice(cut).combine_chunks()
+                tail, rows, held = rest.to_batches(), rest.num_rows, rest.nbytes
         if rows:
             yield from compare(pa.Table.from_batches(tail).combine_chunks())
 
@@ -308,18 +313,12 @@ def verified_in(sketches: np.ndarray, texts: pa.ChunkedArray, shingle: int, leas
 
 def similarity_links(classes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """A spanning forest (a, b) of the links between fingerprints (columns fp, keys, sketch, h, size) whose texts, rows of ``docs``, have shingle sets so similar."""
-    index = classes.select("h", "size", F.explode(F.array_distinct("keys")).alias("k"))
-    shared = index.groupBy("k").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "h")).alias("y")).where("n > 1")
-    live = materialise(shared.groupBy("n", "size", "x", "y").agg(F.min("k").alias("k")).select("k", F.greatest(F.ceil(F.col("n") / SKETCH_ROWS), F.ceil(F.col("size") / SKETCH_BYTES)).cast("int").alias("blocks")), "live")
-    dealt = (
-        index.join(live, "k")
-        .select("k", "h", "blocks", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "h")
-    )
-    dealt = materialise(dealt, "dealt")
-    texts = docs.select(F.xxhash64("text").alias("h"), "text").join(dealt.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
-    held = materialise(classes.select("h", "fp", "sketch").join(texts, "h"), "texts")
-    dealt = dealt.join(held, "h").select("group", "fp", "sketch", "text")
+    index = classes.select("fp", "h", "size", F.explode(F.array_distinct("keys")).alias("k"))
+    shared = index.groupBy("k").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("y")).where("n > 1")
+    live = shared.groupBy("n", "size", "x", "y").agg(F.min("k").alias("k")).select("k", "n", F.greatest(F.ceil(F.col("n") / SKETCH_ROWS), F.ceil(F.col("size") / SKETCH_BYTES)).cast("int").alias("blocks"))
+    keyed = materialise(index.join(materialise(live, "live"), "k").select("k", "fp", "h", "n", "blocks"), "keyed")
+    texts = docs.select(F.xxhash64("text").alias("h"), "text").join(keyed.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
+    held = materialise(classes.select("h", "fp", "sketch").join(texts, "h").select("fp", "sketch", "text"), "texts")
 
     def compare(table: pa.Table):
         group, fp = table.column(0).to_numpy(), table.column(1).to_numpy()
@@ -335,7 +334,7 @@ def similarity_links(classes: DataFrame, docs: DataFrame, shingle: int, similari
         if sum(map(len, x)):
             yield edge_batch(*stars(np.concatenate(x), np.concatenate(y)))
 
-    return _by_group(dealt, compare, 2_000)
+    return links_in_blocks(keyed.drop("h"), lambda dealt: _by_group(dealt.join(held, "fp").select("group", "fp", "sketch", "text"), compare, 2_000))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, similarity: float | None = None) -> DataFrame:
@@ -350,7 +349,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, simila
     classes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
     links = fingerprint_links(classes, max_bits)
     if similarity is not None:  # texts of one fingerprint are linked; one of them stands for all
-        links = links.union(similarity_links(materialise(own.dropDuplicates(["fp"]).select("fp", "keys", "sketch", "h", "size"), "sets"), docs, shingle, similarity))
+        links = links.union(similarity_links(materialise(own.groupBy("fp").agg(F.min(F.struct("h", "size", "keys", "sketch")).alias("x")).select("fp", "x.*"), "sets"), docs, shingle, similarity))
     parts = materialise(connected_components(links), "parts")
     named = materialise(classes.join(parts, classes["fp"] == parts["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("part")), "named")
     lows = materialise(named.groupBy("part").agg(F.min("low").alias("component_id")), "lows")
