@@ -7,8 +7,9 @@ other side of the plane between y's centre c and c'; a random one rarely more th
 standard deviations of that. They are fitted for each pair of cells: sin(a) times the
 share of c - c' in the sample's variance within cells, at least |c - c'| / sqrt(dimensions),
 so that vectors that vary in few dimensions go further. ``spread`` of them set how far y
-visits. Members are compared with everything in their home cell, in blocks; a
-pair that both find, each in its own home, counts once for each of the two. A cell with
+visits. Members are compared with everything in their home cell, in blocks; where both
+visit the other's home, each counts the pair in its own, and where only one does, the pair
+counts for both where it is found, so that links are symmetric. A cell with
 many members is dealt out in pairs of blocks, so that a large group of near copies is
 shared by many tasks, and each pair of blocks sends on counts and a spanning forest.
 """
@@ -32,12 +33,17 @@ def _rows(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def nearest(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, some rows at a time."""
+    return np.concatenate([(unit[at : at + 2048] @ centres.T).argmax(axis=1) for at in range(0, max(1, len(unit)), 2048)])
+
+
 def fit(sample: np.ndarray, cells: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """Unit centres of a spherical k-means over unit rows."""
     rng = np.random.default_rng(seed)
     centres = sample[rng.choice(len(sample), min(cells, len(sample)), replace=False)]
     for _ in range(rounds):
-        own = (sample @ centres.T).argmax(axis=1)
+        own = nearest(sample, centres)
         total = np.zeros_like(centres)
         np.add.at(total, own, sample)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
@@ -47,7 +53,7 @@ def fit(sample: np.ndarray, cells: int, rounds: int = 12, seed: int = 7) -> np.n
 
 def shares(sample: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Each direction's share of the variance of ``sample`` within its cells, as a matrix; zeros without any."""
-    rest = sample - centres[(sample @ centres.T).argmax(axis=1)]
+    rest = sample - centres[nearest(sample, centres)]
     total = float((rest * rest).sum())
     return rest.T @ rest / total if total > 1e-12 else np.zeros((sample.shape[1],) * 2)
 
@@ -59,6 +65,13 @@ def deviations(centres: np.ndarray, share: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(far / centres.shape[1], np.diag(own)[:, None] + np.diag(own)[None] - 2 * own))
 
 
+def reaches(unit: np.ndarray, home: np.ndarray, other: np.ndarray, centres: np.ndarray, share: np.ndarray, reach: float) -> np.ndarray:
+    """Whether each row, at home in one cell, visits the other one."""
+    apart = centres[other] - centres[home]
+    step = np.sqrt(np.maximum((apart * apart).sum(axis=1) / centres.shape[1], ((apart @ share) * apart).sum(axis=1)))
+    return (unit * apart).sum(axis=1) >= -reach * step
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, spread: float = 4.0, max_sample: int = 20_000, per_cell: int = 400) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding; others are ignored).
 
@@ -84,12 +97,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, spread: float = 4.
         sample = classes.where(F.size("x") == width).orderBy("class").limit(max_sample).select("x").toArrow()
         unit = _rows(sample.column(0).combine_chunks())
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        c = fit(unit, max(1, min(len(unit) // 8, count // per_cell, 4096)))
+        c = fit(unit, max(1, min(len(unit) // 8, count // per_cell)))
         centres[width] = c, shares(unit, c)
     reach = spread * math.sqrt(1 - cosine * cosine)
 
     def assign(batches):
-        names, step = ["class", "n", "x", "cell", "home"], {}
+        names, step = ["class", "n", "x", "cell", "home", "at"], {}
         for batch in batches:
             width = np.array([len(v) for v in batch.column(2)])
             for w in np.unique(width):
@@ -104,17 +117,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, spread: float = 4.
                     own = near.argmax(axis=1)
                     i, j = np.nonzero(near >= near.max(axis=1, keepdims=True) - reach * step[w][own])
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).slice(at).take(pa.array(i)), part.column(1).slice(at).take(pa.array(i)), part.column(2).slice(at).take(pa.array(i)), pa.array((j + (int(w) << 32)).astype(np.int64)), pa.array(j == own[i])], names=names
+                        [part.column(0).slice(at).take(pa.array(i)), part.column(1).slice(at).take(pa.array(i)), part.column(2).slice(at).take(pa.array(i)), pa.array((j + (int(w) << 32)).astype(np.int64)), pa.array(j == own[i]), pa.array((own[i] + (int(w) << 32)).astype(np.int64))], names=names
                     )
 
-    placed = materialise(classes.select("class", "n", F.col("x").cast(kept).alias("x")).mapInArrow(assign, f"class long, n long, x {kept}, cell long, home boolean"), "placed")
+    placed = materialise(classes.select("class", "n", F.col("x").cast(kept).alias("x")).mapInArrow(assign, f"class long, n long, x {kept}, cell long, home boolean, at long"), "placed")
     of = lambda n, rows: F.ceil(n / rows).cast("int")
     members = materialise(placed.groupBy("cell").agg(of(F.count_if("home"), BLOCK_ROWS).alias("own"), of(F.count("*"), OTHER_ROWS).alias("all")), "cells")
     dealt = placed.join(members, "cell")
-    columns, spot = ["class", "n", "x", "home"], F.xxhash64("class")
-    here = dealt.where("home").select("cell", F.pmod(spot, F.col("own")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), *columns, F.lit(True).alias("asks"))
-    there = dealt.where("own > 0").select("cell", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"), F.pmod(spot, F.col("all")).alias("j"), *columns, F.lit(False).alias("asks"))
-    tasks = here.select("cell", F.col("i").cast("long"), F.col("j").cast("long"), *columns, "asks").union(there.select("cell", F.col("i").cast("long"), F.col("j").cast("long"), *columns, "asks")).select(F.xxhash64("cell", "i", "j").alias("task"), *columns, "asks")
+    columns, spot = ["class", "n", "x", "cell", "at"], F.xxhash64("class")
+    here = dealt.where("home").select(F.pmod(spot, F.col("own")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), *columns, F.lit(True).alias("asks"))
+    there = dealt.where("own > 0").select(F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"), F.pmod(spot, F.col("all")).alias("j"), *columns, F.lit(False).alias("asks"))
+    tasks = here.select(F.col("i").cast("long"), F.col("j").cast("long"), *columns, "asks").union(there.select(F.col("i").cast("long"), F.col("j").cast("long"), *columns, "asks")).select(F.xxhash64("cell", "i", "j").alias("task"), *columns, "asks")
 
     def compare(batches):
         held: list[pa.RecordBatch] = []
@@ -125,23 +138,29 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, spread: float = 4.
             at = 0
             for end in ends.tolist():
                 part = table.slice(at, end - at).combine_chunks()
-                asks = part.column(4).to_numpy(zero_copy_only=False)
+                asks = part.column(6).to_numpy(zero_copy_only=False)
                 at = end
                 if not asks.any() or asks.all():
                     continue
                 key, n, unit = part.column(1).to_numpy(), part.column(2).to_numpy(), _rows(part.column(3).combine_chunks())
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
                 i, j = np.nonzero(unit[asks] @ unit[~asks].T >= cosine)
-                a, b, m = key[asks][i], key[~asks][j], n[~asks][j]
-                other = a != b
-                a, b, m, i = a[other], b[other], m[other], i[other]
-                if len(a):
-                    count = np.bincount(i, m, asks.sum()).astype(np.int64)
+                i, j = np.flatnonzero(asks)[i], np.flatnonzero(~asks)[j]
+                other = key[i] != key[j]
+                i, j = i[other], j[other]
+                if len(i):
+                    here, from_cell = int(part.column(4)[0].as_py()), part.column(5).to_numpy()
+                    count = np.bincount(i, n[j], len(key))
+                    alone = np.flatnonzero(from_cell[j] != here)  # found by a visitor: does the other visit its home too?
+                    c, share = centres[here >> 32]
+                    low = (1 << 32) - 1
+                    alone = alone[~reaches(unit[i[alone]], from_cell[i[alone]] & low, from_cell[j[alone]] & low, c, share, reach)]
+                    count = (count + np.bincount(j[alone], n[i[alone]], len(key))).astype(np.int64)
                     found = np.flatnonzero(count)
-                    x, y = stars(a, b)
+                    x, y = stars(key[i], key[j])
                     none = [None] * len(x)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([key[asks][found], x])), pa.array([*count[found].tolist(), *none], pa.int64()), pa.array([*[None] * len(found), *y.tolist()], pa.int64())], names=["class", "links", "other"]
+                        [pa.array(np.concatenate([key[found], x])), pa.array([*count[found].tolist(), *none], pa.int64()), pa.array([*[None] * len(found), *y.tolist()], pa.int64())], names=["class", "links", "other"]
                     )
 
         for batch in batches:
@@ -153,7 +172,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, spread: float = 4.
         if held:
             yield from flush(pa.Table.from_batches(held))
 
-    tasks = tasks.select("task", "class", "n", "x", "asks").repartition("task").sortWithinPartitions("task")
+    tasks = tasks.select("task", *columns, "asks").repartition("task").sortWithinPartitions("task")
     found = materialise(tasks.mapInArrow(compare, "class long, links long, other long"), "links")
     links = materialise(found.where("links is not null").groupBy("class").agg(F.sum("links").alias("links")), "counts")
     parts = materialise(connected_components(found.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b"))), "parts")
