@@ -17,6 +17,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,31 +103,46 @@ def likeness(x: str, y: str) -> float:
     return best
 
 
+def places(cuts: np.ndarray, finer: np.ndarray, doc_id: np.ndarray, th: np.ndarray) -> np.ndarray:
+    """How many of the sorted pairs (cuts, finer) are at most each row's (doc_id, th)."""
+    low, high = np.searchsorted(cuts, doc_id, "left"), np.searchsorted(cuts, doc_id, "right")
+    for at in np.unique(low[high > low]).tolist():  # ids that cuts name
+        own = np.flatnonzero((low == at) & (high > at))
+        low[own] = at + np.searchsorted(finer[at : high[own[0]]], th[own], "right")
+    return low
+
+
 def with_next(docs: DataFrame, rows: int = 2_000, most: int = 65_536) -> DataFrame:
     """(part, doc_id, text, only_next) such that rows sorted by (part, key) stand before their next document, whatever part it is in.
 
-    Documents are dealt to parts of about ``rows`` ids, ``most`` parts at most, at bounds
-    taken from a hash sample of about 20 ids a part; each part also gets the first document
+    Documents are dealt to parts of about ``rows`` rows, ``most`` parts at most, at bounds
+    taken from a hash sample of about 20 distinct pairs of id and text's hash a part, so
+    that an id of many texts, or none, is split too; each part also gets the first document
     of the part after it (the last: the first of all), marked ``only_next``. Only that
     sample and each part's first id pass the driver, so ``most`` bounds both.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = base.select("doc_id", F.xxhash64("text").alias("th"))
     n = docs.count()
-    parts, cuts = max(1, min(most, n // rows)), np.array([], np.int64)
+    parts, some, finer, none = max(1, min(most, n // rows)), *[np.array([], np.int64)] * 3
     if parts > 1:
         share = min(1.0, 20 * parts / n)
-        picked = base.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < math.ceil(share * 1_000_003))).select("doc_id").toArrow()
-        ids = np.sort(picked.column(0).to_numpy())
-        cuts = np.unique(ids[np.linspace(0, len(ids), parts + 1)[1:-1].astype(np.int64)]) if len(ids) else cuts
+        picked = keyed.where(F.pmod(F.xxhash64("doc_id", "th"), F.lit(1_000_003)) < math.ceil(share * 1_000_003)).distinct().toArrow()
+        picked = picked.sort_by([("doc_id", "ascending"), ("th", "ascending")])
+        picked = picked.take(np.unique(np.linspace(0, len(picked), parts + 1)[1:-1].astype(np.int64))) if len(picked) else picked
+        known = picked.filter(pc.is_valid(picked["doc_id"]))  # nulls come last
+        some, finer = known["doc_id"].to_numpy(), known["th"].to_numpy()
+        none = picked["th"].to_numpy()[len(some) :]
 
     @F.pandas_udf("int")
-    def number(doc_id: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, doc_id.to_numpy(), "right").astype(np.int32))
+    def number(null: pd.Series, doc_id: pd.Series, th: pd.Series) -> pd.Series:
+        null, th = null.to_numpy(), th.to_numpy()
+        last = len(some) + np.searchsorted(none, th, "right")
+        return pd.Series(np.where(null, last, places(some, finer, doc_id.to_numpy(), th)).astype(np.int32))
 
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(number(F.coalesce("doc_id", F.lit(0)))) if len(cuts) else F.lit(0)
-    keyed = base.select("doc_id", F.xxhash64("text").alias("th"))
+    part = number(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0).cast("long")), F.xxhash64("text")) if parts > 1 else F.lit(0)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    firsts = keyed.withColumn("part", part).groupBy("part").agg(F.min(key).alias("first")).select("part", F.col("first.doc_id").alias("f_id"), F.col("first.th").alias("f_th"))
+    firsts = base.select("doc_id", F.xxhash64("text").alias("th"), part.alias("part")).groupBy("part").agg(F.min(key).alias("first")).select("part", F.col("first.doc_id").alias("f_id"), F.col("first.th").alias("f_th"))
     firsts = sorted(firsts.collect(), key=lambda f: f.part)  # one row for each part
     dealt = base.withColumn("part", part).withColumn("th", F.xxhash64("text"))
     if not firsts:
