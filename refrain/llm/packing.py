@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from refrain.llm.common import materialise
 
 #: Distinct words whose ids a Python worker remembers, and the longest of them in bytes.
-CACHE, LONGEST = 250_000, 64
+CACHE, LONGEST = 100_000, 64
 #: How byte-level BPE writes bytes that aren't printable.
 SPELT = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 #: Pieces of one length and salt, about.
-SALTED = 100_000
+SALTED = 500
 #: Texts whose classes of characters Python and the tokenizer read alike: Latin letters and common marks, already in NFC.
 PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e\u20ac]*\\Z")
 #: The pre-tokens of such texts: contractions, runs of letters, single digits, runs of marks.
@@ -223,10 +223,11 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
     come; a null doc_id stays null. An empty table gives no rows.
     """
     cut = materialise(pieces(docs, tokenizer, capacity), "pieces")
-    salts = max(64, cut.count() // SALTED)
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    found = dict(cut.groupBy("length").agg(F.count("*")).collect())  # capacity rows at most
+    lengths, ranks, firsts, offsets, _ = plan(found, capacity)
+    salts = F.lit([-(-found.get(n, 1) // SALTED) for n in range(capacity + 1)])  # only lengths of many pieces are ranked by several tasks
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(salts, F.col("length").cast("int"))).cast("int"))
     counts = materialise(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "counts")
-    lengths, ranks, firsts, offsets, _ = plan(dict(counts.groupBy("length").agg(F.sum("n")).collect()), capacity)  # capacity rows at most
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = materialise(counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
