@@ -60,15 +60,21 @@ def draw_key(seed: str) -> Column:
     return F.concat_ws(":", *told, F.lit(seed))
 
 
-def plan(docs: DataFrame, weights: DataFrame | None = None, cap: int = 3, seed: str = "mix") -> DataFrame:
+def plan(docs: DataFrame, weights: DataFrame | None = None, cap: int = 3, seed: str = "mix", by_id: bool = False) -> DataFrame:
     """(row, doc_id, size, source_size, target, copies) of every row of ``docs`` (columns doc_id, source, text); row holds all its columns, whatever their names.
 
     A null text has size 0; rows of a null source form a source; documents draw by id,
-    source and text, so only rows equal in all three draw alike. A source without words gets no copies. An empty
+    source and text, so only rows equal in all three draw alike. With ``by_id``, those whose
+    id no other row has draw by it alone, whatever was cut from their texts before. A source without words gets no copies. An empty
     table gives no rows. With ``weights``, rows of sources that it doesn't name are left out.
     """
     sized = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.col("source").alias("_source"), size_of().alias("size"), draw_key(seed).alias("_key"))
     aims = materialise(targets(sized.select(F.col("_source").alias("source"), "size"), weights, cap), "targets")
+    if by_id:
+        shared = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+        sized = sized.join(materialise(shared.select(F.col("doc_id").alias("_shared")), "shared"), F.col("doc_id") == F.col("_shared"), "left")
+        lone = F.col("doc_id").isNotNull() & F.col("_shared").isNull()
+        sized = sized.withColumn("_key", F.when(lone, F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(seed))).otherwise(F.col("_key")))
     joined = sized.join(aims, F.col("_source").eqNullSafe(F.col("source")))
     return joined.select("row", "doc_id", "size", "source_size", "target", copies(F.col("rate"), F.col("_key")).alias("copies"))
 

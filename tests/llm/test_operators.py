@@ -103,6 +103,17 @@ def test_documents_without_ids_draw_apart(spark):
     assert len(got) == 2 and all(abs(taken - target) < 0.06 * target for _, taken, target in got)
 
 
+def test_mixing_by_id(spark):
+    """An id of one row settles its draw, whatever its text; rows without ids, or that share one, still draw apart."""
+    drawn = {i: int(hashlib.md5(f"{i}:mix".encode()).hexdigest()[:13], 16) / 16**13 for i in range(200)}
+    rows = [(i, f"w{i}", "en", "a" if i < 150 else "b", 1) for i in drawn]  # 200 words by weights 1, 2
+    got = {r.doc_id: r[1] for r in mixing.mix(docs_of(spark, rows), by_id=True).groupBy("doc_id").count().collect()}
+    assert got == {i: n for i, draw in drawn.items() if (n := (draw < 66.66666666666667 / 150) if i < 150 else 2 + (draw < 133.33333333333334 / 50 - 2))}
+    rows = [(None if i % 2 else 5, f"w{i}", "en", "a" if i < 3000 else "b", 1) for i in range(4000)]
+    got = mixing.sizes(docs_of(spark, rows), by_id=True).groupBy("source_size").agg(F.sum("taken"), F.first("target")).collect()
+    assert len(got) == 2 and all(abs(taken - target) < 0.06 * target for _, taken, target in got)
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
