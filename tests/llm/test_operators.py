@@ -353,6 +353,21 @@ def test_repeats(spark, monkeypatch, step):
     assert sum(v[1] > 0 for v in got.values()) > 20
 
 
+def test_repeats_give_spans_and_bytes(spark):
+    """What is left and the runs that go, not only their digests; a run may end within a character."""
+    again = "b" + "xé" * 12
+    rows = [(1, f"start {again}é end", "en", "s", 1), (2, again + "è", "en", "s", 1), (3, "nothing of it", "en", "s", 1), (4, None, None, None, None)]
+    got = {r.doc_id: r for r in repeats.removed(docs_of(spark, rows), 24, 9).collect()}
+    assert {i: ([tuple(x) for x in r.spans], bytes(r.kept), r.n_bytes) for i, r in got.items()} == {
+        1: ([(6, 44)], b"start \xa9 end", 49),
+        2: ([(0, 38)], b"\xa8", 39),
+        3: ([], b"nothing of it", 13),
+        4: ([], b"", 0),
+    }
+    whole = [(i, "".join(rows[i - 1][1] or "").encode()) for i in got]
+    assert all(b"".join(d[a:b] for a, b in zip([0, *(x.end for x in got[i].spans)], [*(x.start for x in got[i].spans), len(d)], strict=True)) == bytes(got[i].kept) for i, d in whole)
+
+
 def test_chunks_of_long_texts(monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK", 300)
     data = bytes(random.Random(1).randrange(97, 100) for _ in range(2000))
