@@ -18,7 +18,6 @@ import re
 import sys
 import types
 import unicodedata
-import zlib
 from array import array
 from collections import Counter
 
@@ -135,8 +134,8 @@ def worker_words(path: str) -> Words:
 
 
 def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 2048, end: int = 0) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): each document's ids and then ``end``, cut after every ``capacity`` ids."""
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    """(doc_id, piece, start, length, ids): each document's ids and then ``end``, cut after every ``capacity`` ids; little-endian unsigned 32-bit ids as binary."""
+    columns = ["doc_id", "piece", "start", "length", "ids"]
 
     def run(batches):
         words = worker_words(tokenizer)
@@ -147,12 +146,12 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int
                 ids = words.ids(text.as_py() or "") + last
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    for column, x in zip(rows, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                    for column, x in zip(rows, (doc_id, k, at // 4, len(part) // 4, part), strict=True):
                         column.append(x)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=columns)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
 def exact(left: np.ndarray, gap: int) -> list[int] | None:
@@ -216,13 +215,14 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndarray,
     return table[:, 0], table[:, 1], table[:, 2], table[:, 3], sequences
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 2048) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of ``docs`` (columns doc_id, text; others are ignored).
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 2048, ids: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of ``docs`` (columns doc_id, text; others are ignored); with ``ids`` also its ids.
 
     A null or empty text is one piece, the id 0. Repeated rows and ids are packed as they
     come; a null doc_id stays null. An empty table gives no rows.
     """
-    cut = materialise(pieces(docs, tokenizer, capacity), "pieces")
+    told, more = ["doc_id", "piece", "start", "length", "ids_crc32"], ["ids"] if ids else []
+    cut = materialise(pieces(docs, tokenizer, capacity).withColumn("ids_crc32", F.crc32("ids")).select(*told, *more), "pieces")
     found = dict(cut.groupBy("length").agg(F.count("*")).collect())  # capacity rows at most
     lengths, ranks, firsts, offsets, _ = plan(found, capacity)
     salts = F.lit([-(-found.get(n, 1) // SALTED) for n in range(capacity + 1)])  # only lengths of many pieces are ranked by several tasks
@@ -238,8 +238,14 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
         for batch in batches:
             length, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
             at = np.searchsorted(key, length << 48 | rank, "right") - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(firsts[at] + rank - ranks[at]), pa.array(offsets[at])], names=[*batch.schema.names[:5], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(firsts[at] + rank - ranks[at]), pa.array(offsets[at]), *batch.columns[6:]], names=[*told, "sequence_id", "offset", *more])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("k") - 1).cast("long").alias("rank")).mapInArrow(
-        place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    )
+    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * ids
+    return ranked.select(*told, (F.col("base") + F.col("k") - 1).cast("long").alias("rank"), *more).mapInArrow(place, kinds)
+
+
+def sequences(docs: DataFrame, **options) -> DataFrame:
+    """(sequence_id, length, ids) of every sequence: the ids of its pieces, one after the other, as binary of little-endian unsigned 32-bit ids."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])
+    whole = F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x))
+    return pack(docs, ids=True, **options).groupBy("sequence_id").agg(F.sum("length").alias("length"), whole.alias("ids"))

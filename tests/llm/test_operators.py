@@ -134,6 +134,22 @@ def test_packing(spark):
     assert got.sequence_id.nunique() == -(-got.length.sum() // 2048)
 
 
+def test_sequences_hold_their_ids(spark):
+    """The ids themselves come out, at the places that pack() gives."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    rows = corpus()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t, *_ in rows}
+    whole = {r.sequence_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.sequences(docs_of(spark, rows)).collect()}
+    placed = packing.pack(docs_of(spark, rows)).collect()
+    assert sum(map(len, whole.values())) == sum(map(len, want.values())) and max(map(len, whole.values())) <= 2048
+    for r in placed:
+        assert whole[r.sequence_id][r.offset : r.offset + r.length] == want[r.doc_id][r.start : r.start + r.length]
+
+
 def test_ids_of_any_text(monkeypatch):
     monkeypatch.setattr(packing, "CHUNK", 20)
     words, rng = packing.Words("word_bpe_49k.json"), random.Random(1)
