@@ -10,7 +10,6 @@ of their letters, and only if they have a run of letters in common.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import zlib
 
@@ -155,16 +154,17 @@ def with_next(docs: DataFrame, rows: int = 2_000, most: int = 65_536) -> DataFra
     return dealt.withColumn("only_next", F.lit(False)).unionByName(ahead)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row of ``docs`` (doc_id, text; others are ignored).
+def edits(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next) of every row of ``docs`` (doc_id, text; others are ignored).
 
     The edited text has its last half of code points replaced by as many, or all, of the
     next document's first. Documents follow one another by doc_id, equal ids by a hash of
     their texts, null ids last; after the last comes the first, so a single document
-    follows itself. A null text counts as empty. An empty table gives no rows.
+    follows itself. A null text counts as empty. An empty table gives no rows. ``edited`` is
+    UTF-8 as binary.
     """
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    names = ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def run(batches):
         mine = None  # part, doc_id, text, fingerprint of the row before
@@ -178,7 +178,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     edited = (own[: len(own) - half] + text[:half]).encode("utf-8", "surrogatepass")
                     nearby = fingerprint(text.encode("utf-8", "surrogatepass"))
                     changed = fingerprint(edited)
-                    row = mine[1], len(own), hashlib.sha256(edited).hexdigest(), mine[3], changed, likeness(mine[3], changed), likeness(mine[3], nearby)
+                    row = mine[1], len(own), edited, mine[3], changed, likeness(mine[3], changed), likeness(mine[3], nearby)
                     for column, x in zip(out, row, strict=True):
                         column.append(x)
                     mine = None if ahead.as_py() else (part, doc_id.as_py(), text, nearby)
@@ -187,4 +187,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=names)
 
     lined = with_next(docs).repartition("part").sortWithinPartitions("part", "only_next", F.asc_nulls_last("doc_id"), "th")
-    return lined.select("part", "doc_id", "text", "only_next").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return lined.select("part", "doc_id", "text", "only_next").mapInArrow(run, "doc_id long, n_chars long, edited binary, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row of ``docs``: edits() with a digest of the edited text."""
+    return edits(docs).select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")

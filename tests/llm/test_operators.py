@@ -435,6 +435,13 @@ def test_fingerprints(spark):
     assert {r.doc_id: r.edited_sha256 for r in cut} == {i: r.edited_sha256 for i, r in got.items()}
 
 
+def test_edited_texts(spark):
+    """The edited texts themselves come out, not only their digests."""
+    rows = [(3, "öne two", "en", "s", 1), (5, None, "en", "s", 1), (8, "three four", "en", "s", 1), (9, "xé", "en", "s", 1)]
+    got = {r.doc_id: bytes(r.edited).decode() for r in fingerprints.edits(docs_of(spark, rows)).collect()}
+    assert got == {3: "öne ", 5: "", 8: "three" + "xé", 9: "x" + "ö"}
+
+
 def test_edit_distance():
     rng = random.Random(6)
     for _ in range(300):
