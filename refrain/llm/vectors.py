@@ -7,7 +7,7 @@ other side of the plane between y's centre c and c'; a random one rarely more th
 standard deviations of that. They are fitted for each pair of cells: sin(a) times the
 share of c - c' in the sample's variance within cells, at least |c - c'| / sqrt(dimensions),
 so that vectors that vary in few dimensions go further. ``spread`` of them set how far y
-visits. Members are compared with everything in their home cell, in blocks; where both
+visits; with ``exact`` it goes all of sin(a) * |c - c'|, which no partner is beyond. Members are compared with everything in their home cell, in blocks; where both
 visit the other's home, each counts the pair in its own, and where only one does, the pair
 counts for both where it is found, so that links are symmetric. A cell with
 many members is dealt out in pairs of blocks, so that a large group of near copies is
@@ -27,12 +27,26 @@ from refrain.llm.common import connected_components, materialise, stars
 
 #: Rows that a block of a cell's own members holds, and a block of all that are compared with them.
 BLOCK_ROWS, OTHER_ROWS = 256, 512
+#: What rounding may take from the distance of two centres, at most.
+ROUNDED = 1e-6
+#: Rows times cells that are placed at a time.
+PLACED = 1 << 18
 
 
 def _rows(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one; those whose squares would overflow or vanish are scaled first."""
+    norm = np.linalg.norm(rows, axis=1, keepdims=True)
+    odd = np.flatnonzero(~((norm > 1e-140) & (norm < 1e140)))
+    if len(odd):
+        rows[odd] /= np.abs(rows[odd]).max(axis=1, keepdims=True)
+        norm[odd] = np.linalg.norm(rows[odd], axis=1, keepdims=True)
+    return rows / norm
+
+
 def nearest(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """The nearest centre of each row, some rows at a time."""
     return np.concatenate([(unit[at : at + 2048] @ centres.T).argmax(axis=1) for at in range(0, max(1, len(unit)), 2048)])
@@ -58,21 +72,24 @@ def shares(sample: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return rest.T @ rest / total if total > 1e-12 else np.zeros((sample.shape[1],) * 2)
 
 
-def deviations(centres: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """For each pair of cells the deviation of a random step of length one across the plane between them, times the centres' distance."""
+def deviations(centres: np.ndarray, share: np.ndarray | None) -> np.ndarray:
+    """For each pair of cells the deviation of a random step of length one across the plane between them, times the centres' distance; without ``share`` the distance, which is the most."""
     far = np.maximum(0, 2 - 2 * (centres @ centres.T))
+    if share is None:
+        return np.sqrt(far) + ROUNDED
     own = centres @ share @ centres.T
     return np.sqrt(np.maximum(far / centres.shape[1], np.diag(own)[:, None] + np.diag(own)[None] - 2 * own))
 
 
-def reaches(unit: np.ndarray, home: np.ndarray, other: np.ndarray, centres: np.ndarray, share: np.ndarray, reach: float) -> np.ndarray:
+def reaches(unit: np.ndarray, home: np.ndarray, other: np.ndarray, centres: np.ndarray, share: np.ndarray | None, reach: float) -> np.ndarray:
     """Whether each row, at home in one cell, visits the other one."""
     apart = centres[other] - centres[home]
-    step = np.sqrt(np.maximum((apart * apart).sum(axis=1) / centres.shape[1], ((apart @ share) * apart).sum(axis=1)))
+    far = (apart * apart).sum(axis=1)
+    step = np.sqrt(far) + ROUNDED if share is None else np.sqrt(np.maximum(far / centres.shape[1], ((apart @ share) * apart).sum(axis=1)))
     return (unit * apart).sum(axis=1) >= -reach * step
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.95, spread: float = 4.0, max_sample: int = 20_000, per_cell: int = 400) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.95, spread: float = 4.0, max_sample: int = 20_000, per_cell: int = 400, exact: bool = False) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding; others are ignored).
 
     Null, empty and zero vectors and those with null or non-finite components link with
@@ -80,6 +97,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, spread: float = 4.
     rows link with each other. A null vec_id keeps its row, counts as a partner, and
     component_id is the smallest id that is not null (its own row's where it links with
     nothing). ``max_sample`` bounds the rows that centres are fitted on; all rows are indexed.
+    ``exact`` loses no pair and takes no ``spread``; it costs up to a product of all with all.
     An empty table gives no rows.
     """
     x = F.col("embedding").cast("array<double>")
@@ -95,11 +113,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, spread: float = 4.
     centres = {}
     for width, count in sizes.items():
         sample = classes.where(F.size("x") == width).orderBy("class").limit(max_sample).select("x").toArrow()
-        unit = _rows(sample.column(0).combine_chunks())
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        unit = _unit(_rows(sample.column(0).combine_chunks()))
         c = fit(unit, max(1, min(len(unit) // 8, count // per_cell)))
-        centres[width] = c, shares(unit, c)
-    reach = spread * math.sqrt(1 - cosine * cosine)
+        centres[width] = c, None if exact else shares(unit, c)
+    reach = (1 if exact else spread) * math.sqrt(1 - max(0.0, cosine) ** 2)
 
     def assign(batches):
         names, step = ["class", "n", "x", "cell", "home", "at"], {}
@@ -107,13 +124,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, spread: float = 4.
             width = np.array([len(v) for v in batch.column(2)])
             for w in np.unique(width):
                 part = batch.filter(pa.array(width == w))
-                unit = _rows(part.column(2))
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                unit = _unit(_rows(part.column(2)))
                 c, share = centres[int(w)]
                 if w not in step:
                     step[w] = deviations(c, share)
-                for at in range(0, len(unit), 2048):
-                    near = unit[at : at + 2048] @ c.T
+                few = max(1, min(2048, PLACED // len(c)))
+                for at in range(0, len(unit), few):
+                    near = unit[at : at + few] @ c.T
                     own = near.argmax(axis=1)
                     i, j = np.nonzero(near >= near.max(axis=1, keepdims=True) - reach * step[w][own])
                     yield pa.RecordBatch.from_arrays(
@@ -142,8 +159,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, spread: float = 4.
                 at = end
                 if not asks.any() or asks.all():
                     continue
-                key, n, unit = part.column(1).to_numpy(), part.column(2).to_numpy(), _rows(part.column(3).combine_chunks())
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                key, n, unit = part.column(1).to_numpy(), part.column(2).to_numpy(), _unit(_rows(part.column(3).combine_chunks()))
                 i, j = np.nonzero(unit[asks] @ unit[~asks].T >= cosine)
                 i, j = np.flatnonzero(asks)[i], np.flatnonzero(~asks)[j]
                 other = key[i] != key[j]

@@ -499,6 +499,22 @@ def test_vectors_of_few_dimensions(spark, rank):
     assert 0.999 * linked.sum() <= sum(r.n_links for r in got) <= linked.sum() and linked.sum() > 100 and sum(r.n_links for r in got) % 2 == 0
 
 
+def test_vectors_exactly(spark):
+    """With ``exact`` no link is lost and none made up, also at a spread that would lose some, and for vectors whose squares overflow or vanish."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 3))
+    x[:2] = [1, 2, 3], [2, 1, 3.1]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.95
+    np.fill_diagonal(linked, False)
+    x[0], x[1] = x[0] * 1e-200, x[1] * 1e200
+    given = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: r for r in vectors.near_duplicates(given, spread=0.1, per_cell=20, exact=True).collect()}
+    assert [got[i].n_links for i in range(len(x))] == linked.sum(axis=1).tolist() and linked[0].sum() > 5 < linked[1].sum()
+    assert [got[i].component_id for i in range(len(x))] == common.forest(len(x), *np.nonzero(linked)).tolist()
+    assert sum(r.n_links for r in vectors.near_duplicates(given, spread=0.1, per_cell=20).collect()) < linked.sum()
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     toxic = ["moron", "scumbag", "lowlife"]
