@@ -9,23 +9,35 @@ from refrain.operators import detect
 
 
 def write_index(arrays: DataFrame, k: int, path: str) -> None:
-    """First occurrences of all windows as Parquet, dealt out and sorted by window so that a probe's files are pruned by their statistics."""
-    first = detect.windows(arrays, k).groupBy("pool", "whash").agg(F.min(F.struct("source_id", "pos", "n")).alias("first"))
-    first.repartitionByRange("pool", "whash").sortWithinPartitions("pool", "whash").write.mode("overwrite").parquet(path)
+    """First occurrences of all windows as Parquet, in the runs that they are shuffled in, sorted by key in each file so that a probe's row groups are pruned by their statistics."""
+    detect.firsts(detect.windows(arrays, k)).write.mode("overwrite").parquet(path)
+
+
+def _each(runs: DataFrame) -> DataFrame:
+    """Runs of first occurrences as (pool, whash, first)."""
+    return detect.each_window(runs).select("pool", "whash", F.struct("source_id", "pos", "n").alias("first"))
+
+
+def _of_probe(runs: DataFrame, probe: DataFrame) -> DataFrame:
+    """Runs of a key that the probe has."""
+    return runs.join(probe.select("key").distinct(), "key", "left_semi").select(*runs.columns)
 
 
 def index_of(arrays: DataFrame, k: int, probe: DataFrame | None = None) -> DataFrame:
     """(pool, whash, first): the first occurrence of each window; with ``probe`` (arrays of snippets) only of windows that it has, so that no others are shuffled."""
     found = detect.windows(arrays, k)
-    if probe is not None:
-        found = found.join(detect.windows(probe, k).select("pool", "whash").distinct(), ["pool", "whash"], "left_semi")
-    return found.groupBy("pool", "whash").agg(F.min(F.struct("source_id", "pos", "n")).alias("first"))
+    if probe is None:
+        return _each(detect.firsts(found))
+    asked = detect.windows(probe, k)
+    return _each(detect.firsts(_of_probe(found, asked))).join(detect.each_window(asked).select("pool", "whash").distinct(), ["pool", "whash"], "left_semi")
 
 
 def check(snippets: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """Runs (snippet_id, pos, source_id, source_pos, tokens) of the snippets' windows that the index holds."""
+    """Runs (snippet_id, pos, source_id, source_pos, tokens) of the snippets' windows that the index holds, be it a stored one or one of windows."""
     probe = detect.windows(snippets, k)
-    found = probe.join(index, ["pool", "whash"]).select("pool", F.col("source_id"), "pos", "first")
+    if "key" in index.columns:
+        index = _each(_of_probe(index, probe))
+    found = detect.each_window(probe).join(index, ["pool", "whash"]).select("pool", F.col("source_id"), "pos", F.lit(1).alias("c"), "first")
     made = detect.islands(found, k)
     return made.select(F.col("b_id").alias("snippet_id"), F.col("b_pos").alias("pos"), F.col("a_id").alias("source_id"), F.col("a_pos").alias("source_pos"), "tokens")
 

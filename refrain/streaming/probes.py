@@ -40,7 +40,7 @@ def read_index(spark: SparkSession, out: str) -> DataFrame:
 def new_windows(stream: DataFrame, k: int, late: str = "10 minutes") -> DataFrame:
     """Windows of a stream of sources (source_id, pool, content, ts) that were not seen within the watermark: state is bounded by it."""
     keyed = stream.withColumn("source_id", F.struct("source_id", "ts"))
-    timed = detect.windows(token_arrays(keyed), k).select("pool", "whash", "source_id.source_id", "pos", F.col("source_id.ts").alias("ts"))
+    timed = detect.each_window(detect.windows(token_arrays(keyed), k)).select("pool", "whash", "source_id.source_id", "pos", F.col("source_id.ts").alias("ts"))
     return timed.withWatermark("ts", late).dropDuplicatesWithinWatermark(["pool", "whash"])
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from refrain.operators import baseline, detect, snippets, stats
 from refrain.operators.tokens import token_arrays
 
@@ -49,6 +51,42 @@ def test_random_corpora_match_the_model(spark):
         assert want
 
 
+def test_runs_of_windows_match_the_model(spark, monkeypatch):
+    """Long enough for windows to share keys; batches, pieces and runs so small that keys go on from one to the next."""
+    rng, k = random.Random(7), 12
+    base = [[chr(97 + rng.randrange(n)) for _ in range(60)] for n in (2, 26, 26)]
+    sources = []
+    for i in range(60):
+        v = list(rng.choice(base)) + (["z"] * 90 if i % 7 == 0 else [])
+        for _ in range(rng.randrange(3)):
+            v[rng.randrange(len(v))] = "!"
+        sources.append((rng.choice("xy"), i, v[rng.randrange(5) : len(v) - rng.randrange(5)]))
+    own, want = frame(spark, sources).repartition(3).cache(), model(sources, k)
+    assert want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    monkeypatch.setattr(detect, "PIECE", 100)
+    monkeypatch.setattr(detect, "HOT", 5)
+    try:
+        found = detect.windows(own, k)
+        runs, each = found.agg(F.count("*"), F.max(F.size("w"))).first(), detect.each_window(found).cache()
+        assert runs[0] < each.count() / 2 and runs[1] == detect.RUN
+        assert rows(detect.clones(own, k)) == want == rows(detect.clones(own, k, hot_keys=True))
+        counts: dict = {}
+        for pool, i, v in sorted(sources, key=lambda s: s[1]):
+            for p in range(len(v) - k + 1):
+                counts.setdefault((pool, tuple(v[p : p + k])), []).append((i, p))
+        assert sorted(map(tuple, detect.repeated(found).collect())) == sorted((w[0], *x[0], len(x)) for w, x in counts.items() if len(x) > 1)
+        assert {r.pool: (r.windows, r.distinct_windows) for r in detect.window_counts(found).collect()} == {x: (sum(len(n) for w, n in counts.items() if w[0] == x), sum(w[0] == x for w in counts)) for x in "xy"}
+        assert sorted((r.pool, r.first.source_id, r.first.pos) for r in snippets.index_of(own, k).collect()) == sorted((w[0], *x[0]) for w, x in counts.items())
+        pairs: dict = {}
+        for (pool, _), ((a, p), (b, q), *_) in ((w, x) for w, x in counts.items() if len(x) > 1):
+            pairs.setdefault((pool, a, b, q - p), set()).add(p)
+        want = sorted((w[0], w[1], p, w[2], p + w[3], next(n for n in range(1, 999) if p + n not in x)) for w, x in pairs.items() for p in x if p - 1 not in x)
+        assert sorted(tuple(r) for r in detect.secondary_candidates(found, k).select("pool", "a_id", "a_pos", "b_id", "b_pos", "windows").collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_one_maximal_clone(spark):
     v = list("abcdefghi")
     assert rows(detect.clones(frame(spark, [("p", 1, v), ("p", 2, v)]), 5)) == [("p", 1, 0, 2, 0, 9)]
