@@ -7,67 +7,17 @@ shared folder that ``spark.checkpoint.dir`` names.
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from refrain.sources.tables import materialise, release, scratch  # noqa: F401
+
 #: Edges that one task of a local contraction holds at a time.
 LOCAL_EDGES = 500_000
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared scratch folder: the session's ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="refrain-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
-_swept: set[str] = set()
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def _sweep(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may have ended before the interpreter does
-        _delete(spark, path)
-
-
-def materialise(df: DataFrame, name: str = "t") -> DataFrame:
-    """Writes ``df`` as Parquet in the scratch folder and reads it back, so that a lost executor costs one stage at most.
-
-    The application's tables are deleted when its interpreter ends; release() deletes one before.
-    """
-    spark = df.sparkSession
-    folder = f"{scratch(spark)}/refrain/{spark.sparkContext.applicationId}"
-    if folder not in _swept:
-        _swept.add(folder)
-        atexit.register(_sweep, spark, folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._refrain_path = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Deletes tables that materialise() returned, once nothing reads them any more."""
-    for table in tables:
-        _delete(table.sparkSession, table._refrain_path)
-
-
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often it is used and in whatever lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

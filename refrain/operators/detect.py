@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from refrain.sources.tables import materialise
+
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """One 64-bit hash of two, in this order."""
@@ -43,7 +45,7 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 
 #: Values that a piece of a batch holds at most, unless one source has more: bounds the memory of its hashes.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Windows that a run holds at most.
 RUN = 64
 #: Runs beyond which a key counts as hot.
@@ -319,18 +321,39 @@ def secondary_candidates(found: DataFrame, k: int) -> DataFrame:
     return runs.groupBy("pool", "a_id", "b_id", d.alias("d"), "g").agg(F.min("a_pos").alias("a_pos"), F.min("b_pos").alias("b_pos"), F.sum("c").alias("windows")).drop("d", "g")
 
 
+def _uncovered(runs: DataFrame, covered: DataFrame) -> DataFrame:
+    """Runs neither of whose sides lies within one of the intervals ``covered`` (source, start, end) of its source, which are apart."""
+    key = ["pool", "a_id", "a_pos", "b_id", "b_pos"]
+    side = lambda x: F.struct(F.col(f"{x}_id").alias("source"), F.col(f"{x}_start").alias("start"), F.col(f"{x}_end").alias("end"))
+    asked = runs.select(F.struct(*key).alias("key"), F.explode(F.array(side("a"), side("b"))).alias("s")).select("s.*", "key")
+    both = asked.unionByName(covered.select("source", "start", "end"), allowMissingColumns=True)
+    by = Window.partitionBy("source").orderBy("start", F.col("key").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    within = F.coalesce(F.max(F.when(F.col("key").isNull(), F.col("end"))).over(by) >= F.col("end"), F.lit(False))
+    free = both.withColumn("within", within).where("key is not null").groupBy("key").agg(F.bool_or("within").alias("within")).where("not within").select("key.*")
+    return runs.join(free, key, "left_semi")
+
+
 def secondary(candidates: DataFrame, primary: DataFrame, arrays: DataFrame, k: int, allowed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Candidate runs that add uncovered lines on both sides, taken greedily by (a, b) after the primary clones; of those with lines only what ``allowed`` leaves.
 
-    Coverage depends on order, so each pool's candidates and clones, a small part of the
-    corpus, are walked in one Python group.
+    What the primary clones cover doesn't depend on an order: runs that lie within it on one
+    side go first, everywhere at once. The order of those that are left decides, so each
+    pool's are walked in one Python group, with what is covered in their sources.
     """
     import pandas as pd
 
+    from refrain.operators.stats import interval_union
+
     runs = with_lines(candidates.withColumn("tokens", F.col("windows") + k - 1).drop("windows"), arrays)
-    runs = (runs.transform(allowed) if allowed else runs).withColumn("first", F.lit(0))
-    known = primary.select("pool", "a_id", "a_pos", "b_id", "b_pos", F.col("tokens").cast("long").alias("tokens"), "a_start", "a_end", "b_start", "b_end").withColumn("first", F.lit(1))
-    both = known.unionByName(runs.select(*known.columns))
+    runs = runs.transform(allowed) if allowed else runs
+    spans = primary.select("pool", F.explode(F.array(*[F.struct(F.col(f"{x}_id").alias("source"), F.col(f"{x}_start").alias("start"), F.col(f"{x}_end").alias("end")) for x in "ab"])).alias("s"))
+    covered = interval_union(spans.select("s.*"), "source")
+    left = materialise(_uncovered(runs, covered), "runs")
+    touched = left.select("pool", F.explode(F.array("a_id", "b_id")).alias("source")).distinct()
+    shape = "pool a_id a_pos b_id b_pos tokens a_start a_end b_start b_end".split()
+    zero, one = F.lit(0), F.lit(1)
+    known = covered.join(touched, "source").select("pool", F.col("source").alias("a_id"), zero.alias("a_pos"), F.col("source").alias("b_id"), zero.alias("b_pos"), F.lit(0).cast("long").alias("tokens"), F.col("start").alias("a_start"), F.col("end").alias("a_end"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), one.alias("first"))
+    both = known.unionByName(left.select(*shape, zero.alias("first")))
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         covered: dict[int, set[int]] = {}

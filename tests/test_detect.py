@@ -141,6 +141,46 @@ def test_secondary_adds_uncovered_lines_only(spark):
     assert not known & set(rows(more))
 
 
+def test_secondary_matches_a_walk_of_all(spark):
+    """Every candidate walked in order after all primary clones, whose coverage the engine takes off first."""
+    rng, k, gone = random.Random(3), 6, 0
+    blocks = [[chr(97 + rng.randrange(26)) for _ in range(9)] for _ in range(6)]
+    sources = [(rng.choice("xy"), i, [v for b in rng.choices(blocks, k=3) for v in [*b, chr(65 + rng.randrange(26))] * rng.choice((1, 1, 2))]) for i in range(30)]
+    own = frame(spark, sources).withColumn("lines", F.transform("lines", lambda x: F.ceil(x / 4).cast("int"))).cache()
+    found = detect.windows(own, k)
+    primary = detect.with_lines(detect.islands(detect.hits(found), k), own).cache()
+    runs = detect.with_lines(detect.secondary_candidates(found, k).withColumn("tokens", F.col("windows") + k - 1), own)
+    key, want = ("pool", "a_id", "a_pos", "b_id", "b_pos", "tokens"), []
+    primaries = primary.where("b_id % 3 > 0").cache()  # so that some candidates are not covered
+    covered: dict = {}
+    for r in primaries.collect():
+        covered.setdefault(r.a_id, set()).update(range(r.a_start, r.a_end + 1))
+        covered.setdefault(r.b_id, set()).update(range(r.b_start, r.b_end + 1))
+    for r in sorted(runs.collect(), key=lambda r: (r.pool, r.a_id, r.a_pos, r.b_id, r.b_pos)):
+        a, b = set(range(r.a_start, r.a_end + 1)), set(range(r.b_start, r.b_end + 1))
+        if a - covered.setdefault(r.a_id, set()) and b - covered.setdefault(r.b_id, set()):
+            want.append(tuple(r[c] for c in key))
+            covered[r.a_id] |= a
+            covered[r.b_id] |= b
+        else:
+            gone += 1
+    got = detect.secondary(detect.secondary_candidates(found, k), primaries, own, k)
+    assert rows(got) == sorted(want) and want and gone
+
+
+def test_clones_of_a_query_tokenise_once(spark, monkeypatch):
+    """Texts are tokenised for one table, which is read as often as a plan likes."""
+    from refrain.plans import queries
+
+    made = []
+    monkeypatch.setattr(queries, "token_arrays", lambda *a, f=queries.token_arrays, **k: made.append(1) or f(*a, **k))
+    monkeypatch.setattr(queries, "table", lambda s, d, n: s.createDataFrame([(i, "en", "src0", "one two " * 40) for i in range(3)], "doc_id long, lang string, source string, text string"))
+    for name in ("csv_report", "new_clone_gate", "secondary_clones"):
+        plan = queries.registry.queries()[name](spark, "")._jdf.queryExecution().optimizedPlan().toString()
+        assert len(made) == 1 and "regexp_extract_all" not in plan, name
+        made.clear()
+
+
 def test_folders(spark):
     v = list("abcdefghi")
     own = frame(spark, [("p", 1, v), ("p", 2, v), ("p", 3, v)])
